@@ -144,11 +144,14 @@ def previous_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], colum
     return placed.join(shifted, [*keys, "_at"], "left").drop("_at")
 
 
-def digest_index(df: DataFrame, keys: Sequence[str], digest: str, name: str = "i") -> DataFrame:
+def digest_index(df: DataFrame, keys: Sequence[str], digest: str, name: str = "i", limit: int = HOT_GROUP_ROWS) -> DataFrame:
     """0-based position by a hex digest within few, large groups.
 
     Digests are uniform, so their leading digits are equal shares of a group.
+    Counting first is cheap for the callers: they pass a written table.
     """
+    if not has_oversized(df, keys, limit):
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(digest)).cast("bigint") - 1)
     cells = df.withColumn("_range", F.substring(digest, 1, DIGEST_DIGITS))
     ones = cells.select(*keys, "_range", F.lit(1).cast("bigint").alias("n"))
     starts = _offsets(ones, keys, ["n"], False).select(*keys, "_range", F.col("_before_n").alias("_start"))

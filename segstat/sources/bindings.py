@@ -22,8 +22,23 @@ SAMPLE_RATE = 0.1
 SEGMENT = ["record_id", "seg_idx"]
 
 
+# Column types of the source tables; a declared schema saves the inference job.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+                "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +112,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def by_model(wide: DataFrame, models: tuple[str, ...] = ("m1", "m2")) -> DataFrame:
     """Long form: one row per (unit, model) with its score."""
     keep = [c for c in wide.columns if c not in models]
-    return wide.unpivot(keep, list(models), "model", "score")
+    pairs = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("score")) for m in models])
+    return wide.select(*keep, F.inline(pairs))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
