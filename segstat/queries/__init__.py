@@ -1,6 +1,6 @@
 """All registered queries, grouped by operator family."""
 from .registry import CHECKS, QUERIES
-from . import metric_queries  # noqa: F401
+from . import metric_queries, signal_queries  # noqa: F401
 from .metric_queries import flagship
 
 __all__ = ["CHECKS", "QUERIES", "flagship"]

@@ -21,9 +21,9 @@ AUPRC = "sum(pos * (tp::DOUBLE / (tp + fp))) / nullif(max(p), 0)"
 SENS90 = "coalesce(max(CASE WHEN fp::DOUBLE / n <= 0.1 + 1e-12 THEN tp::DOUBLE / p END), 0.0)"
 
 
-def rounded(df, *columns):
+def rounded(df, *columns, digits=6):
     # Brier scores sit on a coarse lattice that meets exact halves at 6 digits, hence 7.
-    return df.select(*[F.round(c, 7 if c == "brier" else 6).alias(c) if c in columns else F.col(c) for c in df.columns])
+    return df.select(*[F.round(c, 7 if c == "brier" else digits).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def long_scores(spark, d):
