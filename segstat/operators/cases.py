@@ -3,8 +3,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import ratio
@@ -110,35 +108,25 @@ def box_segment_score(boxes: DataFrame, dims: DataFrame, record: str = "record_i
 NMS_CONFIDENCE, NMS_IOU, NMS_MAX = 0.001, 0.6, 300
 
 
-def _keep_boxes(boxes: np.ndarray, order: np.ndarray, iou: float, limit: int) -> list[int]:
-    """Greedy suppression in score order for one image's boxes."""
-    area = np.clip(boxes[:, 2] - boxes[:, 0], 0, None) * np.clip(boxes[:, 3] - boxes[:, 1], 0, None)
-    alive = np.ones(len(boxes), bool)
-    kept: list[int] = []
-    for i in order:
-        if not alive[i]:
-            continue
-        kept.append(i)
-        if len(kept) == limit:
-            break
-        width = np.minimum(boxes[:, 2], boxes[i, 2]) - np.maximum(boxes[:, 0], boxes[i, 0])
-        height = np.minimum(boxes[:, 3], boxes[i, 3]) - np.maximum(boxes[:, 1], boxes[i, 1])
-        shared = np.clip(width, 0, None) * np.clip(height, 0, None)
-        alive &= shared <= iou * np.maximum(area + area[i] - shared, 1e-12)
-    return kept
-
-
 def nms(boxes: DataFrame, image: str = "record_id", confidence: float = NMS_CONFIDENCE, iou: float = NMS_IOU, max_det: int = NMS_MAX) -> DataFrame:
-    """Single-class suppression per image: boxes cx, cy, w, h, obj, cls to x1..y2, score.
+    """Greedy single-class suppression per image: boxes cx, cy, w, h, obj, cls to x1..y2, score.
 
-    An image's detector output is bounded by the detector's grid, so a group is small.
+    Boxes are taken from the highest score down (then box_no) and kept unless a
+    kept one overlaps by more than the limit; at most max_det are kept. An
+    image's boxes are bounded by the detector's grid, so its array is small.
     """
-    scored = boxes.withColumn("score", F.col("obj") * F.col("cls")).where(F.col("score") > confidence).select(
-        image, (F.col("cx") - F.col("w") / 2).alias("x1"), (F.col("cy") - F.col("h") / 2).alias("y1"),
-        (F.col("cx") + F.col("w") / 2).alias("x2"), (F.col("cy") + F.col("h") / 2).alias("y2"), "score", "box_no")
-
-    def suppress(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values(["score", "box_no"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        return ordered.loc[_keep_boxes(ordered[["x1", "y1", "x2", "y2"]].to_numpy(float), np.arange(len(ordered)), iou, max_det)]
-
-    return scored.groupBy(image).applyInPandas(suppress, scored.schema)
+    scored = boxes.withColumn("score", F.col("obj") * F.col("cls")).where(F.col("score") > confidence).select(image, F.struct(
+        (-F.col("score")).alias("rank"), "box_no", (F.col("cx") - F.col("w") / 2).alias("x1"), (F.col("cy") - F.col("h") / 2).alias("y1"),
+        (F.col("cx") + F.col("w") / 2).alias("x2"), (F.col("cy") + F.col("h") / 2).alias("y2")).alias("box"))
+    ordered = scored.groupBy(image).agg(F.array_sort(F.collect_list("box")).alias("boxes"))
+    side = lambda lo, hi: F.greatest(hi - lo, F.lit(0.0))
+    area = lambda b: side(b["x1"], b["x2"]) * side(b["y1"], b["y2"])
+
+    def overlaps(a, b):
+        shared = side(F.greatest(a["x1"], b["x1"]), F.least(a["x2"], b["x2"])) * side(F.greatest(a["y1"], b["y1"]), F.least(a["y2"], b["y2"]))
+        return shared / F.greatest(area(a) + area(b) - shared, F.lit(1e-12)) > iou
+
+    nothing = F.filter("boxes", lambda b: F.lit(False))
+    kept = F.aggregate("boxes", nothing, lambda kept, b: F.when(
+        (F.size(kept) >= max_det) | F.exists(kept, lambda a: overlaps(a, b)), kept).otherwise(F.concat(kept, F.array(b))))
+    return ordered.select(image, F.inline(kept)).withColumn("score", -F.col("rank")).drop("rank")

@@ -70,9 +70,10 @@ def annotation_agreement(records: DataFrame, segments: DataFrame, mapping: Seque
 
     mapping rows: (label, feature, kind); continuous and ordinal features are
     averaged over a record, counts are summed. All mapping rows share one plan.
+    Averages are taken to 9 decimals, so that equal ones tie whatever the order of summation.
     """
     means = {f for _, f, kind in mapping if kind in ("continuous", "ordinal")}
-    rolled = segments.groupBy(record).agg(*[(F.avg(f) if f in means else F.sum(f)).cast("double").alias("_f_" + f) for f in sorted({f for _, f, _ in mapping})])
+    rolled = segments.groupBy(record).agg(*[(F.round(F.avg(f), 9) if f in means else F.sum(f)).cast("double").alias("_f_" + f) for f in sorted({f for _, f, _ in mapping})])
     wide = records.join(rolled, record)
     rows = F.array(*[F.struct(F.lit(l).alias("label"), F.lit(f).alias("feature"), F.lit(kind).alias("kind"), F.col(l).cast("double").alias("y"), F.col("_f_" + f).alias("x")) for l, f, kind in mapping])
     long = wide.select(F.inline(rows)).where(F.col("x").isNotNull() & F.col("y").isNotNull())

@@ -296,7 +296,15 @@ def box_segment_score(spark, d):
     return rounded(K.box_segment_score(boxes, dims), "score")
 
 
-@query("H26_box_suppression")
+IOU = """(greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0)) / greatest(
+ greatest(a.x2 - a.x1, 0) * greatest(a.y2 - a.y1, 0) + greatest(b.x2 - b.x1, 0) * greatest(b.y2 - b.y1, 0) - greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0), 1e-12)"""
+
+
+@query("H26_box_suppression", f"""WITH RECURSIVE {BOXES}, sc AS (SELECT record_id, struct_pack(s := obj * cls, box_no := seg_idx, x1 := cx - w / 2, y1 := cy - h / 2, x2 := cx + w / 2, y2 := cy + h / 2) AS b FROM boxes WHERE obj * cls > 0.001),
+start AS (SELECT record_id, list(b ORDER BY b.s DESC, b.box_no) AS rest FROM sc GROUP BY 1),
+walk AS (SELECT record_id, rest[1] AS a, rest[2:] AS rest FROM start
+  UNION ALL SELECT record_id, r[1], r[2:] FROM (SELECT record_id, list_filter(rest, lambda b: {IOU} <= 0.6) AS r FROM walk) WHERE len(r) > 0)
+SELECT record_id, a.box_no AS box_no, round(a.x1, 6) AS x1, round(a.y1, 6) AS y1, round(a.x2, 6) AS x2, round(a.y2, 6) AS y2, round(a.s, 6) AS score FROM walk""")
 def nms(spark, d):
     return rounded(K.nms(detector_boxes(spark, d)), "x1", "y1", "x2", "y2", "score")
 
