@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import ratio
-from ..plans.ordering import average_ranks, exact_quantiles, null_safe_join
+from ..plans.ordering import average_ranks, exact_quantiles, null_safe_join, value_counts
 from .metrics import at_or_above
 
 CATEGORIES = ("TP", "TN", "FP", "FN")
@@ -40,7 +40,7 @@ def contribution_direction(contributions: DataFrame, quantiles: int = 4, cluster
 
 def value_rank(contributions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Percentile rank of each value within its feature, ties averaged."""
-    ranks = average_ranks(contributions, ["feature"], "value")
+    ranks = average_ranks(value_counts(contributions, ["feature"], "value"), ["feature"], "value")
     joined = null_safe_join(contributions, ranks.select("feature", "value", (F.col("rank") / F.col("group_rows")).alias("percentile_rank")), ["feature", "value"])
     return joined.select(*keys, "feature", "percentile_rank")
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import ratio
 from ..plans.ordering import average_ranks, null_safe_join, running_totals
+from ..sources.scratch import materialize
 
 # Specificity aimed at, tolerance on its complement, 5-minute segments per hour.
 SPECIFICITY = 0.9
@@ -270,9 +271,8 @@ def score_hist(df: DataFrame, by: Sequence[str], bins: int = 20, score: str = "s
 
 def mann_whitney_auroc(df: DataFrame, by: Sequence[str], score: str = "score", target: str = "target") -> DataFrame:
     """AUROC from average ranks: an independent formulation of the same number."""
-    ranks = average_ranks(df, by, score)
-    points = df.groupBy(*by, score).agg(F.sum(target).alias("_pos"), F.count(F.lit(1)).alias("_all"))
-    joined = null_safe_join(points, ranks.drop("n"), [*by, score])
+    points = materialize(df.groupBy(*by, score).agg(F.sum(target).alias("_pos"), F.count(F.lit(1)).alias("n")), "points")
+    joined = null_safe_join(points.withColumnRenamed("n", "_all"), average_ranks(points, by, score).drop("n"), [*by, score])
     p, n = F.sum("_pos"), F.sum(F.col("_all") - F.col("_pos"))
     return joined.groupBy(*by).agg(
         ratio(F.sum(F.col("rank") * F.col("_pos")) - p * (p + 1) / 2, p.cast("double") * n).alias("auroc_check"))
@@ -288,10 +288,11 @@ def verify_metrics(df: DataFrame, stored: DataFrame, by: Sequence[str], toleranc
 
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """Rank correlation with average ranks; NULL when either side is constant."""
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("_w"))
     complete = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rx = average_ranks(complete, by, x, "_rx").select(*by, x, "_rx")
-    ry = average_ranks(complete, by, y, "_ry").select(*by, y, "_ry")
+    pairs = materialize(complete.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("_w")), "pairs")
+    counts = lambda c: pairs.groupBy(*by, c).agg(F.sum("_w").alias("n"))
+    rx = average_ranks(counts(x), by, x, "_rx").select(*by, x, "_rx")
+    ry = average_ranks(counts(y), by, y, "_ry").select(*by, y, "_ry")
     ranked = null_safe_join(null_safe_join(pairs, rx, [*by, x]), ry, [*by, y])
     w, a, b = F.col("_w"), F.col("_rx"), F.col("_ry")
     sums = ranked.groupBy(*by).agg(

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import ratio
 from ..plans.ordering import exact_quantiles, null_safe_join
+from ..sources.scratch import materialize
 from . import metrics as M
 
 
@@ -76,7 +77,7 @@ def annotation_agreement(records: DataFrame, segments: DataFrame, mapping: Seque
     rolled = segments.groupBy(record).agg(*[(F.round(F.avg(f), 9) if f in means else F.sum(f)).cast("double").alias("_f_" + f) for f in sorted({f for _, f, _ in mapping})])
     wide = records.join(rolled, record)
     rows = F.array(*[F.struct(F.lit(l).alias("label"), F.lit(f).alias("feature"), F.lit(kind).alias("kind"), F.col(l).cast("double").alias("y"), F.col("_f_" + f).alias("x")) for l, f, kind in mapping])
-    long = wide.select(F.inline(rows)).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    long = materialize(wide.select(F.inline(rows)).where(F.col("x").isNotNull() & F.col("y").isNotNull()), "agreement")
     keys = ["label", "feature", "kind"]
     base = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("_lx"), F.max("x").alias("_hx"), F.min("y").alias("_ly"), F.max("y").alias("_hy"), F.avg(F.abs(F.col("x") - F.col("y"))).alias("_mae"))
     rho = M.spearman(long, keys, "x", "y").drop("n")

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.scratch import materialize
+
 # Rows one task may order for one group before the group is cut into ranges.
 HOT_GROUP_ROWS = 4_000_000
 # Equal-width ranges for values known to lie in [0, 1].
@@ -82,22 +84,30 @@ def _offsets(cells: DataFrame, keys: Sequence[str], sums: Sequence[str], descend
 
 
 def running_totals(points: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str], *,
-                   descending: bool = False, unit: bool = False, ranges: int | None = None) -> DataFrame:
+                   descending: bool = False, unit: bool = False, ranges: int | None = None, limit: int = HOT_GROUP_ROWS) -> DataFrame:
     """Inclusive running sums ``cum_*`` and group sums ``total_*`` over the order column.
 
-    ``points`` has one row per (keys, order value). ``unit`` says the order
-    column lies in [0, 1]; otherwise ranges come from a mergeable sketch per group.
+    ``points`` has one row per (keys, order value): an aggregate, usually far
+    smaller than its source. It is written once, since it is read several
+    times. If no group exceeds the limit one window does; otherwise groups are
+    cut into ranges: equal widths where ``unit`` says the order column lies in
+    [0, 1], else ranges from a mergeable sketch per group.
     """
+    points = materialize(points, "points")
+    direction = F.col(order).desc() if descending else F.col(order).asc()
+    if points.count() <= limit or not has_oversized(points, keys, limit):
+        part = Window.partitionBy(*(keys or [F.lit(0)]))
+        running = part.orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
+        return points.select("*", *[F.sum(s).over(running).alias("cum_" + s) for s in sums],
+                             *[F.sum(s).over(part).alias("total_" + s) for s in sums])
     if unit:
-        n = ranges or UNIT_RANGES
-        cells = points.withColumn("_range", F.floor(F.col(order) * n))
+        cells = points.withColumn("_range", F.floor(F.col(order) * (ranges or UNIT_RANGES)))
     else:
         value = _numeric(order, points)
         bounds = _sketch(points, keys, value, ranges or SKETCH_RANGES)
         cells = null_safe_join(points, bounds, keys).withColumn("_range", _range_of(value, F.col("_bounds"))).drop("_bounds")
     offsets = _offsets(cells, keys, sums, descending)
     merged = null_safe_join(cells, offsets, [*keys, "_range"])
-    direction = F.col(order).desc() if descending else F.col(order).asc()
     inside = Window.partitionBy(*keys, "_range").orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
     return merged.select(
         *points.columns,
@@ -178,7 +188,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     return counted.groupBy(*keys).agg(*aggregates)
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank") -> DataFrame:
-    """One row per (keys, value) with the average rank its ties share, and the group size."""
-    counted = running_totals(value_counts(df, keys, value), keys, value, ["n"])
+def average_ranks(counts: DataFrame, keys: Sequence[str], value: str, name: str = "rank") -> DataFrame:
+    """From counts ``n`` per (keys, value): the average rank that ties share, and the group size."""
+    counted = running_totals(counts.select(*keys, value, "n"), keys, value, ["n"])
     return counted.select(*keys, value, "n", (F.col("cum_n") - (F.col("n") - 1) / 2).alias(name), F.col("total_n").alias("group_rows"))
