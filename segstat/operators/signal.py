@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import ratio
-from ..plans.ordering import HOT_GROUP_ROWS, has_oversized, ordered_index, previous_row, running_totals
+from ..plans.ordering import has_oversized, ordered_index, previous_row, running_totals
 
 SEGMENT = ("record_id", "seg_idx")
 ORDER = "sample_idx"
@@ -250,7 +250,7 @@ def classify_events(nearest: DataFrame, fs: float = 0.5) -> DataFrame:
 
 
 def longest_contiguous(df: DataFrame, name: str = "name", flag: str = "flag", record: str = "record_id", order: str = "seg_idx",
-                       limit: int = HOT_GROUP_ROWS, memo: tuple | None = None) -> DataFrame:
+                       limit: int | None = None, memo: tuple | None = None) -> DataFrame:
     """Longest run of flagged segments per record whose source names count on without a break.
 
     A run ends at a negative, a change of prefix or a skipped index. A record
@@ -275,7 +275,7 @@ def longest_contiguous(df: DataFrame, name: str = "name", flag: str = "flag", re
                         F.when(known, "source_index_proxy").otherwise("unknown_source_order").alias("continuity_status"))
 
 
-def concat_record(df: DataFrame, record: str = "record_id", limit: int = HOT_GROUP_ROWS, memo: tuple | None = None) -> DataFrame:
+def concat_record(df: DataFrame, record: str = "record_id", limit: int | None = None, memo: tuple | None = None) -> DataFrame:
     """Samples numbered through their record in source order."""
     return ordered_index(df, [record], ["seg_idx", ORDER], "record_sample", limit, memo)
 

@@ -37,11 +37,12 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*["_r_" + key for key in keys])
 
 
-def has_oversized(df: DataFrame, keys: Sequence[str], limit: int = HOT_GROUP_ROWS, memo: tuple | None = None) -> bool:
+def has_oversized(df: DataFrame, keys: Sequence[str], limit: int | None = None, memo: tuple | None = None) -> bool:
     """Whether any group exceeds the limit. Runs one combined count over the key columns.
 
     The answer only picks between two exact plans, so remembering it per table is safe.
     """
+    limit = HOT_GROUP_ROWS if limit is None else limit
     slot = (df.sparkSession.sparkContext.applicationId, limit, *memo) if memo else None
     if slot in _probed:
         return _probed[slot]
@@ -84,7 +85,7 @@ def _offsets(cells: DataFrame, keys: Sequence[str], sums: Sequence[str], descend
 
 
 def running_totals(points: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str], *,
-                   descending: bool = False, unit: bool = False, ranges: int | None = None, limit: int = HOT_GROUP_ROWS) -> DataFrame:
+                   descending: bool = False, unit: bool = False, ranges: int | None = None, limit: int | None = None) -> DataFrame:
     """Inclusive running sums ``cum_*`` and group sums ``total_*`` over the order column.
 
     ``points`` has one row per (keys, order value): an aggregate, usually far
@@ -93,6 +94,7 @@ def running_totals(points: DataFrame, keys: Sequence[str], order: str, sums: Seq
     cut into ranges: equal widths where ``unit`` says the order column lies in
     [0, 1], else ranges from a mergeable sketch per group.
     """
+    limit = HOT_GROUP_ROWS if limit is None else limit
     points = materialize(points, "points")
     direction = F.col(order).desc() if descending else F.col(order).asc()
     if points.count() <= limit or not has_oversized(points, keys, limit):
@@ -117,13 +119,14 @@ def running_totals(points: DataFrame, keys: Sequence[str], order: str, sums: Seq
 
 
 def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "i",
-                  limit: int = HOT_GROUP_ROWS, memo: tuple | None = None, _depth: int = 0) -> DataFrame:
+                  limit: int | None = None, memo: tuple | None = None, _depth: int = 0) -> DataFrame:
     """0-based position of each row within its group.
 
     Groups within the limit take one window. Oversized groups are cut into
     ranges of the leading order column, and again by the next one where a single
     value still fills a range.
     """
+    limit = HOT_GROUP_ROWS if limit is None else limit
     if _depth >= len(order) or not has_oversized(df, keys, limit, memo):
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, F.row_number().over(window).cast("bigint") - 1)
@@ -144,7 +147,7 @@ def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name
 
 
 def previous_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], prefix: str = "prev_",
-                 limit: int = HOT_GROUP_ROWS, memo: tuple | None = None) -> DataFrame:
+                 limit: int | None = None, memo: tuple | None = None) -> DataFrame:
     """Adds the columns of the preceding row. Oversized groups use an equi-join on consecutive positions."""
     if not has_oversized(df, keys, limit, memo):
         window = Window.partitionBy(*keys).orderBy(*order)
@@ -154,7 +157,7 @@ def previous_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], colum
     return placed.join(shifted, [*keys, "_at"], "left").drop("_at")
 
 
-def digest_index(df: DataFrame, keys: Sequence[str], digest: str, name: str = "i", limit: int = HOT_GROUP_ROWS) -> DataFrame:
+def digest_index(df: DataFrame, keys: Sequence[str], digest: str, name: str = "i", limit: int | None = None) -> DataFrame:
     """0-based position by a hex digest within few, large groups.
 
     Digests are uniform, so their leading digits are equal shares of a group.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scalars import ratio
-from ..plans.ordering import HOT_GROUP_ROWS, previous_row
+from ..plans.ordering import previous_row
 from ..sources.scratch import scratch_path
 
 # Window of the periodic samples, and the finished states of a stage.
@@ -80,7 +80,7 @@ def late_rows(df: DataFrame, watermark: str, previous_max: DataFrame, time: str
     return df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(time) < limit).alias("late_rows"))
 
 
-def counter_rate(df: DataFrame, source: str, order: Sequence[str], value: str, seconds: str, scale: float = 100.0, limit: int = HOT_GROUP_ROWS, memo: tuple | None = None) -> DataFrame:
+def counter_rate(df: DataFrame, source: str, order: Sequence[str], value: str, seconds: str, scale: float = 100.0, limit: int | None = None, memo: tuple | None = None) -> DataFrame:
     """Change of a cumulative counter per second and source; NULL for the first sample."""
     before = previous_row(df, [source], order, [value, seconds], "_p_", limit, memo)
     rate = scale * ratio(F.col(value) - F.col("_p_" + value), F.col(seconds) - F.col("_p_" + seconds))
