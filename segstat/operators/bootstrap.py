@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import hash_below, keyed_md5, ratio
-from ..plans.ordering import digest_index, exact_quantiles, null_safe_join
+from ..plans.ordering import digest_index, exact_quantiles, null_safe_join, running_totals
 from ..sources.scratch import materialize
-from .metrics import ranking
+from .metrics import auroc_of_curve, average_precision_of_curve
 
 # Replicates of the small profile, and the interval's percentiles.
 REPLICATES = 50
@@ -36,54 +36,59 @@ def cluster_weights(df: DataFrame, replicates: int = REPLICATES, seed: int = 42,
     return counts.join(numbers, "number").select("b", cluster, "weight")
 
 
-def _per_cluster(weights: DataFrame, cluster: str) -> DataFrame:
-    """One row per cluster with its (b, weight) pairs: at most one per replicate."""
-    return weights.groupBy(cluster).agg(F.collect_list(F.struct("b", "weight")).alias("_w"))
+def reduce_scores(df: DataFrame, by: Sequence[str], alarm: Column | None = None, score: str = "score", target: str = "target",
+                  cluster: str = "cluster_id") -> DataFrame:
+    """Class and alarm counts per (by, cluster, score), written once: everything below reads only this."""
+    y = F.col(target)
+    a = F.lit(0) if alarm is None else alarm.cast("int")
+    return materialize(df.groupBy(*by, F.col(cluster).alias("cluster_id"), F.col(score).alias("score")).agg(
+        F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"), F.sum(y * a).alias("alarm_pos"), F.sum((1 - y) * a).alias("alarm_neg")), "reduced")
 
 
-def weighted_ranking(df: DataFrame, weights: DataFrame, by: Sequence[str], score: str = "score", target: str = "target", cluster: str = "cluster_id") -> DataFrame:
-    """AUROC and average precision of every replicate."""
-    reduced = df.groupBy(*by, cluster, score).agg(F.sum(target).alias("pos"), F.sum(1 - F.col(target)).alias("neg"))
-    spread = reduced.join(_per_cluster(weights, cluster), cluster).select(*by, score, "pos", "neg", F.inline("_w"))
-    cells = spread.groupBy("b", *by, score).agg(F.sum(F.col("pos") * F.col("weight")).alias("pos"), F.sum(F.col("neg") * F.col("weight")).alias("neg"))
-    # One row per class with its weight feeds the ordinary ranking.
-    classes = cells.select("b", *by, score, F.inline(F.array(F.struct(F.lit(1).alias("y"), F.col("pos").alias("w")), F.struct(F.lit(0).alias("y"), F.col("neg").alias("w")))))
-    return ranking(classes, ["b", *by], score, "y", F.col("w")).select("b", *by, "auroc", "auprc")
+COUNTS = ("pos", "neg", "alarm_pos", "alarm_neg")
 
 
-def weighted_sums(df: DataFrame, weights: DataFrame, by: Sequence[str], alarm=None, score: str = "score", target: str = "target", cluster: str = "cluster_id") -> DataFrame:
-    """Brier score, and operating metrics when an alarm is given, of every replicate."""
-    y = F.col(target)
-    a = F.lit(None).cast("int") if alarm is None else alarm.cast("int")
-    reduced = df.groupBy(*by, cluster).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(y).alias("p"), F.sum(y * a).alias("tp"), F.sum((1 - y) * a).alias("fp"), F.sum(F.pow(F.col(score) - y, 2)).alias("sq"))
-    spread = reduced.join(_per_cluster(weights, cluster), cluster).select(*by, "n", "p", "tp", "fp", "sq", F.inline("_w"))
-    w = F.col("weight")
-    total = spread.groupBy("b", *by).agg(*[F.sum(F.col(c) * w).alias(c) for c in ("n", "p", "tp", "fp", "sq")])
-    n, p, tp, fp = (F.col(c) for c in ("n", "p", "tp", "fp"))
-    both = (p > 0) & (n > p)
-    columns = {"brier": ratio(F.col("sq"), n), "prevalence": ratio(p, n)}
-    if alarm is not None:
-        columns |= {"sensitivity": ratio(tp, p), "specificity": 1 - ratio(fp, n - p), "ppv": ratio(tp, tp + fp), "f1": ratio(2 * tp, p + tp + fp)}
-    return total.select("b", *by, *[F.when(both, c).alias(name) for name, c in columns.items()])
-
-
-def replicate_metrics(df: DataFrame, weights: DataFrame, by: Sequence[str], alarm=None, **names) -> DataFrame:
-    """Long table (b, by, metric, value) over replicates; single-class replicates have no value."""
-    joined = null_safe_join(weighted_ranking(df, weights, by, **names), weighted_sums(df, weights, by, alarm, **names), ["b", *by])
-    metrics = [c for c in joined.columns if c not in ("b", *by)]
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])
-    return joined.select("b", *by, F.inline(pairs)).where(F.col("value").isNotNull())
-
-
-def bootstrap_ci(df: DataFrame, by: Sequence[str], replicates: int = REPLICATES, seed: int = 42, alarm=None, weights: DataFrame | None = None, **names) -> DataFrame:
+def score_metrics(cells: DataFrame, keys: Sequence[str], alarmed: bool) -> DataFrame:
+    """Every metric from counts per (keys, score) in one ordered pass; NULL where a class is absent."""
+    totals = running_totals(cells, keys, "score", ["pos", "neg"], descending=True, unit=True)
+    curve = totals.withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp", "total_pos": "p", "total_neg": "n"})
+    error = F.col("pos") * F.pow(F.col("score") - 1, 2) + F.col("neg") * F.pow(F.col("score"), 2)
+    summed = curve.groupBy(*keys).agg(auroc_of_curve().alias("auroc"), average_precision_of_curve().alias("auprc"), F.sum(error).alias("_error"),
+                                      F.max("p").alias("_p"), F.max("n").alias("_n"), F.sum("alarm_pos").alias("_tp"), F.sum("alarm_neg").alias("_fp"))
+    p, n, tp, fp = (F.col(c) for c in ("_p", "_n", "_tp", "_fp"))
+    columns = {"auroc": F.col("auroc"), "auprc": F.col("auprc"), "brier": ratio(F.col("_error"), p + n), "prevalence": ratio(p, p + n)}
+    if alarmed:
+        columns |= {"sensitivity": ratio(tp, p), "specificity": 1 - ratio(fp, n), "ppv": ratio(tp, tp + fp), "f1": ratio(2 * tp, p + tp + fp)}
+    return summed.select(*keys, *[F.when((p > 0) & (n > 0), c).alias(name) for name, c in columns.items()])
+
+
+def _long(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
+    metrics = [c for c in wide.columns if c not in keys]
+    return wide.select(*keys, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics]))).where(F.col("value").isNotNull())
+
+
+def replicate_metrics(reduced: DataFrame, weights: DataFrame, by: Sequence[str], alarmed: bool = False) -> DataFrame:
+    """Long table (b, by, metric, value) over replicates; single-class replicates have no value.
+
+    A cluster's weights travel as one array of at most B pairs, so the join is
+    as wide as the reduced rows and not B times as wide.
+    """
+    per_cluster = weights.groupBy("cluster_id").agg(F.collect_list(F.struct("b", "weight")).alias("_w"))
+    spread = reduced.join(per_cluster, "cluster_id").select(*by, "score", *COUNTS, F.inline("_w"))
+    cells = spread.groupBy("b", *by, "score").agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in COUNTS])
+    return _long(score_metrics(cells, ["b", *by], alarmed), ["b", *by])
+
+
+def bootstrap_ci(df: DataFrame, by: Sequence[str], replicates: int = REPLICATES, seed: int = 42, alarm: Column | None = None,
+                 weights: DataFrame | None = None, **names: str) -> DataFrame:
     """Percentile interval and number of valid replicates per metric."""
-    drawn = materialize(cluster_weights(df, replicates, seed), "weights") if weights is None else weights
-    values = materialize(replicate_metrics(df, drawn, by, alarm, **names), "replicates")
-    return intervals(values, by)
+    reduced = reduce_scores(df, by, alarm, **names)
+    drawn = cluster_weights(reduced, replicates, seed) if weights is None else weights
+    return intervals(replicate_metrics(reduced, drawn, by, alarm is not None), by)
 
 
 def intervals(values: DataFrame, by: Sequence[str]) -> DataFrame:
+    values = materialize(values, "replicates")
     keys = [*by, "metric"]
     ends = exact_quantiles(values, keys, "value", INTERVAL, ["lo", "hi"])
     return null_safe_join(ends, values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_valid")), keys)
@@ -96,21 +101,18 @@ def paired(df: DataFrame, left: str, right: str, replicates: int = REPLICATES, s
     With ``replicates`` 0 only the point difference is given.
     """
     arms = F.array(F.struct(F.lit("left").alias("arm"), F.col(left).alias("score")), F.struct(F.lit("right").alias("arm"), F.col(right).alias("score")))
-    long = df.select(*by, cluster, target, F.inline(arms))
-    metrics = ["auroc", "auprc", "brier"]
-    point = _contrast(null_safe_join(ranking(long, ["arm", *by], target=target).drop("sensitivity_at_spec90"),
-                                     long.groupBy("arm", *by).agg(F.avg(F.pow(F.col("score") - F.col(target), 2)).alias("brier")), ["arm", *by]), by, metrics)
+    keys = ["arm", *by]
+    reduced = reduce_scores(df.select(*by, cluster, target, F.inline(arms)), keys, None, "score", target, cluster)
+    cells = reduced.groupBy(*keys, "score").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    point = _left_minus_right(_long(score_metrics(cells, keys, False), keys), by, "difference")
     if not replicates:
         return point.withColumn("lo", F.lit(None).cast("double")).withColumn("hi", F.lit(None).cast("double")).withColumn("n_valid", F.lit(0).cast("bigint"))
-    drawn = materialize(cluster_weights(df, replicates, seed, cluster), "weights") if weights is None else weights
-    values = replicate_metrics(long, drawn, ["arm", *by], target=target, cluster=cluster).where(F.col("metric").isin(*metrics))
-    side = lambda arm: F.max(F.when(F.col("arm") == arm, F.col("value")))
-    deltas = values.groupBy("b", *by, "metric").agg((side("left") - side("right")).alias("value")).where(F.col("value").isNotNull())
-    return null_safe_join(point, intervals(materialize(deltas, "deltas"), by), [*by, "metric"], "left")
+    drawn = cluster_weights(reduced, replicates, seed) if weights is None else weights
+    deltas = _left_minus_right(replicate_metrics(reduced, drawn, keys), ["b", *by], "value").where(F.col("value").isNotNull())
+    return null_safe_join(point, intervals(deltas, by), [*by, "metric"], "left")
 
 
-def _contrast(wide: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])
-    long = wide.select("arm", *by, F.inline(pairs))
+def _left_minus_right(values: DataFrame, by: Sequence[str], name: str) -> DataFrame:
     side = lambda arm: F.max(F.when(F.col("arm") == arm, F.col("value")))
-    return long.groupBy(*by, "metric").agg((side("left") - side("right")).alias("difference"))
+    kept = values.where(F.col("metric").isin("auroc", "auprc", "brier"))
+    return kept.groupBy(*by, "metric").agg((side("left") - side("right")).alias(name))

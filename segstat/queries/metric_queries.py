@@ -358,7 +358,7 @@ def flagship(spark, d):
     """
     rows = B.scored(spark, d)
     split = materialize(S.holdout_split(rows), "split")
-    long = S.assign(B.by_model(rows), split.where(F.col("split") != "train"))
+    long = B.by_model(materialize(S.assign(rows, split.where(F.col("split") != "train")), "held"))
     thresholds = materialize(M.threshold90(long.where(F.col("split") == "val"), ["model"]), "thresholds")
     test = long.where(F.col("split") == "test").join(thresholds, "model")
     result = rounded(M.evaluate(test, ["model", "site"], F.col("score") > F.col("alarm_above")), *M.EVALUATION_METRICS)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as X, signal as C
 from ..sources import bindings as B
+from ..sources.scratch import materialize
 from .metric_queries import rounded
 from .registry import query
 
@@ -177,7 +178,7 @@ near AS (SELECT * EXCLUDE k FROM (SELECT d.record_id, d.seg_idx, start, "end", n
 
 
 def nearest(spark, d):
-    dev = base_and_dev(spark, d)
+    dev = materialize(base_and_dev(spark, d), "deviation")
     others = C.runs(dev, F.col("y") >= 50, 2).withColumnRenamed("start", "onset")
     return C.nearest_event(C.decelerations(dev, "x", FS), others)
 

@@ -7,7 +7,7 @@ from ..functions import scalars as V
 from ..operators import align as J, contracts as Q, splits as S
 from ..plans.ordering import exact_quantiles
 from ..sources import bindings as B, ingest as I, profiling as R
-from ..sources.scratch import scratch_path
+from ..sources.scratch import materialize, scratch_path
 from .metric_queries import SPLIT, rounded
 from .registry import query
 
@@ -319,7 +319,7 @@ def require_cluster(spark, d):
 
 def box_tables(spark, d):
     """Boxes on the flagged units of each record, some shifted, resized, dropped or without an image."""
-    units = B.predictions(spark, d).select("record_id", F.col("seg_idx").alias("position"), F.col("target").alias("bit"))
+    units = materialize(B.predictions(spark, d).select("record_id", F.col("seg_idx").alias("position"), F.col("target").alias("bit")), "units")
     dims = units.groupBy("record_id").agg((F.count(F.lit(1)) * 100.0).alias("width")).where(F.col("record_id") % 29 != 0).withColumn("height", F.lit(200.0))
     shift = F.when(F.col("record_id") % 17 == 0, 3.0).otherwise(0.0)
     kept = (F.col("bit") == 1) & (F.col("record_id") % 5 != 0) & ~((F.col("record_id") % 23 == 0) & (F.col("position") == 0))
