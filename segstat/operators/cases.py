@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import ratio
 from ..plans.ordering import average_ranks, exact_quantiles, null_safe_join, value_counts
+from ..sources.scratch import materialize
 from .metrics import at_or_above
 
 CATEGORIES = ("TP", "TN", "FP", "FN")
@@ -24,7 +25,8 @@ def binned(df: DataFrame, by: Sequence[str], value: str, bins: int) -> DataFrame
     """Adds the quantile bin of a value: repeated edges merge, bins are closed on the right."""
     inner = [k / bins for k in range(0, bins + 1)]
     names = [f"_e{k}" for k in range(bins + 1)]
-    edges = exact_quantiles(df, by, value, inner, names).select(*by, F.array_distinct(F.array(*names)).alias("_edges"))
+    # A written table has a known, tiny size (a row per feature), so the rows are not shuffled to meet it.
+    edges = materialize(exact_quantiles(df, by, value, inner, names).select(*by, F.array_distinct(F.array(*names)).alias("_edges")), "edges")
     joined = null_safe_join(df, edges, by)
     middle = F.when(F.size("_edges") > 2, F.slice("_edges", 2, F.greatest(F.size("_edges") - 2, F.lit(0)))).otherwise(F.array().cast("array<double>"))
     v = F.col(value)

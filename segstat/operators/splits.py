@@ -104,11 +104,12 @@ def loso_plan(df: DataFrame, site: str = "site", cluster: str = "cluster_id", ta
     removed = per_pair.select(site, cluster).join(per_cluster, cluster).groupBy(site).agg(
         F.sum("all_rows").alias("removed_rows"), F.sum("all_pos").alias("removed_positives"))
     total = per_cluster.agg(F.sum("all_rows").alias("_rows"), F.sum("all_pos").alias("_pos"), F.count(F.lit(1)).alias("_clusters"))
-    plan = held.join(removed, site).join(total, F.lit(True)).select(
+    whole = lambda c: total.select(c).scalar()
+    plan = held.join(removed, site).select(
         site, "held_rows", "held_clusters", "held_positives",
-        (F.col("_rows") - F.col("removed_rows")).alias("development_rows"),
-        (F.col("_clusters") - F.col("held_clusters")).alias("development_clusters"),
-        (F.col("_pos") - F.col("removed_positives")).alias("development_positives"))
+        (whole("_rows") - F.col("removed_rows")).alias("development_rows"),
+        (whole("_clusters") - F.col("held_clusters")).alias("development_clusters"),
+        (whole("_pos") - F.col("removed_positives")).alias("development_positives"))
     mixed = lambda rows, pos: (F.col(pos) > 0) & (F.col(pos) < F.col(rows))
     ready = mixed("held_rows", "held_positives") & mixed("development_rows", "development_positives") & (F.col("development_clusters") >= min_clusters)
     return plan.withColumn("status", F.when(ready, "ok").otherwise("insufficient_classes_or_groups"))

@@ -156,7 +156,7 @@ contrib AS (SELECT record_id, seg_idx, cluster_id, target, feature, value, round
 def contributions(spark, d):
     """Long table of linear contributions: weight times the distance from the feature's mean."""
     rows = X.long_features(B.segments(spark, d), B.SEGMENT_FEATURES, [*SEG, "cluster_id", "target"]).withColumn("value", F.round("value", 9))
-    means = rows.groupBy("feature").agg(F.avg("value").alias("_mean"))
+    means = materialize(rows.groupBy("feature").agg(F.avg("value").alias("_mean")), "means")
     weight = F.create_map(*[e for f, w in CONTRIBUTION_WEIGHTS.items() for e in (F.lit(f), F.lit(w))])[F.col("feature")]
     return rows.join(means, "feature").select(*SEG, "cluster_id", "target", "feature", "value", F.round((F.col("value") - F.col("_mean")) * weight, 9).alias("contribution"))
 
