@@ -9,7 +9,7 @@ from ..sources import bindings as B
 from ..sources.scratch import materialize
 from .metric_queries import (AUPRC, AUROC, COHORT, EVALUATED, RANKS, SPLIT, curve_sql, evaluation_sql, fixed_threshold, long_scores, rounded)
 from .registry import query
-from .signal_queries import LONG
+from .signal_queries import LONG, TRAIN, train_clusters
 from .source_queries import CONTRACT, window_stats
 
 SEG = ["record_id", "seg_idx"]
@@ -183,13 +183,13 @@ def value_rank(spark, d):
     return rounded(K.value_rank(contributions(spark, d), SEG), "percentile_rank")
 
 
-TRAIN_LONG = LONG.replace("FROM segments", "FROM segments WHERE cluster_id % 5 <> 0").replace("AS value FROM", "AS value FROM") + ", rl AS (SELECT * REPLACE (round(value, 9) AS value) FROM long)"
+TRAIN_LONG = TRAIN + ", " + LONG.replace("FROM segments", "FROM segments WHERE cluster_id IN (SELECT cluster_id FROM train)") + ", rl AS (SELECT * REPLACE (round(value, 9) AS value) FROM long)"
 RESPONSE = f"""{TRAIN_LONG}, {edges_sql('rl', 8)}, response AS (SELECT feature, bin, e[bin + 1] AS lower, e[least(bin + 2, len(e))] AS upper, count(*) AS n_segments, count(DISTINCT cluster_id) AS clusters, CAST(sum(target) AS BIGINT) AS n_positive,
  count(DISTINCT CASE WHEN target = 1 THEN cluster_id END) AS positive_clusters, count(DISTINCT CASE WHEN target = 0 THEN cluster_id END) AS negative_clusters, avg(target) AS positive_fraction FROM labelled GROUP BY ALL)"""
 
 
 def response(spark, d):
-    train = B.segments(spark, d).where(F.col("cluster_id") % 5 != 0)
+    train = B.segments(spark, d).join(train_clusters(spark, d), "cluster_id", "left_semi")
     return K.feature_response(X.long_features(train, B.SEGMENT_FEATURES, ["cluster_id", "target"]).withColumn("value", F.round("value", 9)))
 
 

@@ -8,6 +8,7 @@ from ..sources import bindings as B
 from ..sources.scratch import materialize
 from .metric_queries import rounded
 from .registry import query
+from .signal_queries import TRAIN, train_clusters
 
 FEATURES = B.SEGMENT_FEATURES
 SEG = ["record_id", "seg_idx"]
@@ -33,16 +34,16 @@ def single_feature_scan(spark, d):
     return rounded(T.single_feature_scan(parts["train"], parts["val"], FEATURES), "validation_auroc")
 
 
-SPLINE_RANGE = "(SELECT min(y_mean) AS lo, max(y_mean) AS hi FROM segments WHERE cluster_id % 5 <> 0)"
+SPLINE_RANGE = "(SELECT min(y_mean) AS lo, max(y_mean) AS hi FROM segments WHERE cluster_id IN (SELECT cluster_id FROM train))"
 SPLINE_COLUMNS = ", ".join(
     f"""round(CASE WHEN u + 3 - {j} < 0 OR u + 3 - {j} >= 4 THEN 0 WHEN u + 3 - {j} < 1 THEN power(u + 3 - {j}, 3) / 6 WHEN u + 3 - {j} < 2 THEN (-3 * power(u + 3 - {j}, 3) + 12 * power(u + 3 - {j}, 2) - 12 * (u + 3 - {j}) + 4) / 6
  WHEN u + 3 - {j} < 3 THEN (3 * power(u + 3 - {j}, 3) - 24 * power(u + 3 - {j}, 2) + 60 * (u + 3 - {j}) - 44) / 6 ELSE power(1 - u + {j}, 3) / 6 END::DOUBLE, 6) AS y_mean_s{j}""" for j in range(6))
 
 
-@query("H03_spline_basis", f"""WITH r AS {SPLINE_RANGE}, v AS (SELECT record_id, seg_idx, (least(greatest(y_mean, lo), hi) - lo) / ((hi - lo) / 4) AS u FROM segments CROSS JOIN r) SELECT record_id, seg_idx, {SPLINE_COLUMNS} FROM v""")
+@query("H03_spline_basis", f"""WITH {TRAIN}, r AS {SPLINE_RANGE}, v AS (SELECT record_id, seg_idx, (least(greatest(y_mean, lo), hi) - lo) / ((hi - lo) / 4) AS u FROM segments CROSS JOIN r) SELECT record_id, seg_idx, {SPLINE_COLUMNS} FROM v""")
 def spline_basis(spark, d):
     rows = B.segments(spark, d)
-    low, high = T.spline_bounds(rows.where(F.col("cluster_id") % 5 != 0), ["y_mean"])["y_mean"]
+    low, high = T.spline_bounds(rows.join(train_clusters(spark, d), "cluster_id", "left_semi"), ["y_mean"])["y_mean"]
     out, names = T.spline_basis(rows, "y_mean", low, high)
     return rounded(out.select(*SEG, *names), *names)
 

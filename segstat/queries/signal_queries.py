@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import features as X, signal as C
+from ..operators import features as X, signal as C, splits as S
 from ..sources import bindings as B
 from ..sources.scratch import materialize
 from .metric_queries import rounded
@@ -242,12 +242,23 @@ def arm_sensitivity(spark, d):
     return rounded(C.arm_sensitivity(*arms, ["x_mean", "x_min", "x_max", "x_sd"]), "mean_abs_change", "zero_fraction_left", "zero_fraction_right")
 
 
-@query("C18_train_scaled", """WITH m AS (SELECT greatest(max(abs(x)), 1e-6) AS sx, greatest(max(abs(y)), 1e-6) AS sy FROM samples WHERE cluster_id % 5 <> 0)
+# The training clusters of the segments, by the same split rule as the scored units.
+TRAIN = """ts AS (SELECT cluster_id, max(target) AS stratum FROM segments GROUP BY 1),
+tf AS (SELECT cluster_id, stratum, (row_number() OVER (PARTITION BY stratum ORDER BY md5('42|' || cluster_id)) - 1) % 10 AS fold FROM ts),
+ti AS (SELECT cluster_id, (row_number() OVER (PARTITION BY stratum ORDER BY md5('43|' || cluster_id)) - 1) % 9 AS f FROM tf WHERE fold <> 0),
+train AS (SELECT cluster_id FROM ti WHERE f <> 0)"""
+
+
+def train_clusters(spark, d):
+    return materialize(S.holdout_split(B.segments(spark, d)).where(F.col("split") == "train").select("cluster_id"), "train")
+
+
+@query("C18_train_scaled", f"""WITH {TRAIN}, m AS (SELECT greatest(max(abs(x)), 1e-6) AS sx, greatest(max(abs(y)), 1e-6) AS sy FROM samples WHERE cluster_id IN (SELECT cluster_id FROM train))
 SELECT record_id, seg_idx, sample_idx, round(x / sx, 6) AS x, round(y / sy, 6) AS y FROM samples CROSS JOIN m""")
 def train_scaled(spark, d):
-    rows = B.samples(spark, d).select(*SEG, "sample_idx", "cluster_id", "x", "y")
-    scale = C.fit_maxabs(rows, ["x", "y"], F.col("cluster_id") % 5 != 0)
-    return rounded(C.apply_scale(rows, scale, ["x", "y"]).drop("cluster_id"), "x", "y")
+    rows = S.flag_member(B.samples(spark, d).select(*SEG, "sample_idx", "cluster_id", "x", "y"), train_clusters(spark, d), name="training")
+    scale = C.fit_maxabs(rows, ["x", "y"], F.col("training"))
+    return rounded(C.apply_scale(rows, scale, ["x", "y"]).drop("cluster_id", "training"), "x", "y")
 
 
 @query("C19_segment_zscore", """SELECT record_id, seg_idx, sample_idx, round((x - avg(x) OVER w) / greatest(stddev_pop(x) OVER w, 1e-6), 6) AS x,

@@ -386,25 +386,26 @@ def many_to_one(spark, d):
     return joined.select(*SEG, "target", "split")
 
 
-@query("E02_one_to_one_join", """SELECT record_id, seg_idx, m1, CASE WHEN cluster_id % 6 <> 0 THEN m2 END AS m2, cluster_id % 6 <> 0 AS complete FROM predictions""")
+@query("E02_one_to_one_join", """SELECT record_id, seg_idx, m1, CASE WHEN m2 >= 0.25 THEN m2 END AS m2, m2 >= 0.25 AS complete FROM predictions""")
 def one_to_one(spark, d):
     rows = B.predictions(spark, d)
-    return J.join_11(rows.select(*SEG, "m1"), rows.where(F.col("cluster_id") % 6 != 0).select(*SEG, "m2"), SEG)
+    return J.join_11(rows.select(*SEG, "m1"), rows.where(F.col("m2") >= 0.25).select(*SEG, "m2"), SEG)
 
 
-@query("E03_cohort_difference", """SELECT record_id, seg_idx, CASE WHEN cluster_id % 10 = 1 THEN 'only_right' WHEN cluster_id % 10 = 0 THEN 'only_left' ELSE 'value_mismatch' END AS problem FROM predictions
-WHERE cluster_id % 10 IN (0, 1) OR record_id % 50 = 0""")
+@query("E03_cohort_difference", """SELECT record_id, seg_idx, CASE WHEN m1 <= 0.11 THEN 'only_right' WHEN m2 >= 0.95 THEN 'only_left' ELSE 'value_mismatch' END AS problem FROM predictions
+WHERE (m1 <= 0.11 AND m2 < 0.95) OR (m1 > 0.11 AND m2 >= 0.95) OR (m1 > 0.91 AND m2 < 0.95)""")
 def cohort_difference(spark, d):
-    rows = B.predictions(spark, d).select("cluster_id", *SEG, "target")
-    left = rows.where(F.col("cluster_id") % 10 != 1)
-    right = rows.where(F.col("cluster_id") % 10 != 0).withColumn("target", F.when(F.col("record_id") % 50 == 0, 1 - F.col("target")).otherwise(F.col("target")))
+    """Two cohorts that lost different rows, with some targets changed in one of them."""
+    rows = B.predictions(spark, d).select(*SEG, "target", "m1", "m2")
+    left = rows.where(F.col("m1") > 0.11)
+    right = rows.where(F.col("m2") < 0.95).withColumn("target", F.when(F.col("m1") > 0.91, 1 - F.col("target")).otherwise(F.col("target")))
     return J.cohort_diff(left, right, SEG, ["target"])
 
 
-@query("E04_common_subset", "SELECT record_id, seg_idx, m1, m2 FROM predictions WHERE cluster_id % 4 = 1")
+@query("E04_common_subset", "SELECT record_id, seg_idx, m1, m2 FROM predictions WHERE m1 > 0.31 AND m2 < 0.75")
 def common_subset(spark, d):
     rows = B.predictions(spark, d)
-    return J.common_subset(rows.where(F.col("cluster_id") % 2 == 1).select(*SEG, "m1"), rows.where(F.col("cluster_id") % 4 < 2).select(*SEG, "m2"), SEG)
+    return J.common_subset(rows.where(F.col("m1") > 0.31).select(*SEG, "m1"), rows.where(F.col("m2") < 0.75).select(*SEG, "m2"), SEG)
 
 
 @query("E05_exclude_clusters", "SELECT record_id, seg_idx, site FROM predictions WHERE cluster_id NOT IN (SELECT cluster_id FROM predictions WHERE site = 3)")
