@@ -165,9 +165,27 @@ def decelerations(spark, d):
     return rounded(C.decelerations(base_and_dev(spark, d), "x", FS), "depth")
 
 
-@query("C11_contractions")
+# Peaks are compared on values rounded to 9 decimals, so plateaus are the same in every engine.
+CONTRACTIONS = """cv AS (SELECT record_id, seg_idx, sample_idx, round(y, 9) AS y FROM clean),
+carr AS (SELECT record_id, seg_idx, list(y ORDER BY sample_idx) AS v, stddev_pop(y) AS sd, CAST(count(*) AS BIGINT) AS n FROM cv GROUP BY ALL HAVING min(y) < max(y) AND count(*) >= 3),
+cpk AS (SELECT *, unnest(range(2, n)) AS i FROM carr),
+cpl AS (SELECT *, list_filter(range(i + 1, n + 1), lambda j: v[j] <> v[i])[1] AS b FROM cpk WHERE v[i - 1] < v[i]),
+cst AS (SELECT record_id, seg_idx, list((i + b - 3) // 2 ORDER BY v[i] DESC, (i + b - 3) // 2 DESC) AS rest FROM cpl WHERE b IS NOT NULL AND v[b] < v[i] GROUP BY ALL),
+cwalk AS (SELECT record_id, seg_idx, rest[1] AS p, list_filter(rest[2:], lambda q: abs(q - rest[1]) >= 6) AS rest FROM cst
+  UNION ALL SELECT record_id, seg_idx, rest[1], list_filter(rest[2:], lambda q: abs(q - rest[1]) >= 6) FROM cwalk WHERE len(rest) > 0),
+cshape AS (SELECT w.record_id, w.seg_idx, p, v, sd, n, coalesce(list_max(list_filter(range(0, p), lambda j: v[j + 1] > v[p + 1])) + 1, 0) AS ls,
+  coalesce(list_min(list_filter(range(p + 1, n), lambda j: v[j + 1] > v[p + 1])) - 1, n - 1) AS rs FROM cwalk w JOIN carr c ON w.record_id = c.record_id AND w.seg_idx = c.seg_idx),
+clow AS (SELECT *, list_min(v[ls + 1:p + 1]) AS ll, list_min(v[p + 1:rs + 1]) AS lr FROM cshape),
+cprom AS (SELECT *, v[p + 1] - greatest(ll, lr) AS prom FROM clow),
+cbase AS (SELECT *, v[p + 1] - prom * 0.9::DOUBLE AS lev, list_max(list_filter(range(ls, p + 1), lambda j: v[j + 1] = ll)) AS lb, list_min(list_filter(range(p, rs + 1), lambda j: v[j + 1] = lr)) AS rb FROM cprom WHERE prom >= sd * 0.5::DOUBLE),
+ccross AS (SELECT *, coalesce(list_max(list_filter(range(lb, p + 1), lambda j: v[j + 1] <= lev)), lb) AS l, coalesce(list_min(list_filter(range(p, rb + 1), lambda j: v[j + 1] <= lev)), rb) AS r FROM cbase),
+cends AS (SELECT *, l + CASE WHEN v[l + 1] < lev THEN (lev - v[l + 1]) / (v[l + 2] - v[l + 1]) ELSE 0 END AS a, r - CASE WHEN v[r + 1] < lev THEN (lev - v[r + 1]) / (v[r] - v[r + 1]) ELSE 0 END AS z FROM ccross),
+contr AS (SELECT record_id, seg_idx, CAST(round_even(a, 0) AS BIGINT) AS onset, CAST(p AS BIGINT) AS peak, CAST(round_even(z, 0) AS BIGINT) AS "end" FROM cends WHERE (z - a) / 0.1::DOUBLE BETWEEN 45 AND 120)"""
+
+
+@query("C11_contractions", f"WITH RECURSIVE {CLEAN}, {CONTRACTIONS} SELECT * FROM contr")
 def contractions(spark, d):
-    return C.contractions(clean(spark, d), "y", FS)
+    return C.contractions(clean(spark, d).withColumn("y", F.round("y", 9)), "y", FS)
 
 
 # Events of the second channel that plain SQL can also find: two or more samples at 50 and above.
@@ -334,8 +352,32 @@ def min_lag_corr(spark, d):
     return rounded(X.min_lag_corr(signal(spark, d), "x", "y", FS), "corr_min", "corr_min_lag_s")
 
 
-@query("D09_features28")
+CLASSIFIED = """near AS (SELECT * EXCLUDE k FROM (SELECT d.record_id, d.seg_idx, d.start, d."end", nadir, baseline - low AS depth, onset, o."end" AS other_end,
+  row_number() OVER (PARTITION BY d.record_id, d.seg_idx, d.start ORDER BY abs(d.start - onset) NULLS LAST, onset NULLS LAST) AS k
+  FROM down d LEFT JOIN contr o ON d.record_id = o.record_id AND d.seg_idx = o.seg_idx) WHERE k = 1)"""
+# Features that do not hinge on a bin edge or a lag chosen between near-equal values.
+CHECKED_28 = [f for f in X.FEATURES_28 if f not in ("hist_mode", "ft_corr_min", "ft_corr_min_lag_s")]
+
+
+@query("D09_features28", f"""WITH RECURSIVE {CLEAN}, {DEV}, {VARIABILITY}, {DOWN}, {events_sql('dev >= 15 AND x > 0', 'up')}, {CONTRACTIONS}, {CLASSIFIED}, {KINDS},
+st AS (SELECT *, abs(x - lag(x) OVER ({P})) AS step FROM dev),
+agg AS (SELECT record_id, seg_idx, count(*) AS n, avg(x) AS fhr_mean, min(x) AS fhr_min, max(x) AS fhr_max, stddev_pop(x) AS fhr_sd, avg(step) AS stv, avg(CASE WHEN x < 20 THEN 1.0 ELSE 0.0 END) AS brady_frac,
+  avg(CASE WHEN x > 100 THEN 1.0 ELSE 0.0 END) AS tachy_frac, avg(y) AS toco_mean, max(y) AS toco_max, stddev_pop(y) AS toco_sd, CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN corr(x, y) ELSE 0 END AS ft_corr0,
+  first(baseline) AS figo_baseline, max(x) - min(x) AS hist_width, median(x) AS hist_median FROM st GROUP BY ALL HAVING count(*) >= 2),
+fall AS (SELECT record_id, seg_idx, count(*) AS n_decel, max(baseline - low) AS decel_max_depth, sum("end" - start) AS t FROM down GROUP BY ALL),
+rise AS (SELECT record_id, seg_idx, count(*) AS n_accel FROM up WHERE length < 60 AND peak - start < 3 GROUP BY ALL),
+con AS (SELECT record_id, seg_idx, count(*) AS n_contractions FROM contr GROUP BY ALL),
+kd AS (SELECT record_id, seg_idx, """ + ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}_decel" for k in X.EVENT_KINDS if k != "variable") + """, count(*) FILTER (WHERE variable) AS n_variable_decel FROM kinds GROUP BY ALL),
+wide AS (SELECT agg.*, n_decel, decel_max_depth, t / n::DOUBLE AS decel_time_frac, n_accel, n_contractions, v AS figo_baseline_var, n_early_decel, n_late_decel, n_variable_decel, n_severe_decel, n_prolonged_decel
+  FROM agg LEFT JOIN fall USING (record_id, seg_idx) LEFT JOIN rise USING (record_id, seg_idx) LEFT JOIN con USING (record_id, seg_idx) LEFT JOIN kd USING (record_id, seg_idx) LEFT JOIN var USING (record_id, seg_idx))
+SELECT record_id, seg_idx, """ + ", ".join(f"round(CAST(coalesce({f}, 0) AS DOUBLE), 8) AS {f}" for f in CHECKED_28 if f != "figo_baseline") + ", round(figo_baseline, 8) AS figo_baseline FROM wide")
 def features28(spark, d):
+    out = X.features28(clean(spark, d).withColumn("y", F.round("y", 9)), FS, 20, 100)
+    return rounded(out.select(*SEG, *CHECKED_28), *CHECKED_28, digits=8)
+
+
+@query("D09_feature_vector")
+def feature_vector(spark, d):
     return rounded(X.features28(clean(spark, d), FS, 20, 100), *X.FEATURES_28)
 
 
