@@ -360,7 +360,7 @@ CHECKED_28 = [f for f in X.FEATURES_28 if f not in ("hist_mode", "ft_corr_min",
 
 
 @query("D09_features28", f"""WITH RECURSIVE {CLEAN}, {DEV}, {VARIABILITY}, {DOWN}, {events_sql('dev >= 15 AND x > 0', 'up')}, {CONTRACTIONS}, {CLASSIFIED}, {KINDS},
-st AS (SELECT *, abs(x - lag(x) OVER ({P})) AS step FROM dev),
+st AS (SELECT * REPLACE (round(y, 9) AS y), abs(x - lag(x) OVER ({P})) AS step FROM dev),
 agg AS (SELECT record_id, seg_idx, count(*) AS n, avg(x) AS fhr_mean, min(x) AS fhr_min, max(x) AS fhr_max, stddev_pop(x) AS fhr_sd, avg(step) AS stv, avg(CASE WHEN x < 20 THEN 1.0 ELSE 0.0 END) AS brady_frac,
   avg(CASE WHEN x > 100 THEN 1.0 ELSE 0.0 END) AS tachy_frac, avg(y) AS toco_mean, max(y) AS toco_max, stddev_pop(y) AS toco_sd, CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN corr(x, y) ELSE 0 END AS ft_corr0,
   first(baseline) AS figo_baseline, max(x) - min(x) AS hist_width, median(x) AS hist_median FROM st GROUP BY ALL HAVING count(*) >= 2),
