@@ -47,10 +47,6 @@ def predict(model: PipelineModel, df: DataFrame, name: str = "score") -> DataFra
     return scored.select(*df.columns, vector_to_array("probability")[1].alias(name))
 
 
-def univariate(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumn(column, F.col(column).cast("double"))
-
-
 def spline_terms(column: str, low: float, high: float, knots: int = SPLINE_KNOTS) -> list[Column]:
     """Uniform cubic spline basis with constant extrapolation and no bias column.
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as V
-from ..operators import bootstrap as BS, cases as K, disclosure as D, features as X, metrics as M, outcomes as O, selection as L, signal as C, splits as S
+from ..operators import bootstrap as BS, cases as K, disclosure as D, features as X, metrics as M, outcomes as O, selection as L, splits as S
 from ..sources import bindings as B
 from ..sources.scratch import materialize
-from .metric_queries import (AUPRC, AUROC, COHORT, EVALUATED, RANKS, SPLIT, curve_sql, evaluation_sql, fixed_threshold, long_scores, rounded)
+from .metric_queries import (AUPRC, AUROC, COHORT, SPLIT, curve_sql, evaluation_sql, fixed_threshold, rounded)
 from .registry import query
 from .signal_queries import LONG, TRAIN, train_clusters
 from .source_queries import CONTRACT, window_stats

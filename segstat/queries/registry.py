@@ -13,7 +13,7 @@ CHECKS: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
-    """Registers a query; ``sql`` names the views it reads as ``{view}`` placeholders are not needed."""
+    """Registers a query; the views its ``sql`` mentions are put in front of it."""
     def add(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"duplicate query name {name}")

@@ -361,10 +361,10 @@ def complete_cases(spark, d):
     return Q.complete_cases(B.doc_outcomes(spark, d), ["quality", "n_chars"], "toxic").select("record_id", "quality", "toxic", "n_chars")
 
 
-@query("B17_allow_list", """SELECT model, CAST(site AS DOUBLE) AS site, CAST(target AS DOUBLE) AS target, CASE WHEN record_id % 4 <> 0 THEN round(score, 6) END AS score FROM preds WHERE model IN ('m1', 'cat28')""")
+@query("B17_allow_list", """SELECT model, CAST(site AS DOUBLE) AS site, CAST(target AS DOUBLE) AS target, CASE WHEN record_id % 4 <> 0 THEN round(score, 6) END AS score FROM preds WHERE model IN ('m1', 'm3')""")
 def allow_list(spark, d):
     rows = B.by_model(B.scored(spark, d)).withColumn("score", F.when(F.col("record_id") % 4 == 0, "secret").otherwise(F.round("score", 6).cast("string")))
-    return Q.allowlist(rows, {"model": ["m1", "cat28"]}, ["site", "target", "score"])
+    return Q.allowlist(rows, {"model": ["m1", "m3"]}, ["site", "target", "score"])
 
 
 @query("B18_key_violations", "SELECT l_orderkey, l_linenumber, count(*) AS rows FROM lineitem GROUP BY ALL HAVING count(*) > 1")

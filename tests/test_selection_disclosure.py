@@ -1,6 +1,5 @@
 """Selection, case review, disclosure control, journals and fitted models."""
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from segstat.operators import cases as K, disclosure as D, models as T, selection as L

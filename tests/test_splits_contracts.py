@@ -1,6 +1,4 @@
 """Splits without leakage, whole-record contracts, sources."""
-import json
-
 import pytest
 from pyspark.sql import functions as F
 
