@@ -1,6 +1,7 @@
 """Session settings shared by the tests, the bench and stand-alone use."""
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -30,11 +31,14 @@ _scratch: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a temporary folder is made.
+    Only a single-process local session may leave the setting out: there every task
+    sees the same temporary folder. Anywhere else a missing setting is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _scratch:
         _scratch[app] = tempfile.mkdtemp(prefix="spark-")
