@@ -1,7 +1,9 @@
 """One query for each corpus operator, over its whole table and with production parameters."""
 from __future__ import annotations
 
-from . import quality_rules
+from pyspark.sql import functions as F
+
+from . import quality_rules, simhash_ball
 from .registry import CHECKS, QUERIES, query  # noqa: F401
 from .tables import read
 
@@ -10,3 +12,9 @@ from .tables import read
 def op8_quality_rules(spark, sf_dir):
     scored = quality_rules.quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), keep=["doc_id"])
     return scored.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "probability")
+
+
+@query("op9_simhash_ball")
+def op9_simhash_ball(spark, sf_dir):
+    classes = simhash_ball.near_duplicates(read(spark, sf_dir, "documents"))
+    return classes.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
