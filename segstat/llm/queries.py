@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import quality_rules, simhash_ball
+from . import packing, quality_rules, simhash_ball
 from .registry import CHECKS, QUERIES, query  # noqa: F401
 from .tables import read
 
@@ -18,3 +18,15 @@ def op8_quality_rules(spark, sf_dir):
 def op9_simhash_ball(spark, sf_dir):
     classes = simhash_ball.near_duplicates(read(spark, sf_dir, "documents"))
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op4_genetic_packing")
+def op4_genetic_packing(spark, sf_dir):
+    packed = packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), ["doc_id"])
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
