@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, simhash_ball
+from . import line_chunks, packing, quality_rules, simhash_ball
 from .registry import CHECKS, QUERIES, query  # noqa: F401
 from .tables import read
 
@@ -30,3 +30,9 @@ def tokenizer_path(name: str) -> str:
 def op4_genetic_packing(spark, sf_dir):
     packed = packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), ["doc_id"])
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op7_line_chunks", line_chunks.ORACLE_SQL)
+def op7_line_chunks(spark, sf_dir):
+    kept = line_chunks.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.md5("text").alias("kept_md5"))
