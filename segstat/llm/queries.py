@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import line_chunks, packing, quality_rules, simhash_ball
+from . import decontamination, line_chunks, packing, quality_rules, simhash_ball
 from .registry import CHECKS, QUERIES, query  # noqa: F401
 from .tables import read
 
@@ -36,3 +36,9 @@ def op4_genetic_packing(spark, sf_dir):
 def op7_line_chunks(spark, sf_dir):
     kept = line_chunks.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.md5("text").alias("kept_md5"))
+
+
+@query("op1_spaced_seeds", decontamination.ORACLE_SQL)
+def op1_spaced_seeds(spark, sf_dir):
+    found = decontamination.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "doc_start", "item_start", "n_tokens", "n_equal")
