@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, line_chunks, packing, quality_rules, simhash_ball
+from . import boosted_quality, decontamination, html_blocks, line_chunks, packing, quality_rules, simhash_ball, token_counts
 from .registry import CHECKS, QUERIES, query  # noqa: F401
 from .tables import read
 
@@ -42,3 +42,18 @@ def op7_line_chunks(spark, sf_dir):
 def op1_spaced_seeds(spark, sf_dir):
     found = decontamination.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), "item_id", "doc_start", "item_start", "n_tokens", "n_equal")
+
+
+@query("op5_boosted_quality")
+def op5_boosted_quality(spark, sf_dir):
+    return boosted_quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op6_html_blocks")
+def op6_html_blocks(spark, sf_dir):
+    return html_blocks.extract(read(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
+@query("op10_token_counts")
+def op10_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), ["doc_id"])
