@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import boosted_quality, decontamination, html_blocks, line_chunks, packing, quality_rules, simhash_ball, token_counts
+from . import boosted_quality, decontamination, html_blocks, line_chunks, packing, quality_rules, simhash_ball, suffix_dedup, token_counts
 from .registry import CHECKS, QUERIES, query  # noqa: F401
 from .tables import read
 
@@ -57,3 +57,8 @@ def op6_html_blocks(spark, sf_dir):
 @query("op10_token_counts")
 def op10_token_counts(spark, sf_dir):
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), ["doc_id"])
+
+
+@query("op2_deep_shallow")
+def op2_deep_shallow(spark, sf_dir):
+    return suffix_dedup.dedup_stretches(read(spark, sf_dir, "documents"), ["doc_id"])
