@@ -79,9 +79,9 @@ class Counter:
         for w in words:
             n = known.get(w)
             if n is None:
-                if len(known) >= _CACHE_WORDS:
-                    known.clear()
-                n = known[w] = self.word(SPACE + w)
+                n = self.word(SPACE + w)
+                if len(known) < _CACHE_WORDS:      # frequent words come early and stay
+                    known[w] = n
             total += n
         return total
 
