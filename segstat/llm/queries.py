@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import boosted_quality, decontamination, html_blocks, line_chunks, packing, quality_rules, simhash_ball, suffix_dedup, token_counts
+from . import boosted_quality, decontamination, html_blocks, katz, line_chunks, packing, quality_rules, simhash_ball, suffix_dedup, token_counts
 from .registry import CHECKS, QUERIES, query  # noqa: F401
 from .tables import read
 
@@ -62,3 +62,8 @@ def op10_token_counts(spark, sf_dir):
 @query("op2_deep_shallow")
 def op2_deep_shallow(spark, sf_dir):
     return suffix_dedup.dedup_stretches(read(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@query("op3_katz_backoff")
+def op3_katz_backoff(spark, sf_dir):
+    return katz.score(read(spark, sf_dir, "documents"))
