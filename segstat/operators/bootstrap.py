@@ -50,7 +50,7 @@ COUNTS = ("pos", "neg", "alarm_pos", "alarm_neg")
 
 def score_metrics(cells: DataFrame, keys: Sequence[str], alarmed: bool) -> DataFrame:
     """Every metric from counts per (keys, score) in one ordered pass; NULL where a class is absent."""
-    totals = running_totals(cells, keys, "score", ["pos", "neg"], descending=True, unit=True)
+    totals = running_totals(cells, keys, "score", ["pos", "neg"], descending=True)
     curve = totals.withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp", "total_pos": "p", "total_neg": "n"})
     error = F.col("pos") * F.pow(F.col("score") - 1, 2) + F.col("neg") * F.pow(F.col("score"), 2)
     summed = curve.groupBy(*keys).agg(auroc_of_curve().alias("auroc"), average_precision_of_curve().alias("auprc"), F.sum(error).alias("_error"),

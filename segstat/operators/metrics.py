@@ -26,7 +26,7 @@ def score_curve(df: DataFrame, by: Sequence[str], score: str = "score", target:
     w = F.lit(1) if weight is None else weight
     y = F.col(target)
     points = df.groupBy(*by, score).agg(F.sum(w * y).cast("bigint").alias("pos"), F.sum(w * (1 - y)).cast("bigint").alias("neg"))
-    totals = running_totals(points, by, score, ["pos", "neg"], descending=True, unit=True)
+    totals = running_totals(points, by, score, ["pos", "neg"], descending=True)
     return totals.select(*by, score, "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
                          F.col("total_pos").alias("p"), F.col("total_neg").alias("n"))
 

@@ -1,9 +1,10 @@
 """Exact ordered computations that survive hot groups.
 
 Row numbers, running sums and quantiles normally need a whole group in one
-task. Here a group is first cut into value ranges; each range gets the total of
-the ranges before it as an offset, so the tasks stay small whatever the group
-holds. Results equal the plain window form.
+task. Here the rows of large groups are dealt over many tasks by Spark's own range
+partitioning over (keys, order), which sorts NULL, NaN and strings as a
+window does; each task's part of a group gets the total of the parts before it as an
+offset. Results equal the plain window form, whatever the keys and order values are.
 """
 from __future__ import annotations
 
@@ -13,12 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.scratch import materialize
 
-# Rows one task may order for one group before the group is cut into ranges.
+# Rows one task may order for one group before the group is dealt over tasks.
 HOT_GROUP_ROWS = 4_000_000
-# Equal-width ranges for values known to lie in [0, 1].
-UNIT_RANGES = 1024
-# Ranges cut from an approximate-quantile sketch for other values.
-SKETCH_RANGES = 64
 # Leading hex digits of a digest used as its range: 16 ** 3 equal shares.
 DIGEST_DIGITS = 3
 
@@ -52,30 +49,21 @@ def has_oversized(df: DataFrame, keys: Sequence[str], limit: int | None = None,
     return found
 
 
-def _numeric(name: str, df: DataFrame) -> Column:
-    kind = df.schema[name].dataType.typeName()
-    column = F.col(name)
-    if kind in ("timestamp", "timestamp_ntz"):
-        return F.unix_micros(column.cast("timestamp"))
-    return column
+def _dealt(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The rows with ``_range``: the number of a task that holds consecutive rows in the given order.
 
-
-def _range_of(value: Column, bounds: Column) -> Column:
-    """Range number in sorted bounds; a value equal to a bound has a range of its own."""
-    below = F.size(F.filter(bounds, lambda b: b < value))
-    return (below * 2 + F.array_contains(bounds, value).cast("int")).cast("bigint")
-
-
-def _sketch(df: DataFrame, keys: Sequence[str], value: Column, ranges: int) -> DataFrame:
-    fractions = [k / ranges for k in range(1, ranges)]
-    return df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, fractions, 10000)).alias("_bounds"))
+    Rows that agree in keys and order share a task. The number is part of a
+    written table, so it stays the same when a task is repeated.
+    """
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(count, *[F.col(k) for k in keys], *order)
+    return materialize(ranged.withColumn("_range", F.spark_partition_id().cast("bigint")), "ranges")
 
 
-def _offsets(cells: DataFrame, keys: Sequence[str], sums: Sequence[str], descending: bool) -> DataFrame:
+def _offsets(cells: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
     """Totals of the ranges before each range: a handful of rows per group."""
     totals = cells.groupBy(*keys, "_range").agg(*[F.sum(s).alias(s) for s in sums])
-    order = F.col("_range").desc() if descending else F.col("_range").asc()
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*(keys or [F.lit(0)]))
     return totals.select(
         *keys, "_range",
@@ -85,14 +73,12 @@ def _offsets(cells: DataFrame, keys: Sequence[str], sums: Sequence[str], descend
 
 
 def running_totals(points: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str], *,
-                   descending: bool = False, unit: bool = False, ranges: int | None = None, limit: int | None = None) -> DataFrame:
+                   descending: bool = False, limit: int | None = None) -> DataFrame:
     """Inclusive running sums ``cum_*`` and group sums ``total_*`` over the order column.
 
     ``points`` has one row per (keys, order value): an aggregate, usually far
     smaller than its source. It is written once, since it is read several
-    times. If no group exceeds the limit one window does; otherwise groups are
-    cut into ranges: equal widths where ``unit`` says the order column lies in
-    [0, 1], else ranges from a mergeable sketch per group.
+    times. If no group exceeds the limit one window does.
     """
     limit = HOT_GROUP_ROWS if limit is None else limit
     points = materialize(points, "points")
@@ -102,14 +88,8 @@ def running_totals(points: DataFrame, keys: Sequence[str], order: str, sums: Seq
         running = part.orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
         return points.select("*", *[F.sum(s).over(running).alias("cum_" + s) for s in sums],
                              *[F.sum(s).over(part).alias("total_" + s) for s in sums])
-    if unit:
-        cells = points.withColumn("_range", F.floor(F.col(order) * (ranges or UNIT_RANGES)))
-    else:
-        value = _numeric(order, points)
-        bounds = _sketch(points, keys, value, ranges or SKETCH_RANGES)
-        cells = null_safe_join(points, bounds, keys).withColumn("_range", _range_of(value, F.col("_bounds"))).drop("_bounds")
-    offsets = _offsets(cells, keys, sums, descending)
-    merged = null_safe_join(cells, offsets, [*keys, "_range"])
+    cells = _dealt(points, keys, [direction])
+    merged = null_safe_join(cells, _offsets(cells, keys, sums), [*keys, "_range"])
     inside = Window.partitionBy(*keys, "_range").orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
     return merged.select(
         *points.columns,
@@ -119,30 +99,24 @@ def running_totals(points: DataFrame, keys: Sequence[str], order: str, sums: Seq
 
 
 def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "i",
-                  limit: int | None = None, memo: tuple | None = None, _depth: int = 0) -> DataFrame:
+                  limit: int | None = None, memo: tuple | None = None) -> DataFrame:
     """0-based position of each row within its group.
 
-    Groups within the limit take one window. Oversized groups are cut into
-    ranges of the leading order column, and again by the next one where a single
-    value still fills a range.
+    Groups within the limit take one window; the rows of oversized groups are
+    dealt over tasks. NULL is a key like any other, and NULL order values come first.
     """
     limit = HOT_GROUP_ROWS if limit is None else limit
-    if _depth >= len(order) or not has_oversized(df, keys, limit, memo):
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(window).cast("bigint") - 1)
-    sizes = df.groupBy(*keys).count()
-    hot = sizes.where(F.col("count") > limit).drop("count")
-    plain = Window.partitionBy(*keys).orderBy(*order)
-    cold = df.join(hot, list(keys), "left_anti").withColumn(name, F.row_number().over(plain).cast("bigint") - 1)
-    rows = df.join(hot, list(keys), "left_semi")
-    value = _numeric(order[_depth], df)
-    column = f"_range_{_depth}"
-    ranged = rows.join(_sketch(rows, keys, value, SKETCH_RANGES), list(keys)).withColumn(
-        column, _range_of(value, F.col("_bounds"))).drop("_bounds")
-    starts = _offsets(ranged.select(*keys, F.col(column).alias("_range"), F.lit(1).cast("bigint").alias("n")), keys, ["n"], False)
-    starts = starts.select(*keys, F.col("_range").alias(column), F.col("_before_n").alias("_start"))
-    inner = ordered_index(ranged, [*keys, column], order, name, limit, None, _depth + 1)
-    placed = inner.join(starts, [*keys, column]).withColumn(name, F.col(name) + F.col("_start"))
+    plain = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint") - 1
+    if not has_oversized(df, keys, limit, memo):
+        return df.withColumn(name, plain)
+    hot = df.groupBy(*keys).count().where(F.col("count") > limit).drop("count")
+    cold = null_safe_join(df, hot, keys, "left_anti").withColumn(name, plain)
+    cells = _dealt(null_safe_join(df, hot, keys, "left_semi"), keys, [F.col(c).asc() for c in order])
+    ones = cells.select(*keys, "_range", F.lit(1).cast("bigint").alias("n"))
+    starts = _offsets(ones, keys, ["n"]).select(*keys, "_range", F.col("_before_n").alias("_start"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order)
+    placed = null_safe_join(cells, starts, [*keys, "_range"]) \
+        .withColumn(name, F.row_number().over(inside).cast("bigint") - 1 + F.col("_start"))
     return cold.unionByName(placed.select(*cold.columns))
 
 
@@ -152,9 +126,10 @@ def previous_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], colum
     if not has_oversized(df, keys, limit, memo):
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", *[F.lag(c).over(window).alias(prefix + c) for c in columns])
-    placed = ordered_index(df, keys, order, "_at", limit)
+    # Written, so that both sides of the join see the same positions where order values tie.
+    placed = materialize(ordered_index(df, keys, order, "_at", limit), "placed")
     shifted = placed.select(*keys, (F.col("_at") + 1).alias("_at"), *[F.col(c).alias(prefix + c) for c in columns])
-    return placed.join(shifted, [*keys, "_at"], "left").drop("_at")
+    return null_safe_join(placed, shifted, [*keys, "_at"], "left").drop("_at")
 
 
 def digest_index(df: DataFrame, keys: Sequence[str], digest: str, name: str = "i", limit: int | None = None) -> DataFrame:
@@ -167,7 +142,7 @@ def digest_index(df: DataFrame, keys: Sequence[str], digest: str, name: str = "i
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(digest)).cast("bigint") - 1)
     cells = df.withColumn("_range", F.substring(digest, 1, DIGEST_DIGITS))
     ones = cells.select(*keys, "_range", F.lit(1).cast("bigint").alias("n"))
-    starts = _offsets(ones, keys, ["n"], False).select(*keys, "_range", F.col("_before_n").alias("_start"))
+    starts = _offsets(ones, keys, ["n"]).select(*keys, "_range", F.col("_before_n").alias("_start"))
     inside = Window.partitionBy(*keys, "_range").orderBy(digest)
     return (null_safe_join(cells, starts, [*keys, "_range"])
             .withColumn(name, F.row_number().over(inside).cast("bigint") - 1 + F.col("_start"))

@@ -19,4 +19,3 @@ def small_limit(monkeypatch):
     """Every group above three rows counts as oversized, so the range-splitting plans run."""
     from segstat.plans import ordering
     monkeypatch.setattr(ordering, "HOT_GROUP_ROWS", 3)
-    monkeypatch.setattr(ordering, "SKETCH_RANGES", 4)
