@@ -28,8 +28,13 @@ def grid_complete(candidates: DataFrame, seeds: Sequence[int], by: Sequence[str]
     return got.select(*by, "n", ((F.col("n") == len(seeds)) & (F.col("expected") == len(seeds))).alias("complete"))
 
 
+def rejected_grids(candidates: DataFrame, seeds: Sequence[int], by: Sequence[str] = ("normalization", "width")) -> DataFrame:
+    """The (mode, width) cells that no selection may use: a seed is missing, repeated or not expected."""
+    return grid_complete(candidates, seeds, by).where("not complete").drop("complete").withColumn("status", F.lit("rejected_seed_grid"))
+
+
 def capacity_summary(candidates: DataFrame, seeds: Sequence[int], metric: str = "validation_auprc") -> DataFrame:
-    """Mean, spread and range over seeds per (mode, width), complete grids only."""
+    """Mean, spread and range over seeds per (mode, width), complete grids only; see ``rejected_grids`` for the others."""
     whole = grid_complete(candidates, seeds).where("complete").select("normalization", "width")
     return candidates.join(whole, ["normalization", "width"]).groupBy("normalization", "width").agg(
         F.count(F.lit(1)).alias("seeds"), F.avg(metric).alias("mean_" + metric), F.stddev_pop(metric).alias("std_" + metric),

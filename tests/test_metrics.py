@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 
 from segstat.operators import bootstrap as BS, metrics as M
 
-TARGET = [0, 0, 1, 0, 1, 1, 0, 1]
-SCORE = [.2, .5, .5, .2, .8, .8, .5, .9]
-CLUSTER = list("AABBBBDD")
-RECORD = list("aabbccdd")
-NORMAL = [1, 1, 0, 0, 0, 0, 0, 0]
+TARGET = [1, 0, 0, 0, 1, 0, 1, 0, 0, 1]
+SCORE = [.9, .3, .6, .1, .6, .3, .3, .7, .05, .4]
+CLUSTER = list("PPQQRRRSSS")
+RECORD = list("ijkkllmnno")
+NORMAL = [0, 1, 1, 1, 0, 0, 0, 1, 1, 0]
 
 
 def frame(spark, target=TARGET, score=SCORE):
@@ -31,7 +31,7 @@ def brute(target, score, weight):
     return auc, ap
 
 
-@pytest.mark.parametrize("weights", [{"A": 1, "B": 1, "D": 1}, {"A": 2, "B": 3, "D": 1}])
+@pytest.mark.parametrize("weights", [{"P": 1, "Q": 1, "R": 1, "S": 1}, {"P": 2, "Q": 1, "R": 0, "S": 3}, {"P": .4, "Q": .4, "R": .4, "S": .4}, {"P": .25, "Q": 1.5, "R": .7, "S": 2.0}])
 def test_ranking_with_ties_and_cluster_weights(spark, weights):
     w = F.create_map(*[F.lit(v) for kv in weights.items() for v in kv])[F.col("cluster_id")]
     row = M.ranking(frame(spark), ["g"], weight=w).first()
@@ -41,7 +41,7 @@ def test_ranking_with_ties_and_cluster_weights(spark, weights):
 
 def test_split_ranges_do_not_change_the_curve(spark, small_limit):
     row = M.ranking(frame(spark), ["g"]).first()
-    assert np.allclose([row["auroc"], row["auprc"]], brute(TARGET, SCORE, [1] * 8))
+    assert np.allclose([row["auroc"], row["auprc"]], brute(TARGET, SCORE, [1] * 10))
 
 
 def test_threshold_is_conservative_for_ties(spark):
@@ -54,13 +54,14 @@ def test_threshold_is_conservative_for_ties(spark):
 def test_normal_record_alarms_and_hours(spark):
     df = frame(spark).withColumn("threshold", F.lit(.5))
     point = M.evaluate(df, ["g"], M.at_or_above(), normal=F.col("normal")).first()
-    assert point["normal_record_alarm_rate"] == 1 and point["false_alarms_per_normal_hour"] == 6
-    assert (point["clusters"], point["positive_clusters"], point["negative_clusters"]) == (3, 2, 3)
+    # Normal records j, k, n: k and n alarm, in two of five segments.
+    assert np.isclose(point["normal_record_alarm_rate"], 2 / 3) and np.isclose(point["false_alarms_per_normal_hour"], 2 / (5 / 12))
+    assert (point["clusters"], point["positive_clusters"], point["negative_clusters"]) == (4, 3, 4)
 
 
 def test_single_class_is_a_status_not_a_number(spark):
-    row = M.evaluate(frame(spark, [0] * 8), ["g"], F.col("score") >= .5).first()
-    assert row["status"] == "insufficient_classes" and row["auroc"] is None and row["n"] == 8
+    row = M.evaluate(frame(spark, [0] * 10), ["g"], F.col("score") >= .5).first()
+    assert row["status"] == "insufficient_classes" and row["auroc"] is None and row["n"] == 10
 
 
 def test_confusion_counts_and_record_alarms(spark):
@@ -108,3 +109,12 @@ def test_spearman_is_null_when_constant(spark):
     df = spark.createDataFrame([(1, 2.0, 3.0), (1, 2.0, 4.0), (2, 1.0, 1.0), (2, 2.0, 5.0), (2, 3.0, 4.0)], "g int, x double, y double")
     got = {r["g"]: r["spearman"] for r in M.spearman(df, ["g"], "x", "y").collect()}
     assert got[1] is None and np.isclose(got[2], .5)
+
+
+def test_scores_that_are_not_numbers_are_reported_not_ranked(spark):
+    odd = [(0, float("nan")), (1, float("inf")), (1, None), (None, .5), (0, float("-inf"))]
+    good = list(zip(TARGET, SCORE))
+    df = spark.createDataFrame([("m", t, s) for t, s in good + odd], "g string, target int, score double")
+    row = M.ranking(df, ["g"]).first()
+    assert np.allclose([row["auroc"], row["auprc"]], brute(TARGET, SCORE, [1] * 10))
+    assert M.invalid_scores(df, ["g"]).first().asDict() == {"g": "m", "rows": 15, "invalid_rows": 5}

@@ -5,36 +5,60 @@ from pyspark.sql import functions as F
 from segstat.operators import cases as K, disclosure as D, models as T, selection as L
 from segstat.streaming import journal as N
 
-GRID = {"channel_maxabs": {8: [.9, .1], 16: [.6, .6], 64: [.55, .55], 128: [.8, .2]}, "per_segment_z": {8: [.95, .95], 16: [.4, .4], 64: [.3, .3], 128: [.7, .7]}}
+SEEDS = (3, 11, 17)
+WIDTHS = (4, 20, 32, 48, 72, 200)      # the fifth lies between the arms
+
+
+def score_of(mode, width, seed):
+    """Any fixed table of distinct values does."""
+    return ((width * 37 + seed * 101 + len(mode) * 53) % 89) / 89
 
 
 def grid(spark):
-    rows = [(m, w, s, v) for m, ws in GRID.items() for w, vs in ws.items() for s, v in zip((42, 43), vs)]
+    rows = [(m, w, s, score_of(m, w, s)) for m in ("plain", "scaled") for w in WIDTHS for s in SEEDS]
     return spark.createDataFrame(rows, "normalization string, width int, seed int, validation_auprc double")
 
 
+def chosen_width(mode, widths):
+    return max(widths, key=lambda w: np.mean([score_of(mode, w, s) for s in SEEDS]))
+
+
 def test_width_uses_the_mean_over_seeds(spark):
-    chosen = {(r["normalization"], r["arm"]): (r["width"], r["seed"]) for r in L.select_capacity(grid(spark), [42, 43]).collect()}
-    assert chosen["channel_maxabs", "small"] == (16, 42) and chosen["channel_maxabs", "medium"] == (64, 42)
-    plan = L.matched_plan(grid(spark), [42, 43], "channel_maxabs", "per_segment_z").orderBy("width", "seed").collect()
-    assert [(r["arm"], r["width"], r["seed"], r["status"]) for r in plan] == [("small", 16, 42, "ok"), ("small", 16, 43, "ok"), ("medium", 64, 42, "ok"), ("medium", 64, 43, "ok")]
+    chosen = {(r["normalization"], r["arm"]): (r["width"], r["seed"]) for r in L.select_capacity(grid(spark), SEEDS).collect()}
+    want = {}
+    for mode in ("plain", "scaled"):
+        for arm, widths in (("small", [w for w in WIDTHS if w <= 32]), ("medium", [w for w in WIDTHS if w >= 64])):
+            width = chosen_width(mode, widths)
+            want[mode, arm] = width, max(SEEDS, key=lambda s: score_of(mode, width, s))
+    assert chosen == want
+    plan = L.matched_plan(grid(spark).where("not (normalization = 'scaled' and seed = 11)"), SEEDS, "plain", "scaled").collect()
+    assert {(r["arm"], r["width"], r["seed"]): r["status"] for r in plan} == {
+        (arm, want["plain", arm][0], s): "missing_pair" if s == 11 else "ok" for arm in ("small", "medium") for s in SEEDS}
 
 
 def test_incomplete_or_repeated_seeds_are_rejected(spark):
     g = grid(spark)
-    assert L.grid_complete(g, [42, 43]).where("not complete").count() == 0
-    assert L.grid_complete(g.where("not (width = 8 and seed = 42)"), [42, 43]).where("not complete").count() == 2
-    assert L.grid_complete(g.union(g.limit(1)), [42, 43]).where("not complete").count() == 1
+    bad = lambda df: {(r["normalization"], r["width"]) for r in L.rejected_grids(df, SEEDS).collect()}
+    assert bad(g) == set()
+    assert bad(g.where("not (width = 48 and seed = 17)")) == {("plain", 48), ("scaled", 48)}
+    assert bad(g.union(g.where("width = 4 and seed = 3 and normalization = 'plain'"))) == {("plain", 4)}
+    assert bad(g.union(g.where("width = 20").withColumn("seed", F.lit(5)))) == {("plain", 20), ("scaled", 20)}
 
 
 def test_extreme_cases_are_deterministic(spark):
-    target, score = [1] * 3 + [0] * 6 + [1] * 3, [.9, .9, .85, .05, .1, .15, .9, .8, .7, .1, .2, .3]
-    df = spark.createDataFrame([(f"r{i:02d}", 0, t, s, .5) for i, (t, s) in enumerate(zip(target, score))], "record_id string, seg_idx int, target int, score double, threshold double")
-    got = sorted((r["category"], r["case_number"], r["record_id"]) for r in K.extreme_cases(df).collect())
-    assert got == [("FN", 1, "r09"), ("FN", 2, "r10"), ("FP", 1, "r06"), ("FP", 2, "r07"), ("TN", 1, "r03"), ("TN", 2, "r04"), ("TP", 1, "r00"), ("TP", 2, "r01")]
-    source = df.select("record_id", "seg_idx", F.when(F.col("record_id") == "r00", 0).otherwise(F.col("target")).alias("target")).where("record_id <> 'r01'")
+    rng = np.random.default_rng(31)
+    rows = [(f"q{i:03d}", i % 3, int(rng.integers(0, 2)), float(rng.integers(0, 12)) / 12, .5) for i in range(60)]
+    df = spark.createDataFrame(rows, "record_id string, seg_idx int, target int, score double, threshold double")
+    want = []
+    for name, target, alarm in (("TP", 1, True), ("FP", 0, True), ("FN", 1, False), ("TN", 0, False)):
+        inside = sorted((r for r in rows if r[2] == target and (r[3] >= .5) == alarm), key=lambda r: (-r[3] if alarm else r[3], r[0], r[1]))
+        want += [(name, k, r[0]) for k, r in enumerate(inside[:2], 1)]
+    got = K.extreme_cases(df).collect()
+    assert sorted((r["category"], r["case_number"], r["record_id"]) for r in got) == sorted(want)
+    first, second, third = (w[2] for w in want[:3])
+    source = df.select("record_id", "seg_idx", F.when(F.col("record_id") == first, 1 - F.col("target")).otherwise(F.col("target")).alias("target")).where(F.col("record_id") != second)
     status = {r["record_id"]: r["alignment"] for r in K.case_signals(K.extreme_cases(df), source).collect()}
-    assert status["r00"] == "target_mismatch" and status["r01"] == "missing" and status["r03"] == "ok"
+    assert status[first] == "target_mismatch" and status[second] == "missing" and status[third] == "ok"
 
 
 def test_suppression_of_boxes(spark):
@@ -51,10 +75,10 @@ def test_right_edge_belongs_to_the_last_segment(spark):
 
 
 def test_stop_reasons_and_recent_gain(spark):
-    jobs = spark.createDataFrame([(1, 1000, 861, 1000, 150, True), (2, 400, 200, 1000, 150, True), (3, 10, 5, 1000, 150, True), (4, None, None, 1000, 150, True), (5, 3, 1, 9, 9, False)],
-                                 "job int, iterations_run long, best_iteration long, cap long, patience long, complete boolean")
+    jobs = spark.createDataFrame([("cap", 60, 59, 60, 8, True), ("patient", 31, 20, 60, 8, True), ("odd", 31, 27, 60, 8, True), ("lost", None, None, 60, 8, True), ("live", 7, 7, 60, 8, False)],
+                                 "job string, iterations_run long, best_iteration long, cap long, patience long, complete boolean")
     got = {r["job"]: (r["stop_reason"], r["patience_met"]) for r in L.stop_diagnosis(jobs).collect()}
-    assert got[1] == ("budget_cap", False) and got[2] == ("early_stopping", True) and got[3][0] == "unknown_stop" and got[4] == ("uncollected", None) and got[5][0] == "incomplete_or_running"
+    assert got == {"cap": ("budget_cap", False), "patient": ("early_stopping", True), "odd": ("unknown_stop", False), "lost": ("uncollected", None), "live": ("incomplete_or_running", False)}
     history = spark.createDataFrame([(1, i, i / 100) for i in range(1, 31)] + [(2, 1, .5)], "job int, iteration long, score double")
     gains = {r["job"]: (r["recent_window"], r["recent_best_gain"]) for r in L.recent_gain(history).collect()}
     assert gains[1][0] == 20 and np.isclose(gains[1][1], .2) and gains[2] == (1, None)
