@@ -14,9 +14,16 @@ def join_m1(left: DataFrame, right: DataFrame, on: Sequence[str]) -> tuple[DataF
     return left.join(right, list(on), "left"), violations
 
 
-def join_11(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """One-to-one join; ``complete`` says whether the right side had the key."""
-    return left.join(right.withColumn("_found", F.lit(True)), list(on), "left").withColumn("complete", F.col("_found").isNotNull()).drop("_found")
+def join_11(left: DataFrame, right: DataFrame, on: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """One-to-one join, and the keys that either side repeats.
+
+    ``complete`` says whether the right side had the key. Keys the right side repeats stay unmatched: rows never multiply.
+    """
+    several = lambda df, side: df.groupBy(*on).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1).withColumn("side", F.lit(side))
+    violations = several(left, "left").unionByName(several(right, "right"))
+    values = [c for c in right.columns if c not in on]
+    single = right.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"), *[F.first(c).alias(c) for c in values]).where(F.col("_rows") == 1)
+    return left.join(single, list(on), "left").withColumn("complete", F.col("_rows").isNotNull()).drop("_rows"), violations
 
 
 def cohort_diff(a: DataFrame, b: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -93,10 +100,3 @@ def arg_first(df: DataFrame, by: Sequence[str], value: str, order: str, largest:
     """Position of the extreme value, the first one on ties."""
     key = F.struct((-F.col(value)) if largest else F.col(value), F.col(order))
     return df.groupBy(*by).agg(F.min_by(F.col(order), key).alias(name))
-
-
-def incomplete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    bad = F.lit(False)
-    for c in columns:
-        bad = bad | ~finite(F.col(c))
-    return df.where(bad)

@@ -389,7 +389,21 @@ def many_to_one(spark, d):
 @query("E02_one_to_one_join", """SELECT record_id, seg_idx, m1, CASE WHEN m2 >= 0.25 THEN m2 END AS m2, m2 >= 0.25 AS complete FROM predictions""")
 def one_to_one(spark, d):
     rows = B.predictions(spark, d)
-    return J.join_11(rows.select(*SEG, "m1"), rows.where(F.col("m2") >= 0.25).select(*SEG, "m2"), SEG)
+    joined, _ = J.join_11(rows.select(*SEG, "m1"), rows.where(F.col("m2") >= 0.25).select(*SEG, "m2"), SEG)
+    return joined
+
+
+@query("E01_cardinality_violations", "SELECT cluster_id, count(*) AS rows FROM predictions GROUP BY cluster_id HAVING count(*) > 1")
+def cardinality_violations(spark, d):
+    """The same predictions on the right side of a join by cluster: every cluster with several rows breaks it."""
+    rows = B.predictions(spark, d).select("cluster_id", *SEG)
+    return J.join_m1(rows.select("cluster_id").distinct(), rows, ["cluster_id"])[1]
+
+
+@query("E02_cardinality_violations", "SELECT record_id, count(*) AS rows, unnest(['left', 'right']) AS side FROM predictions GROUP BY record_id HAVING count(*) > 1")
+def one_to_one_violations(spark, d):
+    rows = B.predictions(spark, d)
+    return J.join_11(rows.select("record_id", "m1"), rows.select("record_id", "m2"), ["record_id"])[1]
 
 
 @query("E03_cohort_difference", """SELECT record_id, seg_idx, CASE WHEN m1 <= 0.11 THEN 'only_right' WHEN m2 >= 0.95 THEN 'only_left' ELSE 'value_mismatch' END AS problem FROM predictions

@@ -1,11 +1,10 @@
 """Run-journal queries that work on a batch table and on a stream alike."""
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scalars import ratio
 from ..plans.ordering import previous_row
@@ -32,27 +31,33 @@ def read_journal(spark: SparkSession, folder: str, schema: str, fmt: str = "text
     return spark.readStream.schema(schema).format(fmt).load(folder)
 
 
-def run_available(stream: DataFrame, label: str, mode: str = "append", partition_by: Sequence[str] = ()) -> DataFrame:
-    """Processes everything that is available and returns what was written.
+def run_available(stream: DataFrame, label: str, mode: str = "append", root: str | None = None) -> DataFrame:
+    """Processes everything that is available and returns all rows written so far.
 
-    Append output goes to a file table. Complete output replaces a versioned
-    folder per batch; the last version is the result. Progress is kept in the
-    shared folder, so a restarted run continues where it stopped.
+    Append output goes to a file table. Complete output replaces a numbered
+    folder per batch; the last one is the result. Progress is kept under
+    ``root``: a run that is given the same folder again continues where the last one
+    stopped, and returns the earlier result if nothing is new. Without it a fresh folder is taken.
     """
     spark = stream.sparkSession
-    root = scratch_path(spark, label)
+    root = root or scratch_path(spark, label)
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", root + "/progress").outputMode(mode)
     if mode == "append":
         writer.format("parquet").option("path", root + "/rows").start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(root + "/rows")
-    versions: list[int] = []
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/batch={number}")
-        versions.append(number)
+        batch.write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
 
     writer.foreachBatch(keep).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/batch={versions[-1]}")
+    try:
+        every = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(root + "/rows")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], stream.schema)       # no batch has ever run
+    last = every.agg(F.max("batch")).first()[0]
+    return every.where(F.col("batch") == last).drop("batch")
 
 
 def event_counts(df: DataFrame, allow: Sequence[str], event: str = "event", stage: str = "stage") -> DataFrame:
@@ -68,12 +73,6 @@ def resource_windows(df: DataFrame, size: str = SAMPLE_WINDOW, watermark: str |
     ).select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *by, "samples", "mean", "minimum", "maximum")
 
 
-def closed_windows(windows: DataFrame, source: DataFrame, watermark: str, time: str = "timestamp") -> DataFrame:
-    """The windows a finished append stream has emitted: those that ended before the watermark."""
-    limit = source.agg(F.max(time) - F.expr(f"INTERVAL {watermark}")).scalar()
-    return windows.where(F.col("window_end") <= limit)
-
-
 def late_rows(df: DataFrame, watermark: str, previous_max: DataFrame, time: str = "timestamp") -> DataFrame:
     """How many rows of a new batch arrive behind the watermark of the earlier data."""
     limit = previous_max.agg(F.max(time) - F.expr(f"INTERVAL {watermark}")).scalar()
@@ -87,27 +86,14 @@ def counter_rate(df: DataFrame, source: str, order: Sequence[str], value: str, s
     return before.select(*df.columns, rate.alias("rate"))
 
 
-def _rates_of_source(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Differences within a chunk; the last sample carries over to the next chunk and the next batch."""
-    held = state.get if state.exists else (None, None)
-    for chunk in chunks:
-        part = chunk.sort_values(["seconds", "sample"], kind="stable").reset_index(drop=True)
-        earlier = part[["seconds", "counter"]].astype(float).shift(1)
-        earlier.iloc[0] = held
-        gap = part["seconds"] - earlier["seconds"]
-        rate = (100.0 * (part["counter"] - earlier["counter"]) / gap).where(gap > 0)
-        held = (float(part["seconds"].iloc[-1]), float(part["counter"].iloc[-1]))
-        yield pd.DataFrame({"source": key[0], "sample": part["sample"], "rate": rate})
-    state.update(held)
-
-
-def counter_rate_stream(stream: DataFrame) -> DataFrame:
-    """Rates from a stream of (source, sample, seconds, counter); the state is one sample per source.
+def counter_rate_stream(stream: DataFrame, root: str | None = None) -> DataFrame:
+    """Rates from a stream of (source, sample, seconds, counter), exact for any order of arrival.
 
-    Rows of a source arrive in time order across chunks, as a counter is sampled.
+    A late sample changes the rates around it, so the stream only takes samples in, each
+    once, and rates are derived from all of them; ``root`` names the folder of a run that continues.
     """
-    return stream.groupBy("source").applyInPandasWithState(
-        _rates_of_source, "source long, sample long, rate double", "seconds double, counter double", "append", GroupStateTimeout.NoTimeout)
+    samples = run_available(stream, "counter-samples", root=root)
+    return counter_rate(samples, "source", ["seconds", "sample"], "counter", "seconds").select("source", "sample", "rate")
 
 
 def stage_durations(df: DataFrame, run: str = "run", stage: str = "stage", event: str = "event", time: str = "timestamp") -> DataFrame:

@@ -146,12 +146,29 @@ def test_blocked_stages_and_durations(spark):
     assert got == {"data": False, "splits": False, "fit": True, "report": True}
 
 
-def test_streams_give_the_batch_rows(spark, tmp_path):
-    rows = spark.createDataFrame([(s, k, float(t), float(t * t + s)) for s in (1, 2) for k, t in enumerate(range(0, 10, 2))], "source long, sample long, seconds double, counter double")
-    folder = str(tmp_path / "c")
-    rows.repartition(1).write.parquet(folder)
-    stream = spark.readStream.schema(rows.schema).parquet(folder)
-    got = {(r["source"], r["sample"]): r["rate"] for r in N.run_available(N.counter_rate_stream(stream), "t").collect()}
-    for r in N.counter_rate(rows, "source", ["seconds"], "counter", "seconds").collect():
-        mine = got[r["source"], r["sample"]]
-        assert (mine is None and r["rate"] is None) or np.isclose(mine, r["rate"])
+def test_rates_from_a_stream_in_any_order_and_after_a_restart(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    data = [(int(s), k, float(k // 2), float(rng.integers(0, 1000))) for s in (1, 2) for k in range(300)]
+    rng.shuffle(data)
+    rows = spark.createDataFrame([(int(a), int(b), float(c), float(d)) for a, b, c, d in data], "source long, sample long, seconds double, counter double")
+    folder, root = str(tmp_path / "in"), str(tmp_path / "run")
+    rows.limit(350).repartition(5).write.parquet(folder)
+    stream = lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    assert N.counter_rate_stream(stream(), root).count() == 350
+    rows.exceptAll(spark.read.parquet(folder)).repartition(4).write.mode("append").parquet(folder)
+    key = lambda df: sorted((r["source"], r["sample"], r["rate"] is None, r["rate"] or 0.0) for r in df.select("source", "sample", "rate").collect())
+    want = key(N.counter_rate(rows, "source", ["seconds", "sample"], "counter", "seconds"))
+    assert key(N.counter_rate_stream(stream(), root)) == want
+    assert key(N.counter_rate_stream(stream(), root)) == want      # nothing new
+
+
+def test_complete_output_continues_in_its_folder(spark, tmp_path):
+    rows = spark.range(20).selectExpr("CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS event", "'s' AS stage")
+    folder, root = str(tmp_path / "in"), str(tmp_path / "run")
+    count = lambda: {r["event"]: r["count"] for r in N.run_available(N.event_counts(
+        spark.readStream.schema(rows.schema).parquet(folder), ["a", "b"]), "counts", "complete", root=root).collect()}
+    rows.write.parquet(folder)
+    assert count() == {"a": 10, "b": 10}
+    assert count() == {"a": 10, "b": 10}
+    rows.write.mode("append").parquet(folder)
+    assert count() == {"a": 20, "b": 20}
