@@ -13,7 +13,7 @@ from .signal_queries import LONG, TRAIN, train_clusters
 from .source_queries import CONTRACT, window_stats
 
 SEG = ["record_id", "seg_idx"]
-SMALL_B = 10
+SMALL_B = BS.REPLICATES
 
 # --- G: bootstrap ----------------------------------------------------------
 
@@ -544,11 +544,11 @@ def coverage(spark, d):
 
 
 @query("J11_screened_composition", """WITH c AS (SELECT site, count(*) AS records, count(DISTINCT cluster_id) AS clusters, CAST(sum(n_segments) AS BIGINT) AS segments, CAST(coalesce(sum(any_abnormal), 0) AS BIGINT) AS positive_records,
- count(DISTINCT CASE WHEN any_abnormal = 1 THEN cluster_id END) AS pc, count(DISTINCT CASE WHEN any_abnormal = 0 THEN cluster_id END) AS qc FROM records WHERE balance > 9000 GROUP BY site),
+ count(DISTINCT CASE WHEN any_abnormal = 1 THEN cluster_id END) AS pc, count(DISTINCT CASE WHEN any_abnormal = 0 THEN cluster_id END) AS qc FROM records GROUP BY site),
 k AS (SELECT *, clusters >= 6 AND (pc = 0 OR pc >= 6) AND (qc = 0 OR qc >= 6) AS ok FROM c)
 SELECT 'S' || lpad(CAST(row_number() OVER (ORDER BY site) AS VARCHAR), 2, '0') AS alias, """ + shown(["records", "clusters", "segments", "positive_records"]) + ", " + STATUS.format(ok="ok") + " FROM k")
 def screened_composition(spark, d):
-    rows = B.records(spark, d).where(F.col("balance") > 9000)
+    rows = B.records(spark, d)
     per_cluster = rows.groupBy("site", "cluster_id").agg(F.count(F.lit(1)).alias("r"), F.sum("n_segments").alias("s"), F.sum("any_abnormal").alias("p"), F.count_if(F.col("any_abnormal") == 0).alias("q"))
     table = per_cluster.groupBy("site").agg(F.sum("r").alias("records"), F.count(F.lit(1)).alias("clusters"), F.sum("s").alias("segments"), F.coalesce(F.sum("p"), F.lit(0)).alias("positive_records"),
                                             F.count_if(F.col("p") > 0).alias("_pc"), F.count_if(F.col("q") > 0).alias("_qc"))

@@ -51,13 +51,13 @@ def spline_basis(spark, d):
 @query("H03_spline_feature_scan")
 def spline_scan(spark, d):
     parts = split_segments(spark, d)
-    return rounded(T.single_feature_scan(parts["train"], parts["val"], ["x_mean", "y_mean"], "nonlinear_spline"), "validation_auroc")
+    return rounded(T.single_feature_scan(parts["train"], parts["val"], FEATURES, "nonlinear_spline"), "validation_auroc")
 
 
 @query("H04_boosted_trees")
 def boosted_trees(spark, d):
     parts = split_segments(spark, d)
-    model = T.boosted_trees(parts["train"], parts["val"], FEATURES, 42, iterations=5, depth=3)
+    model = T.boosted_trees(parts["train"], parts["val"], FEATURES, 42, iterations=30, depth=6)
     return rounded(T.predict(model, parts["test"]).select(*SEG, "target", "score"), "score")
 
 
