@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import numeric_or_null, ratio
+from ..plans.ordering import exact_quantiles, null_safe_join
 from ..sources.scratch import materialize
 from . import signal as C
 
@@ -122,25 +123,31 @@ def min_lag_corr(df: DataFrame, x: str = "x", y: str = "y", fs: float = 0.5, max
     limit = F.least(F.lit(int(max_lag * fs)), F.col("_n") - 2)
     lags = F.when(limit > 0, F.array_union(F.array(F.lit(0)), F.transform(
         F.sequence(F.lit(0), F.floor(limit * 2 / step).cast("int")), lambda k: -limit + k * step))).otherwise(F.array(F.lit(0)))
-    long = arrays.select(*keys, x, y, "_n", F.explode(lags).alias("lag"))
-    size = F.col("_n") - F.abs("lag")
-    a = F.slice(x, F.greatest(F.col("lag"), F.lit(0)) + 1, size)
-    b = F.slice(y, F.greatest(-F.col("lag"), F.lit(0)) + 1, size)
-    paired = long.select(*keys, "lag", F.arrays_zip(a.alias("a"), b.alias("b")).alias("_p"), a.alias("_a"), b.alias("_b"))
-    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v) / F.size(c)
-    centred = paired.withColumn("_ma", mean("_a")).withColumn("_mb", mean("_b"))
+    bind = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v) / F.size(c)
     zero = F.struct(F.lit(0.0).alias("ab"), F.lit(0.0).alias("aa"), F.lit(0.0).alias("bb"))
-    add = lambda s, p: F.struct(
-        (s["ab"] + (p["_a"] - F.col("_ma")) * (p["_b"] - F.col("_mb"))).alias("ab"),
-        (s["aa"] + (p["_a"] - F.col("_ma")) * (p["_a"] - F.col("_ma"))).alias("aa"),
-        (s["bb"] + (p["_b"] - F.col("_mb")) * (p["_b"] - F.col("_mb"))).alias("bb"))
-    centred = centred.withColumn("_p", F.arrays_zip("_a", "_b"))
-    sums = centred.withColumn("_s", F.aggregate("_p", zero, add))
-    varied = (F.array_min("_a") < F.array_max("_a")) & (F.array_min("_b") < F.array_max("_b"))
-    r = F.when(varied, F.try_divide(F.col("_s.ab"), F.sqrt("_s.aa") * F.sqrt("_s.bb"))).otherwise(F.lit(0.0))
-    scored = sums.select(*keys, "lag", F.round(r, 9).alias("_r"))
-    order_of = F.struct(F.col("_r"), (F.col("lag") != 0), F.col("lag"))
-    return scored.groupBy(*keys).agg(F.min("_r").alias("corr_min"), (F.min_by("lag", order_of) / F.lit(float(fs))).alias("corr_min_lag_s"))
+
+    def sums(p: Column) -> Column:
+        add = lambda s, v: F.struct(
+            (s["ab"] + (v["a"] - p["ma"]) * (v["b"] - p["mb"])).alias("ab"),
+            (s["aa"] + (v["a"] - p["ma"]) * (v["a"] - p["ma"])).alias("aa"),
+            (s["bb"] + (v["b"] - p["mb"]) * (v["b"] - p["mb"])).alias("bb"))
+        return F.aggregate(F.arrays_zip(p["a"], p["b"]), zero, add)
+
+    def score(p: Column) -> Column:
+        varied = (F.array_min(p["a"]) < F.array_max(p["a"])) & (F.array_min(p["b"]) < F.array_max(p["b"]))
+        r = bind(sums(p), lambda s: F.try_divide(s["ab"], F.sqrt(s["aa"]) * F.sqrt(s["bb"])))
+        return F.round(F.when(varied, r).otherwise(F.lit(0.0)), 9)
+
+    def of_lag(lag: Column) -> Column:
+        size = F.col("_n") - F.abs(lag)
+        pair = F.struct(F.slice(x, F.greatest(lag, F.lit(0)) + 1, size).alias("a"), F.slice(y, F.greatest(-lag, F.lit(0)) + 1, size).alias("b"))
+        r = bind(pair, lambda p: bind(F.struct(p["a"].alias("a"), p["b"].alias("b"), mean(p["a"]).alias("ma"), mean(p["b"]).alias("mb")), score))
+        return F.struct(r.alias("r"), (lag != 0).alias("shifted"), lag.alias("lag"))
+
+    # All lags of a segment are compared inside its row: nothing is exploded or grouped again.
+    best = arrays.select(*keys, F.array_min(F.transform(lags, of_lag)).alias("_best"))
+    return best.select(*keys, F.col("_best.r").alias("corr_min"), (F.col("_best.lag") / F.lit(float(fs))).alias("corr_min_lag_s"))
 
 
 def _events_of(dev: DataFrame, fs: float):
@@ -197,6 +204,12 @@ def features17(df: DataFrame, fs: float = 4.0) -> DataFrame:
     return joined.fillna(0, zero).select(*keys, *[F.col(f).cast("double").alias(f) for f in FEATURES_17])
 
 
+def rejected_segments(df: DataFrame) -> DataFrame:
+    """Segments that ``features28`` leaves out, with their sample count and the reason."""
+    counted = df.groupBy(*C.SEGMENT).agg(F.count(F.lit(1)).alias("n"))
+    return counted.where(F.col("n") < 2).withColumn("reason", F.lit("fewer_than_two_samples"))
+
+
 def long_features(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])
     return df.select(*keep, F.inline(rows))
@@ -231,12 +244,14 @@ def record_rollup(df: DataFrame, max_missing: float = 0.3, record: str = "record
 def record_stats(df: DataFrame, channels: Sequence[str], record: str = "record_id") -> DataFrame:
     """min / max / integer median / integer mean per channel of a record.
 
-    Sensor readings are quantised, so the exact-median state of a record is
-    bounded by the number of distinct readings, whatever the record's length.
+    Medians come from counts of distinct readings in order, so no task holds a whole record.
     """
-    whole = lambda c: c.cast("int")
-    return df.groupBy(record).agg(*[e for c in channels for e in (
-        F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"), whole(F.median(c)).alias(f"median_{c}"), whole(F.avg(c)).alias(f"mean_{c}"))])
+    whole = lambda c: c.cast("int")
+    simple = df.groupBy(record).agg(*[e for c in channels for e in (F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"), whole(F.avg(c)).alias(f"mean_{c}"))])
+    long = df.select(record, F.inline(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).cast("double").alias("value")) for c in channels])))
+    middle = exact_quantiles(long, [record, "channel"], "value", [0.5], ["median"])
+    wide = middle.groupBy(record).agg(*[whole(F.max(F.when(F.col("channel") == c, F.col("median")))).alias(f"median_{c}") for c in channels])
+    return null_safe_join(simple, wide, [record], "left").select(record, *[f"{k}_{c}" for c in channels for k in ("min", "max", "median", "mean")])
 
 
 def positive_share(df: DataFrame, record: str = "record_id", target: str = "target") -> DataFrame:

@@ -381,6 +381,11 @@ def feature_vector(spark, d):
     return rounded(X.features28(clean(spark, d), FS, 20, 100), *X.FEATURES_28)
 
 
+@query("D09_rejected_segments", "SELECT record_id, seg_idx, count(*) AS n, 'fewer_than_two_samples' AS reason FROM samples GROUP BY ALL HAVING count(*) < 2")
+def rejected_segments(spark, d):
+    return X.rejected_segments(signal(spark, d))
+
+
 @query("D10_features17")
 def features17(spark, d):
     """Whole hours of a record stand in for the longer crops of this variant."""
