@@ -113,7 +113,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     """The documents without a verified overlap; all columns as they were."""
     bad = materialize(overlaps(docs, benchmark, id_column, text, **options).select(F.col("id").alias("_id"), F.col("mark").alias("_mark")).distinct(), "leaks")
     marked = docs.withColumn("_m", F.xxhash64(F.col(text).cast("string")))
-    return marked.join(bad, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark")), "left_anti").drop("_m")
+    return marked.join(bad.hint("merge"), F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark")), "left_anti").drop("_m")
 
 
 def _oracle() -> str:
