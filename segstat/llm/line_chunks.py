@@ -55,11 +55,12 @@ def repeated_chunks(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     marked = found.join(often, ["h", "n"]).select("id", "mark", "start", "h", "n", (place == F.col("first")).alias("is_first"))
     by_text = marked.groupBy("id", "mark").agg(F.collect_list(F.struct("start", "h", "n", "is_first")).alias("marks"))
     wide = docs.select(F.col(id_column).alias("i"), F.col(text).cast("string").alias("t")).where("t is not null").withColumn("m", F.xxhash64("t"))
-    met = wide.join(by_text, F.col("i").eqNullSafe(F.col("id")) & (F.col("m") == F.col("mark"))) \
+    # Sort-merge at every size: texts are dealt once by id, whatever the share of documents with repeats.
+    met = wide.join(by_text.hint("merge"), F.col("i").eqNullSafe(F.col("id")) & (F.col("m") == F.col("mark"))) \
         .select("id", "mark", "marks", F.expr(chunks("t", divisor)).alias("c"))
     texts = met.select("id", "mark", F.expr("explode(transform(marks, m -> named_struct('start', m.start, 'h', m.h, 'n', m.n, 'is_first', m.is_first, 't', element_at(filter(c, x -> x.start = m.start), 1).text)))").alias("o"))
     texts = materialize(texts.select("id", "mark", "o.*").distinct(), "chunk-texts")
-    first = materialize(texts.where("is_first").select("h", "n", F.col("t").alias("first_text")), "first-texts")
+    first = texts.where("is_first").select("h", "n", F.col("t").alias("first_text"))
     later = texts.where("not is_first").join(first, ["h", "n"])
     return later.where("t = first_text").select("id", "mark", "start")
 
@@ -67,11 +68,12 @@ def repeated_chunks(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
                 divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
     """The documents without repeated chunks, with n_lines, n_removed_lines and n_removed_chunks."""
-    gone = materialize(repeated_chunks(docs, id_column, text, divisor, min_lines), "gone") \
+    gone = repeated_chunks(docs, id_column, text, divisor, min_lines) \
         .groupBy("id", "mark").agg(F.collect_list("start").alias("gone")).select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), F.col("gone").alias("_gone"))
     own = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed_lines", "n_removed_chunks")])
-    wide = own.withColumn("_t", F.col(text).cast("string")).withColumn("_m", F.xxhash64("_t"))
-    met = wide.join(gone, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark")), "left")
+    marked = own.withColumn("_m", F.xxhash64(F.col(text).cast("string")))
+    met = marked.join(gone.hint("merge"), F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark")), "left") \
+        .withColumn("_t", F.col(text).cast("string"))
     parted = F.expr(f"CASE WHEN _gone IS NOT NULL THEN {_let('c', chunks('_t', divisor), _split_kept())} END")
     done = met.withColumn("_kept", parted)
     cut = F.col("_kept").isNotNull()
