@@ -18,7 +18,9 @@ import os
 import random
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -33,32 +35,63 @@ ISLANDS, POPULATION, EPOCHS, GENERATIONS = 2, 4, 2, 6
 CLOSE = 0.995          # bins filled less are offered to the next round
 ROUNDS = 4
 
+COLUMNS = ("piece", "start", "length", "ids_crc32", "uid", "sequence_id", "offset")      # these replace kept ones
+
 _SPLIT = re.compile(r"[ \t\n\r]+")
+_LETTERS = "a-zªµºß-öø-ÿ"
+_DIGITS = "0-9²³¹¼½¾"
+# The tokenizer's own cuts, for lower-cased Latin-1 text without apostrophes: letters, single digits, anything else.
+_CUTS = re.compile(f"[{_LETTERS}]+|[{_DIGITS}]|[^\\t-\\r \x85\xa0{_LETTERS}{_DIGITS}]+")
+_PROSE = re.compile(f"[{_LETTERS} \\n.,]*")
+_CACHE_WORDS = 900_000
 _tokenizers: dict[str, tuple] = {}
-_CACHE_WORDS = 400_000
+
+
+class _Known(dict):
+    """Ids of words met so far; those of the texts at hand that found no room are in ``rest``."""
+    rest: dict = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.rest[word]
 
 
 def token_bytes(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian 32-bit integers.
 
-    The tokenizer never joins across white space, so words are encoded once and looked up.
+    The tokenizer never joins across its cuts, so words are encoded once and looked up.
     """
     if path not in _tokenizers:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        _tokenizers[path] = Tokenizer.from_file(path), {"": b""}
+        _tokenizers[path] = Tokenizer.from_file(path), _Known()
     tokenizer, known = _tokenizers[path]
-    split = [_SPLIT.split(t) for t in texts]
-    new = [w for w in set().union(*split) if w not in known]
-    if len(known) + len(new) > _CACHE_WORDS:
-        known.clear()
-        known[""] = b""
-        new = list(set().union(*split) - {""})
-    for word, encoded in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-        known[word] = np.array(encoded.ids, "<u4").tobytes()
+    split = [_cut_words(t) for t in texts]
+    new = list(set(filterfalse(known.__contains__, chain.from_iterable(split))))
+    encoded = tokenizer.encode_batch_fast(new, add_special_tokens=False)
+    ids = {w: array("I", e.ids).tobytes() for w, e in zip(new, encoded)}
+    # Frequent words come early and stay; when the table is full, rare ones are encoded where they stand.
+    if len(known) + len(ids) <= _CACHE_WORDS:
+        known.update(ids)
+    else:
+        known.rest = ids
     return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
+def _cut_words(text: str) -> list[str]:
+    """Pieces that the tokenizer encodes independently of each other."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _SPLIT.split(text)
+    if "'" in text or "<|" in text:
+        return _SPLIT.split(text)
+    text = text.lower()
+    # Plain prose, where only single full stops and commas stand between words, is cut by white space.
+    if _PROSE.fullmatch(text) and not any(pair in text for pair in ("..", ".,", ",.", ",,")):
+        return text.replace(".", " . ").replace(",", " , ").split()
+    return _CUTS.findall(text)
+
+
 def pieces(docs: DataFrame, keep: list[str], path: str, text: str = "text", length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """One row for each piece: kept columns, piece, start, length, ids_crc32."""
     end = np.array([end_id], "<u4").tobytes()
@@ -286,7 +319,7 @@ def pack(cut: DataFrame, capacity: int = LENGTH, shard_pieces: int = SHARD_PIECE
 def pack_documents(docs: DataFrame, path: str, keep: list[str], text: str = "text", length: int = LENGTH,
                    end_id: int = END_ID, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Kept columns, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
-    cut = pieces(docs, keep, path, text, length, end_id)
+    cut = pieces(docs, [c for c in keep if c not in COLUMNS], path, text, length, end_id)
     # The number is part of the written table, so it stays the same when a task is repeated later.
     cut = materialize(cut.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     return pack(cut, length, shard_pieces).drop("uid")
