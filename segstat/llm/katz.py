@@ -11,14 +11,15 @@ alpha(v) is the mass left by the pairs of v over the unigram mass of the words n
 
 1. Word counts are combined in each task and dealt by word: N, V, counts of counts, and words with a 1,000th of all tokens.
 2. Each task packs its tokens into blocks dealt by word (frequent words: by pair). The block's owner has c(w) and
-   c(v w) for all its words, estimates the pair discounts of its bucket from all its pairs, and adds up what needs nothing else. In training
+   c(v w) for all its words, and adds up what needs nothing else; pairs seen up to 5 times are only counted by r. In training
    documents every pair is seen, so the factor 1 / c(v) is added where v itself is counted.
 3. Sums over the followers of a context, and the tokens of held-out documents, meet by context
    (frequent contexts: in 16 copies), where alpha is computed and applied.
 4. Sums are added for each document.
 
-Pair discounts are those of a bucket: words fall into buckets by their hash, and each bucket's counts of
-counts cover all training documents. alpha uses the discounted values themselves, so probabilities add up to 1.
+With ``pooled`` the buckets' counts of counts are added up after step 2, whose result is written, and one set of pair
+discounts is applied in step 3: scores do not depend on the number of buckets. Without it each bucket of words (by hash) has the
+discounts of its own pairs. alpha uses the discounted values themselves, so probabilities add up to 1 either way.
 
 Defined cases: a missing text is empty (one token, the end); a missing id is never held out; repeated rows are
 documents of their own; without training documents every token is unknown and its score is 0 in base and model (log of 1);
@@ -184,7 +185,7 @@ def _word_counts(texts: DataFrame, buckets: int) -> Unigrams:
 # --- 2: pairs -------------------------------------------------------------------------------
 
 _BLOCK = "bucket int, kind int, slab long, n long, m long, k long, blob binary"
-_DOCUMENTS, _PAIRS, _SUMS, _FOLLOWERS, _HELD = range(5)
+_DOCUMENTS, _PAIRS, _SUMS, _FOLLOWERS, _HELD, _COUNTS = range(6)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -244,7 +245,7 @@ def _deal_pairs(uni: Unigrams, buckets: int):
     return run
 
 
-def _count_pairs(uni: Unigrams, buckets: int):
+def _count_pairs(uni: Unigrams, buckets: int, pooled: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[int, list] = {}
         for batch in batches:
@@ -257,12 +258,24 @@ def _count_pairs(uni: Unigrams, buckets: int):
             if through:
                 yield _rows(through)
         for bucket in sorted(blocks):
-            yield from _count_bucket(blocks.pop(bucket), uni, buckets)
+            yield from _count_bucket(blocks.pop(bucket), uni, buckets, pooled)
 
     return run
 
 
-def _count_bucket(blocks: list[dict], uni: Unigrams, buckets: int) -> Iterator[pa.RecordBatch]:
+def _joined(arrays: list[np.ndarray]) -> np.ndarray:
+    """The arrays as one; the list is emptied."""
+    out = np.concatenate(arrays)
+    arrays.clear()
+    return out
+
+
+def _by_count(where: np.ndarray, r: np.ndarray, size: int) -> list[np.ndarray]:
+    """For each r from 1 to TOP, how often it stands at each place."""
+    return [np.bincount(where[r == k], minlength=size).astype(np.uint32) for k in range(1, TOP + 1)]
+
+
+def _count_bucket(blocks: list[dict], uni: Unigrams, buckets: int, pooled: bool) -> Iterator[pa.RecordBatch]:
     blocks.sort(key=lambda r: (r["slab"], r["n"], r["blob"]))
     words, contexts, docs, refs = [], [], [], []
     slabs, ref_of = [], {}
@@ -275,9 +288,11 @@ def _count_bucket(blocks: list[dict], uni: Unigrams, buckets: int) -> Iterator[p
             ref_of[row["slab"]] = len(slabs)
             slabs.append(row["slab"])
         refs.append(np.full(row["n"], ref_of[row["slab"]], np.int64))
-    w, v, doc, ref = (np.concatenate(x) for x in (words, contexts, docs, refs))
+    blocks.clear()
+    w, v, doc, ref = (_joined(x) for x in (words, contexts, docs, refs))
     order = np.lexsort((v, w))
     w, v, doc, ref = w[order], v[order], doc[order], ref[order]
+    del order
     train = (doc & 1) == 0
     opens_word = np.concatenate([[True], w[1:] != w[:-1]])
     opens = opens_word | np.concatenate([[True], v[1:] != v[:-1]])
@@ -288,24 +303,33 @@ def _count_bucket(blocks: list[dict], uni: Unigrams, buckets: int) -> Iterator[p
     often, at = uni.frequent(w[opens_word])
     if often.any():
         word_count[often] = uni.counts[at[often]]
-    small = discounted(np.bincount(np.minimum(pair_count[pair_count > 0], TOP + 2), minlength=TOP + 3).astype(float))
+    n_r = np.bincount(np.minimum(pair_count[pair_count > 0], TOP + 2), minlength=TOP + 3)
+    if pooled:
+        yield _rows([(0, _COUNTS, k, int(n_r[k]), 0, 0, b"") for k in range(1, TOP + 3)])
+    small = discounted(n_r.astype(float))
     r, c = pair_count[pair], word_count[word]
+    later = r if pooled else np.zeros(len(r), np.int64)
     unigram = uni.probability(c)
     with np.errstate(divide="ignore"):
         score = np.where(r > 0, np.log10(apply_discount(small, np.maximum(r, 1))), np.log10(unigram))
+        score[(later > 0) & (later <= TOP)] = 0.0
         score -= np.where(train & (w != END), np.log10(np.maximum(c, 1)), 0.0)
     base = np.log10((c + 1) / (uni.total + uni.types + 1))
+    known = c > 0
+    del pair, unigram, c
     # Sums for each document.
     key = (ref << 32) | (doc >> np.uint32(1)).astype(np.int64)
     each, where = np.unique(key, return_inverse=True)
-    sums = [np.bincount(where, x) for x in (score, base, c > 0)]
+    sums = [np.bincount(where, x) for x in (score, base, known)]
+    rare = _by_count(where, later, len(each))
+    del key, where, later, score, base, known
     cuts = np.searchsorted(each >> 32, np.arange(len(slabs) + 1))
     rows = []
     for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
         if hi > lo:
             slab = slabs[k]
             rows.append((int(np.int64(slab).view(np.uint64) % U(buckets)), _SUMS, slab, hi - lo, 0, 0,
-                         _zip((each[lo:hi] & 0xFFFFFFFF).astype(np.uint32), sums[0][lo:hi], sums[1][lo:hi], sums[2][lo:hi].astype(np.uint32))))
+                         _zip((each[lo:hi] & 0xFFFFFFFF).astype(np.uint32), sums[0][lo:hi], sums[1][lo:hi], sums[2][lo:hi].astype(np.uint32), *[x[lo:hi] for x in rare])))
     if rows:
         yield _rows(rows)
     # What each context's seen followers sum up to in this bucket.
@@ -313,9 +337,11 @@ def _count_bucket(blocks: list[dict], uni: Unigrams, buckets: int) -> Iterator[p
     context = v[opens][seen]
     followers, where = np.unique(context, return_inverse=True)
     n = pair_count[seen]
-    data = np.zeros(len(followers), [("v", "<u8"), ("n", "<i8"), ("mass", "<f8"), ("unigram", "<f8")])
+    later = n if pooled else np.zeros(len(n), np.int64)
+    data = np.zeros(len(followers), [("v", "<u8"), ("n", "<i8"), ("mass", "<f8"), ("unigram", "<f8"), ("rare", "<u4", (TOP,))])
     data["v"], data["n"] = followers, np.bincount(where, n)
-    data["mass"] = np.bincount(where, apply_discount(small, n))
+    data["mass"] = np.bincount(where, np.where((later > 0) & (later <= TOP), 0.0, apply_discount(small, n)))
+    data["rare"] = np.stack(_by_count(where, later, len(followers)), 1)
     data["unigram"] = np.bincount(where, uni.probability(word_count[word[opens]][seen]))
     often, _ = uni.frequent(data["v"])
     copies = [data[~often]]
@@ -326,7 +352,7 @@ def _count_bucket(blocks: list[dict], uni: Unigrams, buckets: int) -> Iterator[p
     data = np.concatenate(copies)
     data = data[np.lexsort((data["v"], data["v"] % U(buckets)))]
     cuts = np.searchsorted((data["v"] % U(buckets)).astype(np.int64), np.arange(buckets + 1))
-    rows = [(b, _FOLLOWERS, 0, hi - lo, 0, 0, _zip(_step(data["v"][lo:hi]), data["n"][lo:hi], data["mass"][lo:hi], data["unigram"][lo:hi]))
+    rows = [(b, _FOLLOWERS, 0, hi - lo, 0, 0, _zip(_step(data["v"][lo:hi]), data["n"][lo:hi], data["mass"][lo:hi], data["unigram"][lo:hi], data["rare"][lo:hi].T))
             for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])) if hi > lo]
     if rows:
         yield _rows(rows)
@@ -371,48 +397,54 @@ def _part(slab, at, tables=None, ids=None, held=None, n_tokens=None, n_known=Non
         names=["slab", "at", "tables", "id", "held_out", "n_tokens", "n_known", "base", "score"])
 
 
-def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, list] = {}
-    followers, held, slab_lists = [], [], []
-    for batch in batches:
-        for row in batch.to_pylist():
-            n, m, k, blob, slab = row["n"], row["m"], row["k"], row["blob"], row["slab"]
-            if row["kind"] == _DOCUMENTS:
-                ids, missing, out, sizes = _unzip(blob, [("<i8", n), ("?", n), ("?", n), ("<i8", n)])
-                yield _part(np.full(n, slab), np.arange(n, dtype=np.int32), np.ones(n, np.int32), pa.array(ids, mask=missing), out, sizes)
-            elif row["kind"] == _SUMS:
-                sums.setdefault(slab, []).append(_unzip(blob, [("<u4", n), ("<f8", n), ("<f8", n), ("<u4", n)]))
-            elif row["kind"] == _FOLLOWERS:
-                step, *rest = _unzip(blob, [("<u8", n), ("<i8", n), ("<f8", n), ("<f8", n)])
-                followers.append((np.cumsum(step), *rest))
-            else:
-                step, length, ids, place, doc, unseen = _unzip(blob, [("<u8", m), ("<u4", m), ("<i8", k), ("<u4", n), ("<u4", n), ("?", n)])
-                held.append((np.repeat(np.cumsum(step), length), ids[place], doc, unseen))
-    for slab, blocks in sums.items():
-        at = np.concatenate([b[0] for b in blocks]).astype(np.int64)
-        score, base, known = (np.bincount(at, np.concatenate([b[i] for b in blocks])) for i in (1, 2, 3))
-        there = np.flatnonzero(np.bincount(at))
-        yield _part(np.full(len(there), slab), there.astype(np.int32), n_known=known[there].astype(np.int64), base=base[there], score=score[there])
-    if not held:
-        return
-    v, slab, doc, unseen = (np.concatenate(x) for x in zip(*held))
-    value = np.zeros(len(v))
-    if followers:
-        key, where = np.unique(np.concatenate([f[0] for f in followers]), return_inverse=True)
-        count, mass, unigram = (np.bincount(where, np.concatenate([f[i] for f in followers])) for i in (1, 2, 3))
-        weight = np.log10((1 - mass / count) / (1 - unigram))
-        at = np.minimum(np.searchsorted(key, v), len(key) - 1)
-        value = np.where(key[at] == v, np.where(unseen, weight[at], -np.log10(count[at])), 0.0)
-    names, ref = np.unique(slab, return_inverse=True)
-    each, where = np.unique((ref.astype(np.int64) << 32) | doc, return_inverse=True)
-    yield _part(names[each >> 32], (each & 0xFFFFFFFF).astype(np.int32), score=np.bincount(where, value))
+def _weigh(small: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        followers, held, slab_lists = [], [], []
+        for batch in batches:
+            for row in batch.to_pylist():
+                n, m, k, blob, slab = row["n"], row["m"], row["k"], row["blob"], row["slab"]
+                if row["kind"] == _DOCUMENTS:
+                    ids, missing, out, sizes = _unzip(blob, [("<i8", n), ("?", n), ("?", n), ("<i8", n)])
+                    yield _part(np.full(n, slab), np.arange(n, dtype=np.int32), np.ones(n, np.int32), pa.array(ids, mask=missing), out, sizes)
+                elif row["kind"] == _SUMS:
+                    sums.setdefault(slab, []).append(_unzip(blob, [("<u4", n), ("<f8", n), ("<f8", n), *[("<u4", n)] * (1 + TOP)]))
+                elif row["kind"] == _FOLLOWERS:
+                    step, *rest = _unzip(blob, [("<u8", n), ("<i8", n), ("<f8", n), ("<f8", n), *[("<u4", n)] * TOP])
+                    followers.append((np.cumsum(step), *rest))
+                else:
+                    step, length, ids, place, doc, unseen = _unzip(blob, [("<u8", m), ("<u4", m), ("<i8", k), ("<u4", n), ("<u4", n), ("?", n)])
+                    held.append((np.repeat(np.cumsum(step), length), ids[place], doc, unseen))
+        for slab, blocks in sums.items():
+            at = np.concatenate([b[0] for b in blocks]).astype(np.int64)
+            score, base, known, *rare = (np.bincount(at, np.concatenate([b[i] for b in blocks])) for i in range(1, 4 + TOP))
+            score = score + np.log10(small[1:]) @ np.array(rare)
+            there = np.flatnonzero(np.bincount(at))
+            yield _part(np.full(len(there), slab), there.astype(np.int32), n_known=known[there].astype(np.int64), base=base[there], score=score[there])
+        if not held:
+            return
+        v, slab, doc, unseen = (np.concatenate(x) for x in zip(*held))
+        value = np.zeros(len(v))
+        if followers:
+            key, where = np.unique(np.concatenate([f[0] for f in followers]), return_inverse=True)
+            count, mass, unigram, *rare = (np.bincount(where, np.concatenate([f[i] for f in followers])) for i in range(1, 4 + TOP))
+            mass = mass + small[1:] @ np.array(rare)
+            weight = np.log10((1 - mass / count) / (1 - unigram))
+            at = np.minimum(np.searchsorted(key, v), len(key) - 1)
+            value = np.where(key[at] == v, np.where(unseen, weight[at], -np.log10(count[at])), 0.0)
+        names, ref = np.unique(slab, return_inverse=True)
+        each, where = np.unique((ref.astype(np.int64) << 32) | doc, return_inverse=True)
+        yield _part(names[each >> 32], (each & 0xFFFFFFFF).astype(np.int32), score=np.bincount(where, value))
+
+    return run
 
 
 def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2,
-          buckets: int | None = None) -> DataFrame:
+          buckets: int | None = None, pooled: bool = False) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
-    Documents whose crc32(id as text) mod ``folds`` is ``held`` are scored but not learned from.
+    Documents whose crc32(id as text) mod ``folds`` is ``held`` are scored but not learned from. ``pooled`` takes the
+    pair discounts from all pairs instead of from those of each bucket.
     """
     spark = docs.sparkSession
     buckets = buckets or max(64, parts(spark))
@@ -420,8 +452,14 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", folds:
     texts = docs.select(F.col(id_column).cast("long").alias("id"), out.alias("held_out"), text_of(text).alias("t"))
     uni = _word_counts(texts, buckets)
     dealt = texts.mapInArrow(_deal_pairs(uni, buckets), _BLOCK).repartition(parts(spark), "bucket")
-    counted = dealt.mapInArrow(_count_pairs(uni, buckets), _BLOCK).repartition(parts(spark), "bucket")
-    summed = counted.mapInArrow(_weigh, _PART).groupBy("slab", "at").agg(
+    counted = dealt.mapInArrow(_count_pairs(uni, buckets, pooled), _BLOCK)
+    n_r = np.zeros(TOP + 3)
+    if pooled:
+        counted = materialize(counted, "pair-sums")
+        for r in counted.where(F.col("kind") == _COUNTS).groupBy("slab").agg(F.sum("n").alias("types")).collect():
+            n_r[r["slab"]] = r["types"]
+        counted = counted.where(F.col("kind") != _COUNTS)
+    summed = counted.repartition(parts(spark), "bucket").mapInArrow(_weigh(discounted(n_r)), _PART).groupBy("slab", "at").agg(
         F.sum("tables").alias("copies"), F.max("id").alias("id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
         F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
     # Equal slabs of equal rows share a number; their sums are equal, and each row comes back.

@@ -66,4 +66,4 @@ def op2_deep_shallow(spark, sf_dir):
 
 @query("op3_katz_backoff")
 def op3_katz_backoff(spark, sf_dir):
-    return katz.score(read(spark, sf_dir, "documents"))
+    return katz.score(read(spark, sf_dir, "documents"), pooled=True)

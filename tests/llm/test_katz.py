@@ -100,3 +100,21 @@ def test_no_training_documents(spark):
     docs = spark.createDataFrame([(held, "a b")], "doc_id long, text string")
     assert [tuple(r) for r in katz.score(docs).collect()] == [(held, True, 3, 0, 0, 0.0, 0.0)]
     assert katz.score(docs.limit(0)).collect() == []
+
+
+def test_pooled_discounts_do_not_depend_on_buckets(spark, monkeypatch):
+    rows = [(i, TEXTS[i % len(TEXTS)] if i % 3 else (TEXTS[i % len(TEXTS)] or "") + f" w{i % 5} w{i % 11}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole = brute(rows, 1)               # one bucket holds all pairs
+    assert any(abs(a[6] - b[6]) > 0.01 for a, b in zip(whole, brute(rows, 5)))
+    for buckets in (1, 5, 64):
+        same(katz.score(docs, buckets=buckets, pooled=True).collect(), whole)
+    monkeypatch.setattr(katz, "FREQUENT", 8)
+    same(katz.score(docs, buckets=7, pooled=True).collect(), brute(rows, 1))
+
+
+def test_query_pools_discounts(spark, small):
+    from segstat.llm.queries import op3_katz_backoff
+    from segstat.llm.tables import read
+    found = op3_katz_backoff(spark, small).collect()
+    same(found, [tuple(r) for r in katz.score(read(spark, small, "documents"), buckets=3, pooled=True).collect()])
