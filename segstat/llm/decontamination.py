@@ -4,7 +4,10 @@ Words are lower-cased runs without white space. A seed is a fixed mask over eigh
 which three positions are ignored, so a hit survives substituted words. Every position of every
 document is held against the seeds of the benchmark; a hit names a diagonal (document position minus
 item position), and along each diagonal the stretch with the best score (+1 for an equal word, -3 for a
-substituted one) is verified word by word: at least ``MIN_WORDS`` long, at least 80 % equal.
+substituted one) is verified word by word: at least ``MIN_WORDS`` long, at least 80 % equal. What lies
+beside it, or the whole diagonal where it fails, is then read from the left for further stretches of that length and
+share that begin and end with an equal word, each as long as possible: none is left outside the findings.
+``ORACLE_SQL`` knows the best stretch of each diagonal only.
 
 The benchmark's seeds are counted first. Up to ``MAX_SET`` distinct ones they are part of the
 filter, and documents without a hit never leave their scan; beyond that seeds are shuffled and
@@ -89,24 +92,50 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", t
         'item', x.item, 'item_mark', x.item_mark, 'line', x.line,
         'part', slice(w, greatest(x.line, 0) + 1, least(size(w), x.line + x.n_item) - greatest(x.line, 0)))))""").alias("c"))
     cut = cut.select("id", "mark", "row", "c.*")
-    step = f"if(part[i] = item_words[i + greatest(-line, 0)], 1, {MISS})"
-    best = F.expr(f"""aggregate(sequence(0, size(part) - 1),
-        named_struct('now', 0, 'from', 0, 'best', 0, 'first', 0, 'last', -1),
-        (a, i) -> {_let('s', f"if(a.now <= 0, named_struct('now', {step}, 'from', i), named_struct('now', a.now + {step}, 'from', a.`from`))",
-                        "if(s.now > a.best, named_struct('now', s.now, 'from', s.`from`, 'best', s.now, 'first', s.`from`, 'last', i), "
-                        "named_struct('now', s.now, 'from', s.`from`, 'best', a.best, 'first', a.first, 'last', a.last))")})""")
     named = items.withColumnRenamed("item", "_item").withColumnRenamed("item_mark", "_item_mark")
     scored = cut.join(named, F.col("item").eqNullSafe(F.col("_item")) & (F.col("item_mark") == F.col("_item_mark")))
-    scored = scored.select("id", "mark", "row", "item", "line", best.alias("b"))
-    n = F.expr("b.last - b.first + 1")
-    # best = equal + MISS * (n - equal)
-    equal = F.expr(f"CAST((b.best - {MISS} * (b.last - b.first + 1)) / {1 - MISS} AS bigint)")
+    equal = "transform(part, (x, i) -> x = item_words[i + greatest(-line, 0)])"
+    scored = scored.select("id", "mark", "item", "line", F.expr(f"explode({_let('e', equal, _stretches(min_words, min_equal))})").alias("b"))
     return scored.select(
-        "id", "mark", "row", F.col("item").alias("item_id"),
+        "id", "mark", F.col("item").alias("item_id"),
         (F.greatest("line", F.lit(0)) + F.col("b.first")).cast("long").alias("doc_start"),
         (F.greatest(-F.col("line"), F.lit(0)) + F.col("b.first")).cast("long").alias("item_start"),
-        n.cast("long").alias("n_tokens"), equal.alias("n_equal")) \
-        .where((F.col("n_tokens") >= min_words) & (F.col("n_equal") >= min_equal * F.col("n_tokens"))).drop("row")
+        F.expr("b.last - b.first + 1").cast("long").alias("n_tokens"), F.col("b.equal").cast("long").alias("n_equal"))
+
+
+_FOUND = "array<struct<first: int, last: int, equal: int>>"
+
+
+def _stretches(min_words: int, min_equal: float) -> str:
+    """SQL for the findings (first, last, equal) on a diagonal whose words are equal where ``e`` is true."""
+    step = f"if(e[i], 1, {MISS})"
+    best = f"""aggregate(sequence(0, size(e) - 1),
+        named_struct('now', 0, 'from', 0, 'best', 0, 'first', 0, 'last', -1),
+        (a, i) -> {_let('s', f"if(a.now <= 0, named_struct('now', {step}, 'from', i), named_struct('now', a.now + {step}, 'from', a.`from`))",
+                        "if(s.now > a.best, named_struct('now', s.now, 'from', s.`from`, 'best', s.now, 'first', s.`from`, 'last', i), "
+                        "named_struct('now', s.now, 'from', s.`from`, 'best', a.best, 'first', a.first, 'last', a.last))")})"""
+    # best = equal + MISS * (n - equal)
+    sized = f"named_struct('first', b.first, 'last', b.last, 'equal', CAST((b.best - {MISS} * (b.last - b.first + 1)) / {1 - MISS} AS int))"
+    counts = f"(f.last - f.first + 1 >= {min_words} AND f.equal >= {min_equal}D * (f.last - f.first + 1))"
+    spans = "array(named_struct('lo', 0, 'hi', f.first - 1), named_struct('lo', f.last + 1, 'hi', size(e) - 1))"
+    rest = f"transform({{}}, s -> {_further(min_words, min_equal)})"
+    return _let("b", best, _let("f", sized, f"""if({counts}, CAST(concat(array(f), flatten({rest.format(spans)})) AS {_FOUND}),
+        CAST(flatten({rest.format("array(named_struct('lo', 0, 'hi', size(e) - 1))")}) AS {_FOUND}))"""))
+
+
+def _further(min_words: int, min_equal: float) -> str:
+    """SQL for the findings within the span ``s``: from the left, each as long as possible."""
+    # c[k]: equal words among the first k of the span; top[k]: most that c exceeds its share by, after an equal word among the last k.
+    counted = "aggregate(sequence(s.lo, s.hi), array(0), (a, i) -> concat(a, array(element_at(a, -1) + if(e[i], 1, 0))))"
+    top = f"""aggregate(sequence(s.hi, s.lo, -1), array(CAST('-Infinity' AS double)), (a, i) ->
+        concat(a, array(if(e[i], greatest(element_at(a, -1), c[i - s.lo + 1] - {min_equal}D * (i - s.lo + 1)), element_at(a, -1)))))"""
+    none = f"i < a.next OR NOT e[i] OR top[s.hi - i - {min_words - 2}] < c[i - s.lo] - {min_equal}D * (i - s.lo) - 1e-6D"
+    last = f"""array_max(filter(sequence(i + {min_words - 1}, s.hi), j -> e[j] AND c[j - s.lo + 1] - c[i - s.lo] >= {min_equal}D * (j - i + 1)))"""
+    more = "concat(a.found, array(named_struct('first', i, 'last', z, 'equal', c[z - s.lo + 1] - c[i - s.lo])))"
+    taken = _let("z", last, f"if(z IS NULL, a, named_struct('next', z + 1, 'found', CAST({more} AS {_FOUND})))")
+    greedy = f"""aggregate(sequence(s.lo, s.hi - {min_words - 1}), named_struct('next', s.lo, 'found', CAST(array() AS {_FOUND})),
+        (a, i) -> if({none}, a, {taken}), a -> a.found)"""
+    return f"if(s.hi - s.lo + 1 < {min_words}, CAST(array() AS {_FOUND}), {_let('c', counted, _let('top', top, greedy))})"
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:

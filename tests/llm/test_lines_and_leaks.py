@@ -100,3 +100,33 @@ def test_queries_match_sql(spark, small):
         columns = sorted(found.columns)
         want = db.sql(f"SELECT {', '.join(columns)} FROM ({queries.CHECKS[name]})").fetchall()
         assert sorted(map(tuple, found.select(*columns).collect())) == sorted(want)
+
+
+def stretches(eq):
+    """The best stretch by +1/-3 if it counts, then beside it, or anywhere, the longest from each start that counts."""
+    def counts(a, b):
+        return b - a >= 10 and sum(eq[a:b]) >= 0.8 * (b - a)
+
+    score, a, b = max(((sum(1 if x else -3 for x in eq[a:b]), a, b) for a in range(len(eq)) for b in range(a + 1, len(eq) + 1)), key=lambda x: (x[0], -x[2], x[1]))
+    found = [(a, b)] if counts(a, b) else []
+    for at, end in [(0, a), (b, len(eq))] if found else [(0, len(eq))]:
+        while at < end:
+            ends = [k for k in range(at + 1, end + 1) if eq[at] and eq[k - 1] and counts(at, k)]
+            found += [(at, ends[-1])] if ends else []
+            at = ends[-1] if ends else at + 1
+    return found
+
+
+def test_every_stretch_that_counts(spark):
+    rng = random.Random(7)
+    item = [f"i{k}" for k in range(88)]
+    patterns = [[k % 13 < 10 for k in range(88)]]                      # seven runs of ten, three substituted between
+    patterns += [[True] * 12 + [False] * 30 + [True] * 14 + [False] * 22 + [True] * 10]     # three apart
+    patterns += [[rng.random() < share for _ in range(88)] for share in [0.8] * 25 + [0.7] * 10]
+    docs = [(i, " ".join(w if e else "other" for w, e in zip(item, eq))) for i, eq in enumerate(patterns)]
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    found = decontamination.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    got = sorted((r["id"], r["doc_start"], r["item_start"], r["n_tokens"], r["n_equal"]) for r in found)
+    hit = {i for i, eq in enumerate(patterns) if any(all(eq[a + k] for k, b in enumerate(m) if b == "1") for m in decontamination.MASKS for a in range(81))}
+    assert got == sorted((i, a, a, b - a, sum(eq[a:b])) for i, eq in enumerate(patterns) if i in hit for a, b in stretches(eq))
+    assert [r[1:] for r in got if r[0] == 0] == [(0, 0, 75, 60), (78, 78, 10, 10)] and len([r for r in got if r[0] == 1]) == 3
