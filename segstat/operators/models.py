@@ -19,6 +19,7 @@ from ..plans.ordering import null_safe_join
 from ..sources.scratch import materialize
 from . import metrics as M, splits as S
 from .align import exclude_clusters
+from .bootstrap import REPLICATES, paired
 
 # Spline size, boosting settings of the two tree families.
 SPLINE_KNOTS = 5
@@ -157,9 +158,8 @@ def linear_contributions(model: PipelineModel, df: DataFrame, columns: Sequence[
     return df.select(*keep, F.inline(F.array(*parts)))
 
 
-def incremental_value(df: DataFrame, base: Sequence[str], extra: Sequence[str], k: int, seed: int = 42, replicates: int = 10, keys: Sequence[str] = ("record_id",)) -> tuple[DataFrame, DataFrame]:
+def incremental_value(df: DataFrame, base: Sequence[str], extra: Sequence[str], k: int, seed: int = 42, replicates: int = REPLICATES, keys: Sequence[str] = ("record_id",)) -> tuple[DataFrame, DataFrame]:
     """Out-of-fold metrics of a base arm and base plus extra columns, and their paired difference."""
-    from .bootstrap import paired
     folds = materialize(S.nested_folds(df, k, 3, seed), "folds")
     rows = materialize(df, "rows")
     arms = {}

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import metrics as M, models as T, splits as S
+from ..operators import metrics as M, models as T, outcomes as O, signal as C, splits as S
 from ..sources import bindings as B
 from ..sources.scratch import materialize
 from .metric_queries import rounded
@@ -89,8 +89,21 @@ def linear_contributions(spark, d):
 def incremental_value(spark, d):
     rows = B.records(spark, d).where(F.col("balance") >= 0).select(
         "record_id", "cluster_id", (F.col("balance") < 2000).cast("int").alias("target"), (F.col("price") / 100000).alias("price"), F.col("n_segments").cast("double").alias("n_segments"), "abnormal_fraction")
-    _, difference = T.incremental_value(rows, ["price", "n_segments"], ["abnormal_fraction"], 3)
-    return rounded(difference, "difference", "lo", "hi")
+    lines = B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("record_id"), F.col("l_linenumber").alias("seg_idx"), (F.col("l_returnflag") == "R").cast("int").alias("flag"))
+    named = lines.withColumn("name", F.concat(F.lit("r"), F.col("record_id").cast("string"), F.lit("_p"), F.col("seg_idx").cast("string")))
+    runs = C.longest_contiguous(named).select("record_id", F.col("longest_run").cast("double").alias("longest_abnormal_run"))
+    return gated_increment(rows.join(runs, "record_id", "left"), ["price", "n_segments"], ["abnormal_fraction", "longest_abnormal_run"], 3)
+
+
+def gated_increment(rows, base, extra, k):
+    """The paired difference with the gate's counts and status; with too few clusters in a class only these."""
+    rows = materialize(rows, "increment")
+    gate = materialize(O.min_group_gate(rows, [], "target", k), "gate")
+    if gate.where(F.col("status") == "ok").isEmpty():
+        empty = {"metric": "string", "difference": "double", "lo": "double", "hi": "double", "n_valid": "bigint"}
+        return gate.select(*[F.lit(None).cast(kind).alias(c) for c, kind in empty.items()], "*")
+    _, difference = T.incremental_value(rows, base, extra, k)
+    return rounded(difference.crossJoin(gate), "difference", "lo", "hi")
 
 
 @query("I08_leave_one_site_out")

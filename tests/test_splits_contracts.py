@@ -128,3 +128,18 @@ def test_cohort_difference_reports_every_kind(spark):
     b = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (4, 0)], "k int, target int")
     got = {r["k"]: r["problem"] for r in J.cohort_diff(a, b, ["k"], ["target"]).collect()}
     assert got == {2: "value_mismatch", 3: "duplicate_key", 4: "only_right"}
+
+
+def test_increment_has_fifty_replicates_both_readings_and_a_gate(spark, monkeypatch):
+    from segstat.operators import bootstrap, models
+    from segstat.queries import model_queries
+    few = spark.createDataFrame([(i, i, i % 2, float(i)) for i in range(10)], "record_id long, cluster_id long, target int, x double")
+    [row] = model_queries.gated_increment(few, ["x"], ["x"], 3).collect()
+    assert row["status"] == "insufficient_outcome_groups" and row["min_groups"] == 6 and row["positive_clusters"] == 5 and row["difference"] is None
+    seen = {}
+    real = models.incremental_value
+    monkeypatch.setattr(models, "incremental_value", lambda rows, base, extra, k: seen.update(extra=extra, rows=rows) or real(rows, base, extra, k))
+    found = model_queries.incremental_value(spark, "/root/testdata/sf0.001").collect()
+    assert seen["extra"] == ["abnormal_fraction", "longest_abnormal_run"] and not seen["rows"].where("longest_abnormal_run > 1").isEmpty()
+    assert {r["metric"] for r in found} == {"auroc", "auprc", "brier"} and {r["status"] for r in found} == {"ok"}
+    assert all(10 < r["n_valid"] <= bootstrap.REPLICATES for r in found)
