@@ -113,3 +113,30 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     flag[order[1:][same]] = True
     flag[order[:-1][same]] = True
     return flag
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Positions of the ranges [start, start + length), one after the other."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+
+
+def same_bytes(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which of the ranges a[a_start:][:length] and b[b_start:][:length] hold equal bytes; eight at a time."""
+    same = np.ones(len(lengths), bool)
+    if not len(lengths):
+        return same
+    at, left = np.arange(len(lengths)), lengths
+    wide_a, wide_b = (np.lib.stride_tricks.sliding_window_view(np.concatenate([x, np.zeros(8, np.uint8)]), 8) for x in (a, b))
+    done = 0
+    while len(at):
+        x = wide_a[a_starts[at] + done].reshape(-1).view(np.uint64)
+        y = wide_b[b_starts[at] + done].reshape(-1).view(np.uint64)
+        short = np.minimum(left, 8).astype(np.uint64)
+        mask = np.where(short == 8, ~U(0), (U(1) << (short * U(8))) - U(1))
+        differs = ((x ^ y) & mask) != 0
+        same[at[differs]] = False
+        more = ~differs & (left > 8)
+        at, left = at[more], left[more] - 8
+        done += 8
+    return same

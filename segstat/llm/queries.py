@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import boosted_quality, decontamination, html_blocks, katz, line_chunks, packing, quality_rules, simhash_ball, suffix_dedup, token_counts
+from . import boosted_quality, byte_bpe, decontamination, hard_negatives, html_blocks, katz, lexical_nra, line_chunks, packing, quality_rules, simhash_ball, suffix_dedup, token_counts
 from .registry import CHECKS, QUERIES, query  # noqa: F401
 from .tables import read
 
@@ -67,3 +67,23 @@ def op2_deep_shallow(spark, sf_dir):
 @query("op3_katz_backoff")
 def op3_katz_backoff(spark, sf_dir):
     return katz.score(read(spark, sf_dir, "documents"), pooled=True)
+
+
+@query("op11_byte_bpe")
+def op11_byte_bpe(spark, sf_dir):
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    encoded = byte_bpe.encode(read(spark, sf_dir, "documents"), path, ["doc_id"])
+    decoded = byte_bpe.decode(encoded, path)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op12_lexical_nra", lexical_nra.ORACLE_SQL)
+def op12_lexical_nra(spark, sf_dir):
+    return lexical_nra.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op13_hard_negatives", hard_negatives.ORACLE_SQL)
+def op13_hard_negatives(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings")
+    relabelled = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(relabelled, F.col("vec_id") % 100 == 0)
