@@ -2,7 +2,8 @@
 
 A replicate draws as many clusters as there are. The draws come from md5, so a
 weight table is reproducible and can be reused for every model compared.
-Rows are reduced to (cluster, score) before weights are applied.
+Rows are reduced to (cluster, score), and normal records to sums per cluster, before weights are
+applied; all replicates of a sum travel together (``replicates``).
 """
 from __future__ import annotations
 
@@ -11,9 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import hash_below, keyed_md5, ratio
-from ..plans.ordering import digest_index, exact_quantiles, null_safe_join, running_totals
+from ..plans.ordering import digest_index, null_safe_join, running_totals
 from ..sources.scratch import materialize
-from .metrics import auroc_of_curve, average_precision_of_curve
+from .metrics import auroc_of_curve, average_precision_of_curve, record_alarms, usable
+from .replicates import packed_pairs, packed_weights, replicate_metrics
 
 # Replicates of the small profile, and the interval's percentiles.
 REPLICATES = 50
@@ -26,39 +28,60 @@ def cluster_numbers(df: DataFrame, cluster: str = "cluster_id", seed: int = 42)
     return materialize(digest_index(materialize(distinct, "clusters"), ["_all"], "_digest", "number").select(cluster, "number"), "numbers")
 
 
+def _drawn(numbers: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(b, number) of every draw: as many in each replicate as there are clusters."""
+    size = numbers.agg(F.count(F.lit(1))).scalar()
+    draws = numbers.select("number", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
+    return draws.select("b", hash_below(keyed_md5(seed, F.col("b"), F.col("number")), size).alias("number"))
+
+
 def cluster_weights(df: DataFrame, replicates: int = REPLICATES, seed: int = 42, cluster: str = "cluster_id") -> DataFrame:
     """How often each replicate drew each cluster; clusters never drawn have no row."""
     numbers = cluster_numbers(df, cluster, seed)
-    size = numbers.agg(F.count(F.lit(1))).scalar()
-    draws = numbers.select("number", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
-    drawn = draws.select("b", hash_below(keyed_md5(seed, F.col("b"), F.col("number")), size).alias("number"))
-    counts = drawn.groupBy("b", "number").agg(F.count(F.lit(1)).alias("weight"))
+    counts = _drawn(numbers, replicates, seed).groupBy("b", "number").agg(F.count(F.lit(1)).alias("weight"))
     return counts.join(numbers, "number").select("b", cluster, "weight")
 
 
+def packed_draws(df: DataFrame, replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
+    """The same draws with all replicates of a cluster in one row, for ``replicates.weighted_sums``."""
+    numbers = cluster_numbers(df, "cluster_id", seed)
+    drawn = _drawn(numbers, replicates, seed).groupBy("number").agg(packed_pairs(F.col("b"), F.lit(1)).alias("_w"))
+    return drawn.join(numbers, "number").select("cluster_id", "_w")
+
+
 def reduce_scores(df: DataFrame, by: Sequence[str], alarm: Column | None = None, score: str = "score", target: str = "target",
                   cluster: str = "cluster_id") -> DataFrame:
-    """Class and alarm counts per (by, cluster, score), written once: everything below reads only this."""
+    """Class and alarm counts per (by, cluster, score), written once: everything below reads only this.
+
+    Rows that cannot be ranked are left out, as everywhere (``metrics.invalid_scores`` counts them).
+    """
     y = F.col(target)
-    a = F.lit(0) if alarm is None else alarm.cast("int")
-    return materialize(df.groupBy(*by, F.col(cluster).alias("cluster_id"), F.col(score).alias("score")).agg(
+    a = F.lit(0) if alarm is None else F.coalesce(alarm.cast("int"), F.lit(0))
+    return materialize(df.where(usable(score, target)).groupBy(*by, F.col(cluster).alias("cluster_id"), F.col(score).alias("score")).agg(
         F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"), F.sum(y * a).alias("alarm_pos"), F.sum((1 - y) * a).alias("alarm_neg")), "reduced")
 
 
+def reduce_normal_records(df: DataFrame, by: Sequence[str], alarm: Column, target: str = "target", record: str = "record_id",
+                          cluster: str = "cluster_id", normal: Column | None = None) -> DataFrame:
+    """Per (by, cluster): normal records, those alarmed, their segments and alarmed segments."""
+    rolled = record_alarms(df, by, alarm, target, record, cluster, None, normal).where(F.col("normal") == 1)
+    return rolled.groupBy(*by, F.col(cluster).alias("cluster_id")).agg(
+        F.count(F.lit(1)).alias("normal_records"), F.count_if(F.col("alarms") > 0).alias("normal_alarmed"),
+        F.sum("segments").alias("normal_segments"), F.sum("alarms").alias("normal_alarms"))
+
+
 COUNTS = ("pos", "neg", "alarm_pos", "alarm_neg")
 
 
-def score_metrics(cells: DataFrame, keys: Sequence[str], alarmed: bool) -> DataFrame:
-    """Every metric from counts per (keys, score) in one ordered pass; NULL where a class is absent."""
+def score_metrics(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """AUROC, average precision and Brier score from counts per (keys, score); NULL where a class is absent."""
     totals = running_totals(cells, keys, "score", ["pos", "neg"], descending=True)
     curve = totals.withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp", "total_pos": "p", "total_neg": "n"})
     error = F.col("pos") * F.pow(F.col("score") - 1, 2) + F.col("neg") * F.pow(F.col("score"), 2)
     summed = curve.groupBy(*keys).agg(auroc_of_curve().alias("auroc"), average_precision_of_curve().alias("auprc"), F.sum(error).alias("_error"),
-                                      F.max("p").alias("_p"), F.max("n").alias("_n"), F.sum("alarm_pos").alias("_tp"), F.sum("alarm_neg").alias("_fp"))
-    p, n, tp, fp = (F.col(c) for c in ("_p", "_n", "_tp", "_fp"))
-    columns = {"auroc": F.col("auroc"), "auprc": F.col("auprc"), "brier": ratio(F.col("_error"), p + n), "prevalence": ratio(p, p + n)}
-    if alarmed:
-        columns |= {"sensitivity": ratio(tp, p), "specificity": 1 - ratio(fp, n), "ppv": ratio(tp, tp + fp), "f1": ratio(2 * tp, p + tp + fp)}
+                                      F.max("p").alias("_p"), F.max("n").alias("_n"))
+    p, n = F.col("_p"), F.col("_n")
+    columns = {"auroc": F.col("auroc"), "auprc": F.col("auprc"), "brier": ratio(F.col("_error"), p + n)}
     return summed.select(*keys, *[F.when((p > 0) & (n > 0), c).alias(name) for name, c in columns.items()])
 
 
@@ -67,31 +90,36 @@ def _long(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
     return wide.select(*keys, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics]))).where(F.col("value").isNotNull())
 
 
-def replicate_metrics(reduced: DataFrame, weights: DataFrame, by: Sequence[str], alarmed: bool = False) -> DataFrame:
-    """Long table (b, by, metric, value) over replicates; single-class replicates have no value.
+def bootstrap_ci(df: DataFrame, by: Sequence[str], replicates: int = REPLICATES, seed: int = 42, alarm: Column | None = None,
+                 weights: DataFrame | None = None, record: str | None = None, normal: Column | None = None, **names: str) -> DataFrame:
+    """Percentile interval and number of valid replicates per metric.
 
-    A cluster's weights travel as one array of at most B pairs, so the join is
-    as wide as the reduced rows and not B times as wide.
+    With ``alarm`` the operating metrics are added, with ``record`` those of normal records too.
     """
-    per_cluster = weights.groupBy("cluster_id").agg(F.collect_list(F.struct("b", "weight")).alias("_w"))
-    spread = reduced.join(per_cluster, "cluster_id").select(*by, "score", *COUNTS, F.inline("_w"))
-    cells = spread.groupBy("b", *by, "score").agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in COUNTS])
-    return _long(score_metrics(cells, ["b", *by], alarmed), ["b", *by])
-
-
-def bootstrap_ci(df: DataFrame, by: Sequence[str], replicates: int = REPLICATES, seed: int = 42, alarm: Column | None = None,
-                 weights: DataFrame | None = None, **names: str) -> DataFrame:
-    """Percentile interval and number of valid replicates per metric."""
-    reduced = reduce_scores(df, by, alarm, **names)
-    drawn = cluster_weights(reduced, replicates, seed) if weights is None else weights
-    return intervals(replicate_metrics(reduced, drawn, by, alarm is not None), by)
+    if not record or alarm is None:
+        reduced, records = reduce_scores(df, by, alarm, **names), None
+    else:
+        score, target, cluster = (names.get(k, v) for k, v in (("score", "score"), ("target", "target"), ("cluster", "cluster_id")))
+        extra = [] if normal is None else [normal.cast("int").alias("_normal")]
+        # Two reductions read these rows: they are joined and computed once.
+        rows = materialize(df.select(*by, *dict.fromkeys([score, target, cluster, record]), alarm.alias("_alarm"), *extra), "alarmed")
+        reduced = reduce_scores(rows, by, F.col("_alarm"), score, target, cluster)
+        records = reduce_normal_records(rows, by, F.col("_alarm"), target, record, cluster, None if normal is None else F.col("_normal"))
+    drawn, width = _draws_of(reduced, replicates, seed, weights)
+    return intervals(_long(replicate_metrics(reduced, records, drawn, width, by, alarm is not None), [*by, "b"]), by)
+
+
+def _draws_of(reduced: DataFrame, replicates: int, seed: int, weights: DataFrame | None) -> tuple[DataFrame, int]:
+    """One row of draws for each cluster, written once, and the number of replicates."""
+    if weights is None:
+        return materialize(packed_draws(reduced, replicates, seed), "draws"), replicates
+    return materialize(packed_weights(weights), "draws"), (weights.agg(F.max("b")).first()[0] or 0) + 1
 
 
 def intervals(values: DataFrame, by: Sequence[str]) -> DataFrame:
-    values = materialize(values, "replicates")
-    keys = [*by, "metric"]
-    ends = exact_quantiles(values, keys, "value", INTERVAL, ["lo", "hi"])
-    return null_safe_join(ends, values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_valid")), keys)
+    """Percentile interval and count per metric; a group holds at most one value for each replicate."""
+    ends = values.groupBy(*by, "metric").agg(F.percentile("value", F.array(*[F.lit(p) for p in INTERVAL])).alias("_q"), F.count("value").alias("n_valid"))
+    return ends.select(*by, "metric", F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"), "n_valid")
 
 
 def paired(df: DataFrame, left: str, right: str, replicates: int = REPLICATES, seed: int = 42, weights: DataFrame | None = None,
@@ -104,11 +132,12 @@ def paired(df: DataFrame, left: str, right: str, replicates: int = REPLICATES, s
     keys = ["arm", *by]
     reduced = reduce_scores(df.select(*by, cluster, target, F.inline(arms)), keys, None, "score", target, cluster)
     cells = reduced.groupBy(*keys, "score").agg(*[F.sum(c).alias(c) for c in COUNTS])
-    point = _left_minus_right(_long(score_metrics(cells, keys, False), keys), by, "difference")
+    point = _left_minus_right(_long(score_metrics(cells, keys), keys), by, "difference")
     if not replicates:
         return point.withColumn("lo", F.lit(None).cast("double")).withColumn("hi", F.lit(None).cast("double")).withColumn("n_valid", F.lit(0).cast("bigint"))
-    drawn = cluster_weights(reduced, replicates, seed) if weights is None else weights
-    deltas = _left_minus_right(replicate_metrics(reduced, drawn, keys), ["b", *by], "value").where(F.col("value").isNotNull())
+    drawn, width = _draws_of(reduced, replicates, seed, weights)
+    values = _long(replicate_metrics(reduced, None, drawn, width, keys, False), [*keys, "b"])
+    deltas = _left_minus_right(values, ["b", *by], "value").where(F.col("value").isNotNull())
     return null_safe_join(point, intervals(deltas, by), [*by, "metric"], "left")
 
 

@@ -26,26 +26,26 @@ def score_curve(df: DataFrame, by: Sequence[str], score: str = "score", target:
 
     Rows without a finite score or a target are left out; ``invalid_scores`` counts them.
     """
-    usable = df.where(_usable(score, target))
+    kept = df.where(usable(score, target))
     y = F.col(target)
     w = F.lit(1) if weight is None else weight
-    kind = usable.select((w * y).alias("w")).schema["w"].dataType.typeName()
+    kind = kept.select((w * y).alias("w")).schema["w"].dataType.typeName()
     # Whole weights add up exactly; fractional ones stay fractions.
     total = "double" if kind in ("double", "float") or kind.startswith("decimal") else "bigint"
-    points = usable.groupBy(*by, score).agg(F.sum(w * y).cast(total).alias("pos"), F.sum(w * (1 - y)).cast(total).alias("neg"))
+    points = kept.groupBy(*by, score).agg(F.sum(w * y).cast(total).alias("pos"), F.sum(w * (1 - y)).cast(total).alias("neg"))
     totals = running_totals(points, by, score, ["pos", "neg"], descending=True)
     return totals.select(*by, score, "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
                          F.col("total_pos").alias("p"), F.col("total_neg").alias("n"))
 
 
-def _usable(score: str, target: str) -> Column:
+def usable(score: str, target: str) -> Column:
     value = F.col(score).cast("double")
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")) & F.col(target).isNotNull()
 
 
 def invalid_scores(df: DataFrame, by: Sequence[str], score: str = "score", target: str = "target") -> DataFrame:
     """Rows, and rows that cannot be ranked (score missing or not finite, or target missing), per group."""
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.count_if(~_usable(score, target)).alias("invalid_rows"))
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.count_if(~usable(score, target)).alias("invalid_rows"))
 
 
 def auroc_of_curve() -> Column:

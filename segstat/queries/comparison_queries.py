@@ -7,7 +7,7 @@ from ..functions import scalars as V
 from ..operators import bootstrap as BS, cases as K, disclosure as D, features as X, metrics as M, outcomes as O, selection as L, splits as S
 from ..sources import bindings as B
 from ..sources.scratch import materialize
-from .metric_queries import (AUPRC, AUROC, COHORT, SPLIT, curve_sql, evaluation_sql, fixed_threshold, rounded)
+from .metric_queries import (AUPRC, AUROC, COHORT, SENS90, SPLIT, curve_sql, evaluation_sql, fixed_threshold, rounded)
 from .registry import query
 from .signal_queries import LONG, TRAIN, train_clusters
 from .source_queries import CONTRACT, window_stats
@@ -27,26 +27,35 @@ def cluster_weights(spark, d):
     return BS.cluster_weights(B.scored(spark, d), SMALL_B, 42)
 
 
+REPLICATE_METRICS = ["auroc", "auprc", "brier", "prevalence", "sensitivity_at_spec90", "sensitivity", "specificity", "ppv", "f1", "normal_record_alarm_rate", "false_alarms_per_normal_hour"]
+
+
 def replicate_sql(source: str, by: str, alarm: str) -> str:
     """CTE 'reps' (b, by, metric, value) for long predictions."""
     on = "b, " + by
-    return f"""wp AS (SELECT p.*, b, weight, {alarm} AS alarm FROM {source} p JOIN weights USING (cluster_id)),
-points AS (SELECT {on}, score, sum(weight * target) AS pos, sum(weight * (1 - target)) AS neg FROM wp GROUP BY ALL),
-curve AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY {on}) AS p, sum(neg) OVER (PARTITION BY {on}) AS n FROM points WINDOW w AS (PARTITION BY {on} ORDER BY score DESC)),
-rk AS (SELECT {on}, {AUROC} AS auroc, {AUPRC} AS auprc FROM curve GROUP BY {on}),
+    return f"""wa AS (SELECT *, {alarm} AS alarm FROM {source}), wp AS (SELECT p.*, b, weight FROM wa p JOIN weights USING (cluster_id)),
+rpoints AS (SELECT {on}, score, sum(weight * target) AS pos, sum(weight * (1 - target)) AS neg FROM wp GROUP BY ALL),
+rcurve AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY {on}) AS p, sum(neg) OVER (PARTITION BY {on}) AS n FROM rpoints WINDOW w AS (PARTITION BY {on} ORDER BY score DESC)),
+rk AS (SELECT {on}, {AUROC} AS auroc, {AUPRC} AS auprc, {SENS90} AS sensitivity_at_spec90 FROM rcurve WHERE p > 0 AND n > 0 GROUP BY {on}),
 op AS (SELECT {on}, sum(weight * (score - target) * (score - target)) / sum(weight)::DOUBLE AS brier, sum(weight * target) / sum(weight)::DOUBLE AS prevalence,
   sum(weight * target) FILTER (WHERE alarm) / sum(weight * target)::DOUBLE AS sensitivity, 1 - coalesce(sum(weight * (1 - target)) FILTER (WHERE alarm), 0) / sum(weight * (1 - target))::DOUBLE AS specificity,
   sum(weight * target) FILTER (WHERE alarm) / (sum(weight) FILTER (WHERE alarm))::DOUBLE AS ppv, 2 * sum(weight * target) FILTER (WHERE alarm) / (sum(weight * target) + sum(weight) FILTER (WHERE alarm))::DOUBLE AS f1
   FROM wp GROUP BY {on}),
-reps AS (UNPIVOT (SELECT * FROM rk JOIN op USING ({on})) ON auroc, auprc, brier, prevalence, sensitivity, specificity, ppv, f1 INTO NAME metric VALUE value)"""
+wr AS (SELECT {by}, cluster_id, record_id, count(*) AS segs, count(*) FILTER (WHERE alarm) AS alarms FROM wa GROUP BY ALL HAVING max(target) = 0),
+wn AS (SELECT {on}, sum(weight * CASE WHEN alarms > 0 THEN 1 ELSE 0 END) / sum(weight)::DOUBLE AS normal_record_alarm_rate,
+  sum(weight * alarms) / (sum(weight * segs) / 12::DOUBLE) AS false_alarms_per_normal_hour FROM wr JOIN weights USING (cluster_id) GROUP BY {on}),
+reps AS (UNPIVOT (SELECT * FROM rk JOIN op USING ({on}) LEFT JOIN wn USING ({on})) ON {", ".join(REPLICATE_METRICS)} INTO NAME metric VALUE value)"""
 
 
 @query("G12_bootstrap_intervals", f"""WITH {WEIGHTS}, {replicate_sql('preds', 'model', 'score >= 0.5')}
 SELECT model, metric, round(quantile_cont(value, 0.025), 6) AS lo, round(quantile_cont(value, 0.975), 6) AS hi, count(value) AS n_valid FROM reps GROUP BY ALL""")
 def bootstrap_intervals(spark, d):
-    rows = fixed_threshold(spark, d)
-    weights = materialize(BS.cluster_weights(B.scored(spark, d), SMALL_B, 42), "weights")
-    return rounded(BS.bootstrap_ci(rows, ["model"], alarm=M.at_or_above(), weights=weights), "lo", "hi")
+    return rounded(screened_ends(spark, d), "lo", "hi")
+
+
+def screened_ends(spark, d):
+    """Intervals of all eleven metrics of both models at the fixed threshold, under one table of draws."""
+    return BS.bootstrap_ci(fixed_threshold(spark, d), ["model"], SMALL_B, 42, alarm=M.at_or_above(), record="record_id")
 
 
 PAIRED = f"""{replicate_sql('preds', 'model', 'true')},
@@ -594,19 +603,18 @@ def screened_signal_quality(spark, d):
     return rounded(D.apply_screen(table, ["samples", "affected_samples", "fraction"], ok).drop("_c", "_z", "_n"), "fraction")
 
 
-@query("J14_screened_metric_intervals", f"""WITH {WEIGHTS}, {replicate_sql('preds', 'model', 'score >= 0.5')}, ci AS (SELECT model, metric, round(quantile_cont(value, 0.025), 6) AS lo, round(quantile_cont(value, 0.975), 6) AS hi FROM reps WHERE metric IN ('auroc', 'auprc') GROUP BY ALL),
-pp AS (SELECT model, score, sum(target) AS pos, sum(1 - target) AS neg FROM preds GROUP BY ALL),
-pc AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY model) AS p, sum(neg) OVER (PARTITION BY model) AS n FROM pp WINDOW w AS (PARTITION BY model ORDER BY score DESC)),
-pt AS (SELECT model, round({AUROC}, 6) AS auroc, round({AUPRC}, 6) AS auprc FROM pc GROUP BY model), cc AS (SELECT model, {COHORT} FROM preds GROUP BY model),
-k AS (SELECT pt.model, n, clusters, auroc, auprc, max(lo) FILTER (WHERE metric = 'auroc') AS auroc_lo, max(hi) FILTER (WHERE metric = 'auroc') AS auroc_hi, max(lo) FILTER (WHERE metric = 'auprc') AS auprc_lo, max(hi) FILTER (WHERE metric = 'auprc') AS auprc_hi, {CLASS_OK} AS ok
- FROM pt JOIN ci USING (model) JOIN cc USING (model) GROUP BY ALL)
-SELECT model, {shown(['n', 'clusters', 'auroc', 'auroc_lo', 'auroc_hi', 'auprc', 'auprc_lo', 'auprc_hi'])}, {STATUS.format(ok='ok')} FROM k""")
+SHOWN_ENDS = [f"{m}{end}" for m in M.EVALUATION_METRICS for end in ("", "_lo", "_hi")]
+ALARM_ENDS = tuple(f"{m}{end}" for m in ("normal_record_alarm_rate", "false_alarms_per_normal_hour") for end in ("", "_lo", "_hi"))
+ENDS_SQL = ", ".join(f"round(max({end}) FILTER (WHERE metric = '{m}'), 6) AS {m}_{end}" for m in M.EVALUATION_METRICS for end in ("lo", "hi"))
+ALARM_OK = CLASS_OK.replace("negative_clusters", "negative_clusters, normal_clusters, normal_alarm_clusters, normal_quiet_clusters")
+
+
+@query("J14_screened_metric_intervals", f"""WITH {WEIGHTS}, {replicate_sql('preds', 'model', 'score >= 0.5')}, {evaluation_sql('preds', 'model', 'score >= 0.5')},
+ci AS (SELECT model, metric, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi FROM reps GROUP BY ALL), wide AS (SELECT model, {ENDS_SQL} FROM ci GROUP BY model)
+SELECT model, {shown(["n", "clusters", *[c for c in SHOWN_ENDS if c not in ALARM_ENDS]], CLASS_OK)}, {shown(ALARM_ENDS, ALARM_OK)}, {STATUS.format(ok=CLASS_OK)} FROM evaluated JOIN wide USING (model)""")
 def screened_intervals(spark, d):
-    rows = fixed_threshold(spark, d)
-    point = M.evaluate(rows, ["model"], M.at_or_above())
-    weights = materialize(BS.cluster_weights(B.scored(spark, d), SMALL_B, 42), "weights")
-    ends = BS.bootstrap_ci(rows, ["model"], weights=weights)
-    pick = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}")
-    wide = ends.groupBy("model").agg(*[pick(m, c) for m in ("auroc", "auprc") for c in ("lo", "hi")])
-    numbers = ["n", "clusters", "auroc", "auroc_lo", "auroc_hi", "auprc", "auprc_lo", "auprc_hi"]
-    return rounded(D.screen(point.join(wide, "model"), numbers).select("model", *numbers, "review_status"), *numbers[2:])
+    point = M.evaluate(fixed_threshold(spark, d), ["model"], M.at_or_above())
+    pick = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}")
+    wide = screened_ends(spark, d).groupBy("model").agg(*[pick(m, c) for m in M.EVALUATION_METRICS for c in ("lo", "hi")])
+    screened = D.screen_alarm_metrics(point.join(wide, "model"), ["n", "clusters", *SHOWN_ENDS], ALARM_ENDS)
+    return rounded(screened.select("model", "n", "clusters", *SHOWN_ENDS, "review_status"), *SHOWN_ENDS)

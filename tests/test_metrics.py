@@ -99,6 +99,56 @@ def test_bootstrap_matches_brute_force(spark):
     assert row["n_valid"] == len(values) and np.allclose([row["lo"], row["hi"]], np.quantile(values, [.025, .975]))
 
 
+def every_metric(rows, weight):
+    """All eleven metrics of (score, target, cluster, record, alarm) rows under cluster weights; None without both classes."""
+    w = np.array([weight.get(r[2], 0) for r in rows], float)
+    score, y, alarm = (np.array([r[k] for r in rows], float) for k in (0, 1, 4))
+    if not (w * y).sum() or not (w * (1 - y)).sum():
+        return None
+    auroc, auprc = brute([r[1] for r in rows], [r[0] for r in rows], w)[:2]
+    p, n, tp, fp = (w * y).sum(), (w * (1 - y)).sum(), (w * y * alarm).sum(), (w * (1 - y) * alarm).sum()
+    spots = [((w * y * (score >= t)).sum() / p, (w * (1 - y) * (score >= t)).sum() / n) for t in set(score)]
+    records = {}
+    for (_, t, c, r, a), own in zip(rows, w):
+        held = records.setdefault((c, r), [own, True, 0, 0])
+        held[1] &= t == 0
+        held[2] += 1
+        held[3] += a
+    normal = [(own, size, hits) for own, quiet, size, hits in records.values() if quiet]
+    share = lambda a, b: a / b if b else None
+    return {"auroc": auroc, "auprc": auprc, "prevalence": p / (p + n), "brier": (w * (score - y) ** 2).sum() / w.sum(),
+            "sensitivity_at_spec90": max([t for t, f in spots if f <= .1 + 1e-12], default=0.0),
+            "sensitivity": tp / p, "specificity": 1 - fp / n, "ppv": share(tp, tp + fp), "f1": 2 * tp / (p + tp + fp),
+            "normal_record_alarm_rate": share(sum(o for o, _, h in normal if h), sum(o for o, _, _ in normal)),
+            "false_alarms_per_normal_hour": share(sum(o * h for o, _, h in normal), sum(o * s for o, s, _ in normal) / 12)}
+
+
+@pytest.mark.parametrize("held,b", [(2_000_000, 12), (30, 12), (2_000_000, 400)])
+def test_all_bootstrap_metrics_match_brute_force(spark, monkeypatch, held, b):
+    """Many scores over several ranges, ties, two groups of which one is NULL, and small blocks."""
+    from segstat.operators import replicates
+    monkeypatch.setattr(replicates, "HELD", held)
+    rng = np.random.default_rng(4)
+    rows = {g: [(float(rng.integers(0, top)) / top, int(rng.random() < .3), int(rng.integers(0, 23)), int(rng.integers(0, 3)), bool(rng.random() < .2)) for _ in range(260)]
+            for g, top in (("m", 90), (None, 7))}
+    # A record's segments share one cluster.
+    table = [(g, s, t, c, f"{c}/{r}", a) for g, own in rows.items() for s, t, c, r, a in own] + [("m", None, 1, 2, "2/0", True), ("m", .5, None, 2, "2/0", True)]
+    df = spark.createDataFrame(table, "model string, score double, target int, cluster_id int, record_id string, alarm boolean").repartition(5)
+    usable = df.where("score IS NOT NULL AND target IS NOT NULL")
+    weights = BS.cluster_weights(usable, b, 3)
+    drawn = {}
+    for r in weights.collect():
+        drawn.setdefault(r["b"], {})[r["cluster_id"]] = r["weight"]
+    got = {(r["model"], r["metric"]): r for r in BS.bootstrap_ci(usable, ["model"], alarm=F.col("alarm"), weights=weights, record="record_id").collect()}
+    assert len(got) == 22
+    for g, own in rows.items():
+        found = [m for m in (every_metric(own, drawn[k]) for k in drawn) if m]
+        for metric in found[0]:
+            values = [m[metric] for m in found if m[metric] is not None]
+            r = got[(g, metric)]
+            assert r["n_valid"] == len(values) and np.allclose([r["lo"], r["hi"]], np.quantile(values, [.025, .975])), (g, metric)
+
+
 def test_reversed_contrast_swaps_ends(spark):
     df = spark.createDataFrame([("a", "b", .2, -.1, .3)], "left_model string, right_model string, difference double, lo double, hi double")
     row = M.reverse_contrast(df).first()
