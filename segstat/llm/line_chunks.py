@@ -1,15 +1,20 @@
-"""Repeated passages of several lines, found by content-defined chunks of lines (JVM only).
-
-A line's value comes from its MD5; a chunk starts at a line when the rolling hash over that line and
-the one before it falls on a residue, so boundaries move with the text and not with line numbers. Chunks with at
-least two lines that hold a word are counted over all documents by a 64-bit hash and their
-length; where a hash repeats, the chunk's bytes are compared with those of its first occurrence
-(smallest id, then earlier start), and equal later ones are removed. First occurrences stay.
-
-Defined cases: missing texts stay missing and have no chunks; blank lines alone never make a
-chunk removable; rows equal in id and text are one document and are treated alike; a missing id
-orders before all others; extra columns pass through; ``n_chars``, where present and its text was
-cut, is set to the new length.
+"""Repeated passages of lines, found by content-defined chunks of lines (JVM only).
+
+Values of lines come from a hash; a rolling hash over two neighbouring lines with words (blank lines between them do not count)
+opens a chunk of these two where it falls on residue 0 of ``divisor``. Boundaries so depend on the passage alone and move with
+it. With the default divisor 1 every pair of neighbours is a chunk: wider chunks lose short passages, because
+both of their ends must fall inside (README has figures). A line of ``LONG_WORDS`` words or more is a chunk of its own.
+Chunks are counted over all documents by a 64-bit hash and their length; where a hash repeats, the bytes of the chunk's
+lines are compared with those of its first occurrence (smallest id, then earlier start), and equal later chunks are removed with the
+blank lines inside. Overlapping chunks join up, so a removed run is as long as the repeated passage. First occurrences stay.
+
+The comparison takes the least and the greatest text of all lines that must be equal, added up before the
+shuffle: a passage that a third of the documents share is a few rows there. Only where these differ are single lines compared.
+
+Defined cases: missing texts stay missing and have no chunks; blank lines alone are never removed; rows equal in id and text are one
+document and are treated alike; a missing id orders before all others; long texts are read whole; extra columns pass through
+whatever their names, but for n_lines, n_removed_lines and n_removed_chunks, which are replaced; ``n_chars``, where present and
+its text was cut, is set to the new length; an empty table gives no rows.
 """
 from __future__ import annotations
 
@@ -17,9 +22,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from .tables import materialize
 
-DIVISOR = 3      # one line in three starts a chunk, on average
-MIN_LINES = 2    # lines with a word in a removable chunk
+DIVISOR = 1
+LONG_WORDS = 50
 
+_SPACE = r"[\\x20\\x09-\\x0D]+"
 _WORD = r"[^\\x20\\x09-\\x0D]"
 
 
@@ -28,95 +34,98 @@ def _let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def chunks(text: str, divisor: int = DIVISOR) -> str:
-    """SQL for the chunks of a text: array of (start, lines, worded, text)."""
-    value = "transform(l, x -> cast(conv(substring(md5(x), 1, 7), 16, 10) AS bigint))"
-    starts = f"filter(sequence(0, size(l) - 1), i -> i = 0 OR (v[i - 1] * 31 + v[i]) % {divisor} = 0)"
-    part = "slice(l, s + 1, coalesce(get(b, k + 1), size(l)) - s)"
-    cut = _let("c", part, f"""named_struct('start', s, 'lines', size(c),
-        'worded', size(filter(c, x -> x rlike '{_WORD}')), 'text', array_join(c, '\\n'))""")
-    return _let("l", f"split({text}, '\\n', -1)", _let("v", value, _let("b", starts, f"transform(b, (s, k) -> {cut})")))
+def chunks(text: str, divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> str:
+    """SQL for the chunks of a text: array of (a, z, h, n), its first and last line, hash and bytes."""
+    worded = f"filter(transform(l, (x, i) -> named_struct('i', i, 'x', x)), p -> p.x rlike '{_WORD}')"
+    valued = "transform(w, p -> xxhash64(p.x))"
+    pair = """named_struct('a', w[k].i, 'z', w[k + 1].i, 'h', xxhash64(v[k], v[k + 1]), 'n', octet_length(w[k].x) + octet_length(w[k + 1].x) + 1)"""
+    rolled = "" if divisor == 1 else f", k -> pmod(shiftright(v[k], 8) * 31 + shiftright(v[k + 1], 8), {divisor}) = 0"
+    places = "sequence(0, size(w) - 2)"
+    pairs = f"if(size(w) < 2, array(), transform({f'filter({places}{rolled})' if rolled else places}, k -> {pair}))"
+    # Fewer bytes than 2 * long_words - 1 cannot hold so many words.
+    is_long = f"octet_length(p.x) >= {2 * long_words - 1} AND size(filter(split(p.x, '{_SPACE}'), y -> y <> '')) >= {long_words}"
+    alone = f"transform(filter(w, p -> {is_long}), p -> named_struct('a', p.i, 'z', p.i, 'h', xxhash64(p.x), 'n', octet_length(p.x)))"
+    return _let("l", f"split({text}, '\\n', -1)", _let("w", worded, _let("v", valued, f"concat({pairs}, {alone})")))
 
 
-def occurrences(docs: DataFrame, id_column: str, text: str, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
-    """One row for each removable chunk: its document, place and hash, without its text."""
+def repeated_chunks(docs: DataFrame, id_column: str = "doc_id", text: str = "text", divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
+    """(id, mark, a, z) of every chunk whose bytes occur earlier; mark is a hash of the document's text."""
     wide = docs.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("t")).where("t is not null")
-    opened = wide.select("id", F.xxhash64("t").alias("mark"), F.expr(f"explode({chunks('t', divisor)})").alias("c"))
-    return opened.where(F.col("c.worded") >= min_lines) \
-        .select("id", "mark", "c.start", F.expr("xxhash64(c.text)").alias("h"), F.expr("octet_length(c.text)").alias("n"))
-
-
-def repeated_chunks(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
-                    divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
-    """(id, mark, start) of every chunk whose bytes occur earlier; mark is a hash of the document's text."""
-    found = materialize(occurrences(docs, id_column, text, divisor, min_lines).distinct(), "chunks")
-    place = F.struct("id", "mark", "start")
-    often = materialize(found.groupBy("h", "n").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1"), "repeated")
-    marked = found.join(often, ["h", "n"]).select("id", "mark", "start", "h", "n", (place == F.col("first")).alias("is_first"))
-    by_text = marked.groupBy("id", "mark").agg(F.collect_list(F.struct("start", "h", "n", "is_first")).alias("marks"))
-    wide = docs.select(F.col(id_column).alias("i"), F.col(text).cast("string").alias("t")).where("t is not null").withColumn("m", F.xxhash64("t"))
+    opened = wide.select("id", F.xxhash64("t").alias("mark"), F.expr(f"inline({chunks('t', divisor, long_words)})"))
+    found = materialize(opened.distinct(), "chunks")
+    place = F.struct("id", "mark", "a", "z")
+    often = found.groupBy("h", "n").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1").select("h", "n", "first")
+    later = materialize(found.join(often, ["h", "n"]).where(place != F.col("first")).select("id", "mark", "a", "z", "first"), "later-chunks")
+    checks = later.select("id", "mark", F.expr("explode(if(a = z, array(struct(a AS line, first.a AS at)), array(struct(a AS line, first.a AS at), struct(z AS line, first.z AS at))))").alias("c"), "first") \
+        .select("id", "mark", "c.line", F.struct(F.col("first.id").alias("id"), F.col("first.mark").alias("mark"), F.col("c.at").alias("line")).alias("first")).distinct()
+    firsts = checks.select("first").distinct().select("first.*", "first")
+    needed = materialize(checks.unionByName(firsts).groupBy("id", "mark").agg(F.collect_list(F.struct("line", "first")).alias("needs")), "line-checks")
+    texts = _line_texts(wide, needed)
+    uneven = materialize(texts.groupBy("first").agg(F.min("x").alias("least"), F.max("x").alias("most")).where("least <> most").select("first"), "uneven-lines")
+    if uneven.isEmpty():
+        return later.select("id", "mark", "a", "z")
+    # Lines of one hash with different bytes: each is held against the first one's bytes.
+    some = materialize(texts.join(uneven, "first"), "uneven-texts")
+    own = some.where((F.col("id").eqNullSafe(F.col("first.id"))) & (F.col("mark") == F.col("first.mark")) & (F.col("line") == F.col("first.line")))
+    other = some.join(own.select("first", F.col("x").alias("first_x")), "first").where("x <> first_x").select("id", "mark", "line", "first")
+    wrong = other.select(F.col("id").alias("o_id"), F.col("mark").alias("o_mark"), F.col("line").alias("o_line"), F.col("first").alias("o_first"))
+    meets = F.col("id").eqNullSafe(F.col("o_id")) & (F.col("mark") == F.col("o_mark")) & F.col("first.id").eqNullSafe(F.col("o_first.id")) & (F.col("first.mark") == F.col("o_first.mark")) & (
+        ((F.col("a") == F.col("o_line")) & (F.col("first.a") == F.col("o_first.line"))) | ((F.col("z") == F.col("o_line")) & (F.col("first.z") == F.col("o_first.line"))))
+    return later.join(wrong, meets, "left_anti").select("id", "mark", "a", "z")
+
+
+def _line_texts(wide: DataFrame, needed: DataFrame) -> DataFrame:
+    """(id, mark, line, first, x) of every line to be compared, with its text."""
+    marked = wide.select(F.col("id").alias("_id"), "t", F.xxhash64("t").alias("_mark"))
     # Sort-merge at every size: texts are dealt once by id, whatever the share of documents with repeats.
-    met = wide.join(by_text.hint("merge"), F.col("i").eqNullSafe(F.col("id")) & (F.col("m") == F.col("mark"))) \
-        .select("id", "mark", "marks", F.expr(chunks("t", divisor)).alias("c"))
-    texts = met.select("id", "mark", F.expr("explode(transform(marks, m -> named_struct('start', m.start, 'h', m.h, 'n', m.n, 'is_first', m.is_first, 't', element_at(filter(c, x -> x.start = m.start), 1).text)))").alias("o"))
-    texts = materialize(texts.select("id", "mark", "o.*").distinct(), "chunk-texts")
-    first = texts.where("is_first").select("h", "n", F.col("t").alias("first_text"))
-    later = texts.where("not is_first").join(first, ["h", "n"])
-    return later.where("t = first_text").select("id", "mark", "start")
+    met = marked.join(needed.hint("merge"), F.col("_id").eqNullSafe(F.col("id")) & (F.col("_mark") == F.col("mark")))
+    return met.select("id", "mark", F.expr("inline(" + _let("l", "split(t, '\\n', -1)", "transform(needs, y -> named_struct('line', y.line, 'first', y.first, 'x', l[y.line]))") + ")"))
 
 
-def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
-                divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
     """The documents without repeated chunks, with n_lines, n_removed_lines and n_removed_chunks."""
-    gone = repeated_chunks(docs, id_column, text, divisor, min_lines) \
-        .groupBy("id", "mark").agg(F.collect_list("start").alias("gone")).select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), F.col("gone").alias("_gone"))
-    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed_lines", "n_removed_chunks")])
-    marked = own.withColumn("_m", F.xxhash64(F.col(text).cast("string")))
-    met = marked.join(gone.hint("merge"), F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark")), "left") \
-        .withColumn("_t", F.col(text).cast("string"))
-    parted = F.expr(f"CASE WHEN _gone IS NOT NULL THEN {_let('c', chunks('_t', divisor), _split_kept())} END")
-    done = met.withColumn("_kept", parted)
-    cut = F.col("_kept").isNotNull()
+    gone = repeated_chunks(docs, id_column, text, divisor, long_words) \
+        .groupBy("id", "mark").agg(F.collect_list(F.struct("a", "z")).alias("gone"))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines", "n_removed_chunks")]
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_column).alias("own_id"), F.col(text).cast("string").alias("t")) \
+        .withColumn("own_mark", F.xxhash64("t"))
+    met = own.join(gone.hint("merge"), F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_mark") == F.col("mark")), "left")
+    done = met.select("row", "t", "gone", F.expr(f"CASE WHEN gone IS NOT NULL THEN {_kept()} END").alias("kept"))
+    cut = F.col("kept").isNotNull()
     columns = []
-    for c in own.columns:
+    for c in names:
+        old = F.col("row").getField(c)
         if c == text:
-            columns.append(F.when(cut, F.col("_kept.text")).otherwise(F.col(f"`{c}`")).alias(c))
+            old = F.when(cut, F.col("kept.text")).otherwise(old)
         elif c == "n_chars":
-            columns.append(F.when(cut, F.length("_kept.text").cast(own.schema[c].dataType)).otherwise(F.col(c)).alias(c))
-        else:
-            columns.append(F.col(f"`{c}`"))
-    lines = F.when(F.col("_t").isNull(), 0).otherwise(F.length("_t") - F.length(F.replace("_t", F.lit("\n"))) + 1)
-    return done.select(*columns, lines.cast("long").alias("n_lines"),
-                       F.coalesce("_kept.removed", F.lit(0)).cast("long").alias("n_removed_lines"),
-                       F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed_chunks"))
+            old = F.when(cut, F.length("kept.text").cast(docs.schema[c].dataType)).otherwise(old)
+        columns.append(old.alias(c))
+    lines = F.when(F.col("t").isNull(), 0).otherwise(F.length("t") - F.length(F.replace("t", F.lit("\n"))) + 1)
+    return done.select(*columns, lines.cast("long").alias("n_lines"), F.coalesce("kept.removed", F.lit(0)).cast("long").alias("n_removed_lines"),
+                       F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed_chunks"))
 
 
-def _split_kept() -> str:
-    return """named_struct('text', array_join(transform(filter(c, x -> NOT array_contains(_gone, x.start)), x -> x.text), '\\n'),
-        'removed', aggregate(filter(c, x -> array_contains(_gone, x.start)), 0, (a, x) -> a + x.lines))"""
+def _kept() -> str:
+    """SQL for the text of the lines outside the removed chunks, and how many lie inside."""
+    left = "array_except(sequence(0, size(l) - 1), flatten(transform(gone, g -> sequence(g.a, g.z))))"
+    return _let("l", "split(t, '\\n', -1)", _let("k", left, "named_struct('text', array_join(transform(k, i -> l[i]), '\\n'), 'removed', size(l) - size(k))"))
 
 
 ORACLE_SQL = f"""
 WITH lines AS (
   SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS x
   FROM documents WHERE text IS NOT NULL),
-valued AS (
-  SELECT *, CAST('0x' || substr(md5(x), 1, 7) AS BIGINT) AS v,
-         CAST(regexp_matches(x, '[^\\x20\\x09-\\x0D]') AS INT) AS worded FROM lines),
-begun AS (
-  SELECT *, CASE WHEN i = 0 OR (lag(v) OVER w * 31 + v) % {DIVISOR} = 0 THEN 1 ELSE 0 END AS starts
-  FROM valued WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-numbered AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM begun),
+worded AS (SELECT *, lead(i) OVER w AS z, lead(x) OVER w AS y FROM lines WHERE regexp_matches(x, '[^\x20\x09-\x0D]') WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 chunk AS (
-  SELECT doc_id, k, min(i) AS start, count(*) AS n, sum(worded) AS worded, string_agg(x, chr(10) ORDER BY i) AS t
-  FROM numbered GROUP BY doc_id, k),
-ranked AS (
-  SELECT *, worded >= {MIN_LINES} AND row_number() OVER (PARTITION BY t ORDER BY doc_id, start) > 1 AS gone FROM chunk),
+  SELECT doc_id, i AS a, z, x || chr(10) || y AS t FROM worded WHERE z IS NOT NULL
+  UNION ALL SELECT doc_id, i, i, x FROM worded WHERE len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= {LONG_WORDS}),
+gone AS (SELECT doc_id, a, z FROM chunk QUALIFY row_number() OVER (PARTITION BY t ORDER BY doc_id, a) > 1),
+inside AS (SELECT DISTINCT doc_id, unnest(range(a, z + 1)) AS i FROM gone),
+cut AS (SELECT doc_id, count(*) AS c FROM gone GROUP BY doc_id),
 kept AS (
-  SELECT doc_id, sum(n) AS n_lines, sum(CASE WHEN gone THEN n ELSE 0 END) AS n_removed_lines,
-         sum(CASE WHEN gone THEN 1 ELSE 0 END) AS n_removed_chunks,
-         coalesce(string_agg(CASE WHEN NOT gone THEN t END, chr(10) ORDER BY start), '') AS t
-  FROM ranked GROUP BY doc_id)
+  SELECT lines.doc_id, count(*) AS n_lines, count(inside.i) AS n_removed_lines,
+         coalesce(string_agg(CASE WHEN inside.i IS NULL THEN x END, chr(10) ORDER BY lines.i), '') AS t
+  FROM lines LEFT JOIN inside USING (doc_id, i) GROUP BY lines.doc_id)
 SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed_lines, 0) AS BIGINT) AS n_removed_lines,
-       CAST(coalesce(n_removed_chunks, 0) AS BIGINT) AS n_removed_chunks, md5(t) AS kept_md5
-FROM documents d LEFT JOIN kept USING (doc_id)"""
+       CAST(coalesce(c, 0) AS BIGINT) AS n_removed_chunks, md5(t) AS kept_md5
+FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN cut USING (doc_id)"""
