@@ -131,8 +131,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
     taught = labels.where(F.col(label).isin(0, 1) & F.col(id_column).isNotNull() & ~out)
     taught = (taught.groupBy(F.col(id_column).alias("_id")).agg(F.min(label).alias("_y"), F.max(label).alias("_z")).where("_y = _z")
               .orderBy(F.xxhash64("_id"), "_id").limit(sample_rows).select("_id", "_y"))
-    # At most sample_rows rows of two numbers are sent to the executors, and as many rows of statistics come back.
-    rows = stats.join(F.broadcast(taught), F.col(id_column) == F.col("_id")).select("_id", "_y", "stats").collect()
+    # At most sample_rows rows of two numbers are sent to the executors, and as many rows of statistics come back: one for each id.
+    rows = stats.join(F.broadcast(taught), F.col(id_column) == F.col("_id")).groupBy("_id", "_y").agg(F.min("stats").alias("stats")).collect()
     rows.sort(key=lambda r: (r["_id"], bytes(r["stats"])))
     y = np.array([r["_y"] for r in rows], float)
     if len(set(y)) == 2:

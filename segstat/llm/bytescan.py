@@ -140,3 +140,18 @@ def same_bytes(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.
         at, left = at[more], left[more] - 8
         done += 8
     return same
+
+
+def exact_ids(s: Scan, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Numbers of byte ranges, equal just where their bytes are: the hash sorts them, the bytes decide."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    _, first, ids = np.unique(s.hashes(starts, ends), return_index=True, return_inverse=True)
+    lengths = ends - starts
+    same = lengths == lengths[first[ids]]
+    same[same] = same_bytes(s.data, starts[same], s.data, starts[first[ids[same]]], lengths[same])
+    ids = ids.astype(np.int64)
+    known: dict[bytes, int] = {}
+    for i in np.flatnonzero(~same):              # ranges that share a hash with another one
+        ids[i] = known.setdefault(s.data[starts[i]:ends[i]].tobytes(), len(first) + len(known))
+    return ids

@@ -91,15 +91,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, id_column: st
                     text: str = "text", label: str = "quality", where=None) -> DataFrame:
     """At most ``rows`` labelled texts, chosen by a hash of the id: (id, label, text).
 
-    The labels sent to all executors are these rows only, so their size is bounded by ``rows``.
+    The labels sent to all executors are these rows only, so their size is bounded by ``rows``. Of rows that share
+    an id one text is taken, chosen by its hash, before anything reaches the driver.
     """
     wanted = labels.where(F.col(label).isin(0, 1) & F.col(id_column).isNotNull())
     if where is not None:
         wanted = wanted.where(where)
     wanted = (wanted.groupBy(F.col(id_column).alias("_id")).agg(F.min(label).alias("_label"), F.max(label).alias("_most"))
               .where("_label = _most").orderBy(F.xxhash64("_id"), "_id").limit(rows))
-    return (docs.select(F.col(id_column).alias("_id"), text_of(text).alias("_text"))
-            .join(F.broadcast(wanted.select("_id", "_label")), "_id"))
+    met = docs.select(F.col(id_column).alias("_id"), text_of(text).alias("_text")).join(F.broadcast(wanted.select("_id", "_label")), "_id")
+    return met.groupBy("_id", "_label").agg(F.min_by("_text", F.struct(F.xxhash64("_text"), F.length("_text"))).alias("_text"))
 
 
 def fit(sample: DataFrame) -> Model | None:

@@ -105,3 +105,20 @@ def test_trees_defined_cases(spark):
     assert found.columns == ["doc_id", "held_out", "score", "predicted"] and found.count() == 5
     assert all(0 <= r["score"] <= 1 for r in found.collect())
     assert boosted_quality.score_quality(docs.limit(0), labels.limit(0)).collect() == []
+
+
+def test_counts_do_not_trust_hashes(monkeypatch):
+    """With a hash that only knows lengths, the bytes still decide."""
+    from segstat.llm.bytescan import Scan
+    monkeypatch.setattr(Scan, "hashes", lambda self, starts, ends: (ends - starts).astype(np.uint64))
+    texts = ODD + ["aa bb cc dd ee ff aa bb cc", "abc\nabd\nabc\nxyz", "one two six one two ten one two six"] * 2
+    counts = base_counts(scan(pa.array(texts)))
+    assert [tuple(int(counts[c][i]) for c in quality_rules.BASE) for i in range(len(texts))] == [brute(t) for t in texts]
+
+
+def test_a_repeated_id_teaches_once(spark):
+    docs = spark.range(20_000).selectExpr("CAST(1 AS bigint) AS doc_id", "concat('text ', id % 7) AS text").unionByName(spark.createDataFrame([(2, "other")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert sorted(r["_id"] for r in quality_rules.labelled_sample(docs, labels, 10).collect()) == [1, 2]
+    found = boosted_quality.score_quality(docs, labels)
+    assert found.count() == 20_001
