@@ -10,12 +10,12 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import logit
-from ..plans.ordering import null_safe_join
+from ..plans.ordering import exact_quantiles, null_safe_join
 from ..sources.scratch import materialize
 from . import metrics as M, splits as S
 from .align import exclude_clusters
@@ -34,7 +34,7 @@ def logistic(train: DataFrame, columns: Sequence[str], c: float = 1.0, target: s
     rows = train.count()
     filled = [f"_fill_{col}" for col in columns]
     stages = [
-        Imputer(strategy="median", inputCols=list(columns), outputCols=filled),
+        median_filler(train, columns),
         VectorAssembler(inputCols=filled, outputCol="_raw"),
         StandardScaler(withMean=True, withStd=True, inputCol="_raw", outputCol="_z"),
         LogisticRegression(featuresCol="_z", labelCol=target, regParam=1.0 / (c * rows), standardization=False, maxIter=iterations),
@@ -42,6 +42,21 @@ def logistic(train: DataFrame, columns: Sequence[str], c: float = 1.0, target: s
     return Pipeline(stages=stages).fit(train)
 
 
+def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """The exact median of each column's values that are present; 0 where there are none. One row for each column reaches the driver."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+    long = df.select(F.inline(pairs)).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    found = {r["column"]: r["median"] for r in exact_quantiles(long, ["column"], "value", [0.5], ["median"]).collect()}
+    return {c: float(found.get(c, 0.0)) for c in columns}
+
+
+def median_filler(train: DataFrame, columns: Sequence[str]) -> SQLTransformer:
+    """A stage that adds ``_fill_*`` columns with missing values replaced by training medians; it is saved with its pipeline."""
+    fill = exact_medians(train, columns)
+    filled = [f"coalesce(nanvl(CAST(`{c}` AS double), NULL), {fill[c]!r}D) AS `_fill_{c}`" for c in columns]
+    return SQLTransformer(statement=f"SELECT *, {', '.join(filled)} FROM __THIS__")
+
+
 def predict(model: PipelineModel, df: DataFrame, name: str = "score") -> DataFrame:
     """Adds the positive-class probability; helper columns are removed."""
     scored = model.transform(df)
@@ -147,15 +162,35 @@ def platt(val: DataFrame, held: DataFrame, score: str = "score", target: str = "
 
 def linear_contributions(model: PipelineModel, df: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """Exact contributions of a fitted logistic: coefficient times the standardised value, long form."""
-    imputer, _, scaler, classifier = model.stages
-    fill = imputer.surrogateDF.first().asDict()
+    filler, _, scaler, classifier = model.stages
     parts = []
     for k, column in enumerate(columns):
-        value = F.coalesce(F.col(column).cast("double"), F.lit(float(fill[column])))
+        value = F.col(f"_fill_{column}")
         spread = float(scaler.std[k])
         weight = float(classifier.coefficients[k]) / spread if spread else 0.0
         parts.append(F.struct(F.lit(column).alias("feature"), value.alias("value"), ((value - F.lit(float(scaler.mean[k]))) * F.lit(weight)).alias("contribution")))
-    return df.select(*keep, F.inline(F.array(*parts)))
+    return filler.transform(df).select(*keep, F.inline(F.array(*parts)))
+
+
+def transfer_roles(df: DataFrame, held: Column, folds: int = 5, seed: int = 42, cluster: str = "cluster_id") -> DataFrame:
+    """Rows with their role: held site, source validation (the first fold) or source fit.
+
+    Source rows of clusters that the held site also has are left out.
+    """
+    away = df.where(held)
+    source = exclude_clusters(df.where(~held), away, cluster)
+    assigned = S.assign(source, S.group_folds(source, folds, seed, cluster).select(cluster, "fold"), cluster)
+    roles = assigned.withColumn("role", F.when(F.col("fold") == 0, "validation").otherwise("fit")).drop("fold")
+    return roles.unionByName(away.withColumn("role", F.lit("held")))
+
+
+def transfer(roles: DataFrame, score: str = "score", target: str = "target") -> tuple[DataFrame, float]:
+    """Held rows with raw and recalibrated scores, each with the alarm limit chosen on source validation; and the map's slope."""
+    val, moved, slope = platt(roles.where(F.col("role") == "validation"), roles.where(F.col("role") == "held"), score, target)
+    arms = F.array(F.struct(F.lit("raw").alias("arm"), F.col(score).alias("score")), F.struct(F.lit("platt").alias("arm"), F.col("platt").alias("score")))
+    limits = M.threshold90(val.select(F.col(target).alias("target"), F.inline(arms)), ["arm"])
+    keep = [c for c in roles.columns if c not in ("role", score)]
+    return moved.select(*keep, F.inline(arms)).join(limits, "arm"), slope
 
 
 def incremental_value(df: DataFrame, base: Sequence[str], extra: Sequence[str], k: int, seed: int = 42, replicates: int = REPLICATES, keys: Sequence[str] = ("record_id",)) -> tuple[DataFrame, DataFrame]:

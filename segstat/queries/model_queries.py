@@ -69,13 +69,37 @@ def out_of_fold(spark, d):
     return rounded(oof.select(*SEG, "target", "fold", "score", "alarm_above"), "score", "alarm_above")
 
 
+HELD_SITE = 3
+
+
+def site_roles(spark, d):
+    rows = materialize(B.scored(spark, d).select("record_id", "cluster_id", "site", "target", F.col("m1").alias("score")), "scored")
+    return T.transfer_roles(rows, F.col("site") == HELD_SITE)
+
+
 @query("H11_platt_recalibration")
 def platt(spark, d):
-    rows = materialize(B.scored(spark, d).select("record_id", "cluster_id", "site", "target", F.col("m1").alias("score")), "scored")
-    held = rows.where(F.col("site") == 3)
-    source = rows.where(F.col("site") != 3)
-    val, moved, slope = T.platt(source, held)
-    return rounded(moved.withColumn("monotone_increasing", F.lit(slope > 0)), "score", "platt")
+    """Fitted on source validation rows, with the alarm limits of both arms chosen again there."""
+    moved, slope = T.transfer(materialize(site_roles(spark, d), "roles"))
+    return rounded(moved.withColumn("monotone_increasing", F.lit(slope > 0)), "score", "alarm_above")
+
+
+@query("H11_transfer_roles", f"""WITH held AS (SELECT DISTINCT cluster_id FROM predictions WHERE site = {HELD_SITE}), source AS (SELECT * FROM predictions WHERE site <> {HELD_SITE} AND cluster_id NOT IN (SELECT cluster_id FROM held)),
+strata AS (SELECT cluster_id, max(target) AS stratum FROM source GROUP BY 1),
+folds AS (SELECT cluster_id, (row_number() OVER (PARTITION BY stratum ORDER BY md5('42|' || cluster_id)) - 1) % 5 AS fold FROM strata),
+roled AS (SELECT s.cluster_id, target, CASE WHEN fold = 0 THEN 'validation' ELSE 'fit' END AS role FROM source s JOIN folds USING (cluster_id) UNION ALL SELECT cluster_id, target, 'held' FROM predictions WHERE site = {HELD_SITE})
+SELECT role, count(*) AS n, count(DISTINCT cluster_id) AS clusters, CAST(sum(target) AS BIGINT) AS positives FROM roled GROUP BY role""")
+def transfer_roles(spark, d):
+    per_cluster = site_roles(spark, d).groupBy("role", "cluster_id").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("p"))
+    return per_cluster.groupBy("role").agg(F.sum("n").alias("n"), F.count("cluster_id").alias("clusters"), F.sum("p").alias("positives"))
+
+
+@query("H01_training_medians", f"""WITH {TRAIN} SELECT c AS feature, quantile_cont(v, 0.5) AS median FROM (SELECT unnest({FEATURES}) AS c, unnest([{", ".join(FEATURES)}]) AS v FROM segments WHERE cluster_id IN (SELECT cluster_id FROM train)) GROUP BY c""")
+def training_medians(spark, d):
+    """What the pipeline fills missing values with."""
+    rows = B.segments(spark, d).join(train_clusters(spark, d), "cluster_id", "left_semi")
+    medians = T.exact_medians(rows, FEATURES)
+    return spark.createDataFrame(list(medians.items()), "feature string, median double")
 
 
 @query("H13_linear_contributions")

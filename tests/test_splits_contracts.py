@@ -143,3 +143,32 @@ def test_increment_has_fifty_replicates_both_readings_and_a_gate(spark, monkeypa
     assert seen["extra"] == ["abnormal_fraction", "longest_abnormal_run"] and not seen["rows"].where("longest_abnormal_run > 1").isEmpty()
     assert {r["metric"] for r in found} == {"auroc", "auprc", "brier"} and {r["status"] for r in found} == {"ok"}
     assert all(10 < r["n_valid"] <= bootstrap.REPLICATES for r in found)
+
+
+def test_pipeline_fills_with_the_exact_median(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+    from segstat.operators import models
+    rows = [(1.0, 0), (2.0, 1), (10.0, 0), (20.0, 1), (None, 1), (float("nan"), 0)]
+    df = spark.createDataFrame([(a, None if t else 5.0, t) for a, t in rows], "a double, b double, target int")
+    assert models.exact_medians(df, ["a", "b"]) == {"a": 6.0, "b": 5.0}
+    model = models.logistic(df, ["a", "b"])
+    model.write().overwrite().save(str(tmp_path / "model"))
+    again = PipelineModel.load(str(tmp_path / "model"))
+    score = lambda m: [round(r["score"], 9) for r in models.predict(m, df).collect()]
+    assert score(model) == score(again)
+    parts = {(r["a"], r["feature"]): r for r in models.linear_contributions(model, df.where("a IS NULL"), ["a", "b"], ["a"]).collect()}
+    assert parts[(None, "a")]["value"] == 6.0
+
+
+def test_transfer_roles_keep_the_held_site_apart(spark):
+    from segstat.operators import models
+    rows = [(c, s, (c + k) % 3 == 0, (c * 7 + k) % 11 / 11) for c in range(60) for k, s in enumerate([c % 4, (c // 9) % 4])]
+    df = spark.createDataFrame([(f"c{c}", s, int(t), p) for c, s, t, p in rows], "cluster_id string, site int, target int, score double")
+    roles = models.transfer_roles(df, F.col("site") == 3)
+    found = {}
+    for r in roles.collect():
+        found.setdefault(r["role"], set()).add(r["cluster_id"])
+    assert set(found) == {"fit", "validation", "held"} and not any(found[a] & found[b] for a, b in (("fit", "validation"), ("fit", "held"), ("validation", "held")))
+    moved, slope = models.transfer(roles)
+    limits = {r["arm"]: r["alarm_above"] for r in moved.select("arm", "alarm_above").distinct().collect()}
+    assert set(limits) == {"raw", "platt"} and moved.count() == 2 * df.where("site = 3").count() and isinstance(slope, float)
