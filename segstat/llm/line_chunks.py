@@ -52,10 +52,11 @@ def repeated_chunks(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     """(id, mark, a, z) of every chunk whose bytes occur earlier; mark is a hash of the document's text."""
     wide = docs.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("t")).where("t is not null")
     opened = wide.select("id", F.xxhash64("t").alias("mark"), F.expr(f"inline({chunks('t', divisor, long_words)})"))
-    found = materialize(opened.distinct(), "chunks")
+    found = materialize(opened, "chunks")
     place = F.struct("id", "mark", "a", "z")
-    often = found.groupBy("h", "n").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1").select("h", "n", "first")
-    later = materialize(found.join(often, ["h", "n"]).where(place != F.col("first")).select("id", "mark", "a", "z", "first"), "later-chunks")
+    # Equal rows give equal places, so least and greatest place tell whether a chunk stands in two.
+    often = found.groupBy("h", "n").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("h", "n", "first")
+    later = materialize(found.join(often, ["h", "n"]).where(~place.eqNullSafe(F.col("first"))).select("id", "mark", "a", "z", "first"), "later-chunks")
     checks = later.select("id", "mark", F.expr("explode(if(a = z, array(struct(a AS line, first.a AS at)), array(struct(a AS line, first.a AS at), struct(z AS line, first.z AS at))))").alias("c"), "first") \
         .select("id", "mark", "c.line", F.struct(F.col("first.id").alias("id"), F.col("first.mark").alias("mark"), F.col("c.at").alias("line")).alias("first")).distinct()
     firsts = checks.select("first").distinct().select("first.*", "first")
@@ -85,7 +86,7 @@ def _line_texts(wide: DataFrame, needed: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
     """The documents without repeated chunks, with n_lines, n_removed_lines and n_removed_chunks."""
     gone = repeated_chunks(docs, id_column, text, divisor, long_words) \
-        .groupBy("id", "mark").agg(F.collect_list(F.struct("a", "z")).alias("gone"))
+        .groupBy("id", "mark").agg(F.collect_set(F.struct("a", "z")).alias("gone"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines", "n_removed_chunks")]
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_column).alias("own_id"), F.col(text).cast("string").alias("t")) \
         .withColumn("own_mark", F.xxhash64("t"))
