@@ -9,7 +9,7 @@ from segstat.llm import decontamination, line_chunks, packing
 from segstat.llm.queries import QUERIES, tokenizer_path
 from segstat.llm.tables import materialize, read
 
-from .test_lines_and_leaks import brute as brute_lines
+from .test_lines_and_leaks import brute as brute_lines, stretches
 from .test_packing import check_layout
 from .test_quality import brute as brute_counts
 from .test_simhash import brute_classes, brute_print
@@ -20,7 +20,7 @@ def words(text):
 
 
 def leaks(text, items):
-    """Whether any diagonal with a seed hit has a stretch that counts."""
+    """Whether any diagonal with a seed hit has a window that counts."""
     doc = words(text)
     span = len(decontamination.MASKS[0])
     pick = lambda ws, i, m: (m, tuple(w for w, b in zip(ws[i:i + span], m) if b == "1"))
@@ -31,17 +31,8 @@ def leaks(text, items):
                 seeds.setdefault(pick(item, j, m), []).append(j)
         lines = {i - j for m in decontamination.MASKS for i in range(len(doc) - span + 1) for j in seeds.get(pick(doc, i, m), ())}
         for line in lines:
-            now = begin = best = 0
-            found = (0, -1)
-            for i in range(max(0, line), min(len(doc), line + len(item))):
-                if now <= 0:
-                    now, begin = 0, i
-                now += 1 if doc[i] == item[i - line] else decontamination.MISS
-                if now > best:
-                    best, found = now, (begin, i)
-            n = found[1] - found[0] + 1
-            equal = sum(doc[i] == item[i - line] for i in range(found[0], found[1] + 1))
-            if n >= decontamination.MIN_WORDS and equal >= decontamination.MIN_EQUAL * n:
+            equal = [doc[i] == item[i - line] for i in range(max(0, line), min(len(doc), line + len(item)))]
+            if stretches(equal, min(decontamination.MIN_WORDS, len(item))):
                 return True
     return False
 
@@ -101,6 +92,6 @@ def test_odd_documents_pass_through(spark, small):
 
 
 def test_every_operator_is_registered():
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert any(name.startswith(f"op{n}_") for name in QUERIES)
     assert corpus_pipeline.ORACLE_SQL is None and line_chunks.ORACLE_SQL
