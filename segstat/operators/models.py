@@ -1,7 +1,7 @@
 """Table-level models on Spark ML, fitted and scored without leaving the cluster.
 
-Loops run over models, folds or sites (short fixed lists); the rows of every fit
-stay distributed.
+Loops run over models or folds (short fixed lists); all sites, and all features of a scan, are
+fitted in the same passes. The rows of every fit stay distributed.
 """
 from __future__ import annotations
 
@@ -13,11 +13,12 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.scalars import logit
 from ..plans.ordering import exact_quantiles, null_safe_join
 from ..sources.scratch import materialize
-from . import metrics as M, splits as S
+from . import joint_logistic, metrics as M, splits as S
 from .align import exclude_clusters
 from .bootstrap import REPLICATES, paired
 
@@ -99,17 +100,18 @@ def spline_basis(df: DataFrame, column: str, low: float, high: float, knots: int
 
 
 def single_feature_scan(train: DataFrame, val: DataFrame, columns: Sequence[str], family: str = "linear", target: str = "target") -> DataFrame:
-    """One logistic per feature, ranked by validation AUROC. All scores are evaluated in one plan."""
+    """One logistic per feature, ranked by validation AUROC. All are fitted in the same passes and evaluated in one plan."""
     bounds = spline_bounds(train, columns) if family == "nonlinear_spline" else {}
-    scored = []
+    terms, members = [], []
     for column in columns:
-        fit_rows, tune_rows, names = train, val, [column]
-        if bounds:
-            fit_rows, names = spline_basis(train, column, *bounds[column])
-            tune_rows, _ = spline_basis(val, column, *bounds[column])
-        model = logistic(fit_rows.select(*names, target), names, target=target)
-        scored.append(predict(model, tune_rows.select(*names, target)).select(F.lit(column).alias("feature"), target, "score"))
-    table = M.auroc(reduce(DataFrame.unionByName, scored), ["feature"], target=target)
+        own = spline_terms(column, *bounds[column]) if bounds else [F.col(column)]
+        members.append(list(range(len(terms), len(terms) + len(own))))
+        terms += [t.cast("double") for t in own]
+    x, every = F.array(*terms).alias("x"), F.lit(list(range(len(columns)))).alias("use")
+    models = joint_logistic.fit(materialize(train.select(x, every, F.col(target).alias("target")), "scan"), members)
+    arms = F.array(*[F.struct(F.lit(column).alias("feature"), joint_logistic.score(models, F.lit(m)).alias("score")) for m, column in enumerate(columns)])
+    scored = val.select(x, target).select(target, F.inline(arms))
+    table = M.auroc(scored, ["feature"], target=target)
     return table.select(F.lit(family).alias("family"), "feature", F.col("auroc").alias("validation_auroc"))
 
 
@@ -205,26 +207,77 @@ def incremental_value(df: DataFrame, base: Sequence[str], extra: Sequence[str],
     return metrics, paired(joined, "left_score", "right_score", replicates, seed)
 
 
-def loso_evaluate(df: DataFrame, columns: Sequence[str], sites: Sequence, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Leave one site out: raw and recalibrated scores on the held site, and their calibration bins.
+def _sites(rows: DataFrame, sites: Sequence, site: str = "site") -> Column:
+    return F.lit(list(sites)).cast(ArrayType(rows.schema[site].dataType))
 
-    All clusters of the held site are removed from development, wherever they occur.
+
+def loso_roles(rows: DataFrame, sites: Sequence, seed: int = 42, folds: int = 5, min_clusters: int = 8, site: str = "site", cluster: str = "cluster_id",
+               target: str = "target") -> tuple[DataFrame, DataFrame]:
+    """What every cluster is to every held site, and each site's counts with its status.
+
+    Clusters a site has are left out of its development rows wherever they occur; of the others the first of
+    the folds validates. Worked out on clusters, not rows. Roles: one row for each cluster, with the positions in
+    ``sites`` of those it is fitted for (``use``) and of those it validates (``tune``).
+    """
+    known = _sites(rows, sites, site)
+    pairs = materialize(rows.groupBy(cluster, site).agg(F.count(F.lit(1)).alias("n"), F.sum(target).alias("pos"), F.max(target).alias("stratum")), "loso-pairs")
+    clusters = pairs.groupBy(cluster).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.max("stratum").alias("stratum"), F.collect_set(site).alias("own"))
+    away = clusters.select(cluster, "n", "pos", "stratum", F.explode(F.array_except(known, "own")).alias("held"))
+    placed = materialize(S.numbered(materialize(away, "loso-away"), seed, cluster, ["held"]).withColumn("tunes", F.col("_position") % folds == 0), "loso-folds")
+    at = F.array_position(known, F.col("held")).cast("int") - 1
+    roles = placed.groupBy(cluster).agg(F.sort_array(F.collect_list(F.when(~F.col("tunes"), at))).alias("use"), F.sort_array(F.collect_list(F.when(F.col("tunes"), at))).alias("tune"))
+    inside = pairs.groupBy(F.col(site).alias("held")).agg(F.sum("n").alias("held_rows"), F.count(F.lit(1)).alias("held_clusters"), F.sum("pos").alias("held_positives"))
+    split = lambda c, tunes: F.sum(F.when(F.col("tunes") == tunes, F.col(c)).otherwise(0))
+    outside = placed.groupBy("held").agg(
+        F.count(F.lit(1)).alias("development_clusters"), split("n", False).alias("fit_rows"), split("pos", False).alias("fit_positives"),
+        split("n", True).alias("validation_rows"), split("pos", True).alias("validation_positives"))
+    counts = [c for c in outside.columns if c != "held"]
+    plan = inside.where(F.col("held").isNotNull()).join(outside, "held", "left").fillna(0, counts)
+    mixed = lambda n, pos: (pos > 0) & (pos < n)
+    c = lambda role, what: F.col(f"{role}_{what}")
+    ready = mixed(c("held", "rows"), c("held", "positives")) & (F.col("development_clusters") >= min_clusters) & mixed(
+        c("fit", "rows") + c("validation", "rows"), c("fit", "positives") + c("validation", "positives"))
+    tunable = mixed(c("fit", "rows"), c("fit", "positives")) & mixed(c("validation", "rows"), c("validation", "positives"))
+    status = F.when(~ready, "insufficient_classes_or_groups").when(~tunable, "insufficient_validation_classes").otherwise("ok")
+    return roles, plan.select(F.col("held").alias("site"), "held_rows", "held_clusters", "held_positives", *counts, status.alias("status"))
+
+
+def loso_scores(df: DataFrame, columns: Sequence[str], seed: int = 42, keys: Sequence[str] = ("record_id",)) -> tuple[DataFrame, DataFrame]:
+    """Leave every site out: raw and recalibrated scores of its rows with each arm's alarm limit, and the sites' counts and statuses.
+
+    All sites are fitted in the same passes; rows are never copied for each site they are fitted for, only for
+    those they validate. Both Platt's map and the limits come from the validation rows of the same held site.
     """
     rows = materialize(df, "loso")
-    parts = []
-    for site in sites:
-        held = rows.where(F.col("site") == site)
-        development = exclude_clusters(rows, held)
-        folds = materialize(S.group_folds(development, 5, seed), "folds")
-        assigned = development.join(folds.select("cluster_id", "fold"), "cluster_id")
-        train, val = assigned.where("fold <> 0"), assigned.where("fold = 0")
-        model = logistic(train, columns)
-        scored_val, scored_held = predict(model, val), predict(model, held)
-        val_both, held_both, slope = platt(scored_val, scored_held)
-        arms = F.array(F.struct(F.lit("raw").alias("arm"), F.col("score").alias("p")), F.struct(F.lit("platt").alias("arm"), F.col("platt").alias("p")))
-        limits = M.threshold90(val_both.select("target", F.inline(arms)).withColumnRenamed("p", "score"), ["arm"])
-        long = held_both.select("record_id", "cluster_id", "site", "target", F.inline(arms)).withColumnRenamed("p", "score")
-        parts.append(long.join(limits, "arm").withColumn("monotone_increasing", F.lit(slope > 0)))
-    scored = materialize(reduce(DataFrame.unionByName, parts), "loso-scores")
-    alarm = F.col("score") > F.col("alarm_above")
-    return M.evaluate(scored, ["site", "arm", "monotone_increasing"], alarm), M.calibration(scored, ["site", "arm"])
+    sites = [r["site"] for r in rows.select("site").where("site IS NOT NULL").distinct().orderBy("site").collect()]
+    roles, plan = loso_roles(rows, sites, seed)
+    plan = materialize(plan, "loso-plan")
+    ready = {r["site"] for r in plan.where("status = 'ok'").select("site").collect()}
+    able = F.lit([m for m, s in enumerate(sites) if s in ready]).cast("array<int>")
+    held = F.array_position(_sites(rows, sites), F.col("site")).cast("int") - 1
+    none = F.array().cast("array<int>")
+    keep = [*keys, "cluster_id", "site", "target"]
+    placed = materialize(null_safe_join(rows, roles, ["cluster_id"], "left").select(
+        *keep, F.array(*[F.col(c).cast("double") for c in columns]).alias("x"), *[F.array_intersect(F.coalesce(c, none), able).alias(c) for c in ("use", "tune")],
+        F.array_intersect(F.array(held), able).alias("test")), "loso-rows")
+    models = joint_logistic.fit(placed, [list(range(len(columns)))] * len(sites))
+    uses = F.array(*[F.struct(F.lit(role).alias("role"), F.col(role).alias("models")) for role in ("tune", "test")])
+    scored = materialize(placed.select(*keep, "x", F.inline(uses)).select("*", F.explode("models").alias("model")).select(
+        *keep, "role", "model", joint_logistic.score(models, F.col("model")).alias("raw")), "loso-scores")
+    tune = materialize(scored.where("role = 'tune'").select("model", "target", "raw", F.array(logit(F.col("raw"))).alias("x"), F.array("model").alias("use")), "loso-tune")
+    maps = joint_logistic.fit(tune, [[0]] * len(sites), standardise=False)
+    rising = F.lit([bool(m and m.weights[0] > 0) for m in maps]).cast("array<boolean>")
+    platt_score = joint_logistic.score(maps, F.col("model"), F.array(logit(F.col("raw"))))
+    arms = F.array(F.struct(F.lit("raw").alias("arm"), F.col("raw").alias("score")), F.struct(F.lit("platt").alias("arm"), platt_score.alias("score")))
+    limits = M.threshold90(tune.select("model", "target", F.inline(arms)), ["model", "arm"])
+    long = scored.where("role = 'test'").select(*keep, "model", F.get(rising, F.col("model")).alias("monotone_increasing"), F.inline(arms))
+    return long.join(limits, ["model", "arm"]).drop("model"), plan
+
+
+def loso_evaluate(df: DataFrame, columns: Sequence[str], seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Metrics and calibration bins of every site and arm, and the plan. A site that cannot be judged has one row with its status and no arm."""
+    scored, plan = loso_scores(df, columns, seed)
+    scored = materialize(scored, "loso-held")
+    metrics = M.evaluate(scored, ["site", "arm", "monotone_increasing"], F.col("score") > F.col("alarm_above"))
+    skipped = plan.where("status <> 'ok'").select("site", "status", F.col("held_rows").alias("n"), F.col("held_clusters").alias("clusters"), F.col("held_positives").alias("positives"))
+    return metrics.unionByName(skipped, allowMissingColumns=True), M.calibration(scored, ["site", "arm"]), plan

@@ -19,14 +19,15 @@ def cluster_strata(df: DataFrame, cluster: str = "cluster_id", target: str = "ta
     return materialize(df.groupBy(cluster).agg(F.max(target).alias("stratum")), "strata")
 
 
-def _numbered(strata: DataFrame, seed: int, cluster: str, within: Sequence[str] = (), salt: Sequence[str] = ()) -> DataFrame:
+def numbered(strata: DataFrame, seed: int, cluster: str, within: Sequence[str] = (), salt: Sequence[str] = ()) -> DataFrame:
+    """Adds each cluster's position in its stratum, in the order of md5(seed|cluster)."""
     hashed = strata.withColumn("_digest", keyed_md5(seed, *[F.col(c) for c in (*salt, cluster)]))
     return digest_index(hashed, [*within, "stratum"], "_digest", "_position").drop("_digest")
 
 
 def group_folds(df: DataFrame, k: int, seed: int, cluster: str = "cluster_id", target: str = "target") -> DataFrame:
     """One row per cluster: stratum and fold in 0..k-1. Positives are spread evenly over folds."""
-    placed = _numbered(cluster_strata(df, cluster, target), seed, cluster)
+    placed = numbered(cluster_strata(df, cluster, target), seed, cluster)
     return placed.select(cluster, "stratum", (F.col("_position") % k).cast("int").alias("fold"))
 
 
@@ -39,7 +40,7 @@ def holdout_split(df: DataFrame, seed: int = 42, test_folds: int = 10, validatio
                   cluster: str = "cluster_id", target: str = "target") -> DataFrame:
     """About 80/10/10: the first outer fold is test, the first inner fold of the rest is validation."""
     outer = group_folds(df, test_folds, seed, cluster, target)
-    inner = _numbered(outer.where(F.col("fold") != 0).drop("fold"), seed + 1, cluster)
+    inner = numbered(outer.where(F.col("fold") != 0).drop("fold"), seed + 1, cluster)
     rest = inner.select(cluster, F.when(F.col("_position") % validation_folds == 0, "val").otherwise("train").alias("split"))
     return outer.where(F.col("fold") == 0).select(cluster, F.lit("test").alias("split")).unionByName(rest)
 
@@ -88,7 +89,7 @@ def nested_folds(df: DataFrame, k: int, inner: int, seed: int, cluster: str = "c
     copies = outer.withColumn("outer_fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     hold = copies.where(F.col("outer_fold") == F.col("fold")).select("outer_fold", cluster, F.lit("hold").alias("role"))
     pool = copies.where(F.col("outer_fold") != F.col("fold")).drop("fold")
-    placed = _numbered(pool, seed, cluster, ["outer_fold"], ["outer_fold"])
+    placed = numbered(pool, seed, cluster, ["outer_fold"], ["outer_fold"])
     roles = placed.select("outer_fold", cluster, F.when(F.col("_position") % inner == 0, "tune").otherwise("fit").alias("role"))
     return hold.unionByName(roles)
 

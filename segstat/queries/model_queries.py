@@ -130,11 +130,40 @@ def gated_increment(rows, base, extra, k):
     return rounded(difference.crossJoin(gate), "difference", "lo", "hi")
 
 
+def site_rows(spark, d):
+    return B.scored(spark, d).select("record_id", "cluster_id", "site", "target", "m1", "m2")
+
+
 @query("I08_leave_one_site_out")
 def loso_evaluate(spark, d):
-    """Regions are the held-out sites."""
-    regions = B.table(spark, d, "nation").select(F.col("n_nationkey").alias("site"), F.col("n_regionkey").alias("region"))
-    rows = B.scored(spark, d).join(regions, "site").drop("site").withColumnRenamed("region", "site")
-    sites = [r["site"] for r in B.table(spark, d, "nation").select(F.col("n_regionkey").alias("site")).distinct().orderBy("site").collect()]
-    metrics, _ = T.loso_evaluate(rows, ["m1", "m2"], sites)
+    metrics, _, _ = T.loso_evaluate(site_rows(spark, d), ["m1", "m2"])
     return rounded(metrics, *M.EVALUATION_METRICS)
+
+
+@query("I08_calibration_bins")
+def loso_bins(spark, d):
+    _, bins, _ = T.loso_evaluate(site_rows(spark, d), ["m1", "m2"])
+    return rounded(bins, "mean_prediction", "observed")
+
+
+MIXED = "({0}_positives > 0 AND {0}_positives < {0}_rows)"
+
+
+@query("I08_site_plan", f"""WITH pairs AS (SELECT site, cluster_id, count(*) AS n, sum(target) AS pos FROM predictions GROUP BY 1, 2),
+clusters AS (SELECT cluster_id, sum(n) AS n, sum(pos) AS pos, CASE WHEN sum(pos) > 0 THEN 1 ELSE 0 END AS stratum, list(site) AS own FROM pairs GROUP BY 1),
+away AS (SELECT h.site, c.* FROM clusters c, (SELECT DISTINCT site FROM pairs) h WHERE NOT list_contains(own, h.site)),
+folds AS (SELECT site, n, pos, (row_number() OVER (PARTITION BY site, stratum ORDER BY md5('42|' || cluster_id)) - 1) % 5 = 0 AS tunes FROM away),
+outside AS (SELECT site, count(*) AS development_clusters, coalesce(sum(n) FILTER (NOT tunes), 0) AS fit_rows, coalesce(sum(pos) FILTER (NOT tunes), 0) AS fit_positives,
+ coalesce(sum(n) FILTER (tunes), 0) AS validation_rows, coalesce(sum(pos) FILTER (tunes), 0) AS validation_positives FROM folds GROUP BY 1),
+held AS (SELECT site, sum(n) AS held_rows, count(*) AS held_clusters, sum(pos) AS held_positives FROM pairs GROUP BY 1),
+counts AS (SELECT site, held_rows, held_clusters, held_positives, coalesce(development_clusters, 0) AS development_clusters, coalesce(fit_rows, 0) AS fit_rows, coalesce(fit_positives, 0) AS fit_positives,
+ coalesce(validation_rows, 0) AS validation_rows, coalesce(validation_positives, 0) AS validation_positives FROM held LEFT JOIN outside USING (site))
+SELECT site, CAST(held_rows AS BIGINT) AS held_rows, held_clusters, CAST(held_positives AS BIGINT) AS held_positives, development_clusters, CAST(fit_rows AS BIGINT) AS fit_rows,
+ CAST(fit_positives AS BIGINT) AS fit_positives, CAST(validation_rows AS BIGINT) AS validation_rows, CAST(validation_positives AS BIGINT) AS validation_positives,
+ CASE WHEN NOT ({MIXED.format("held")} AND development_clusters >= 8 AND fit_positives + validation_positives > 0 AND fit_positives + validation_positives < fit_rows + validation_rows) THEN 'insufficient_classes_or_groups'
+  WHEN NOT ({MIXED.format("fit")} AND {MIXED.format("validation")}) THEN 'insufficient_validation_classes' ELSE 'ok' END AS status FROM counts""")
+def loso_plan_counts(spark, d):
+    """Roles and statuses of all sites; nothing is fitted."""
+    rows = materialize(site_rows(spark, d).drop("m1", "m2"), "loso")
+    sites = [r["site"] for r in rows.select("site").distinct().orderBy("site").collect()]
+    return T.loso_roles(rows, sites)[1]
