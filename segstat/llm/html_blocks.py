@@ -1,19 +1,26 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped into lines, one for each block of text. A line weighs its characters outside links, and nothing
-when it stands in a menu, header, footer, sidebar, notice, advert, form or comment element (by
-tag, role, class or id), or outside the page's article where the page marks one. Weights are summed over
-windows of three lines. A surge is where the window sum rises over the threshold, a dive where it falls
-back to zero; weighted lines between a surge and its dive are the main text.
-A page with an article or main element needs one character for a surge, other pages 80.
+Markup is stripped into lines, one for each block of text. Lines in a menu, footer, sidebar, notice, advert,
+form or comment element (by tag, role, class or id) are left out; the others weigh their characters
+outside links. Weights are summed over windows of three lines, and the page's heaviest window
+sets the scale: a surge is where a window sum reaches an eighth of it, a dive where it falls back to zero.
+Weighted lines between a surge and its dive are the main text. An article or main element bounds the text if
+one of its own windows reaches a surge; inside it every weighted line counts, and so does the text of links. An
+element that holds only a teaser therefore does not hide the text beside it.
+
+Reading a page takes time in proportion to its length, whatever its markup: very long texts, unclosed
+quotes, tags, comments and scripts included.
 
 Defined cases: a missing or empty page gives an empty text; unclosed and crossing tags are
-tolerated; a ``<`` that starts no tag is text; repeated rows give equal rows; extra columns pass through.
+tolerated; a ``<`` that starts no tag is text; a quote counts only after ``=``; an unclosed comment or script runs to the
+end of the page; repeated rows give equal rows; extra columns pass through.
 """
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +29,13 @@ from pyspark.sql import DataFrame, types as T
 from .tables import map_texts
 
 WINDOW = 3
-SURGE = 80
+SHARE = 8
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-                    r"|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile(r">|=\s*[\"']")
+_RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in ("script", "style", "noscript", "template", "textarea", "title")}
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_HREF = re.compile(r"(?<![\w-])href\s*=", re.I)
 _NAME = re.compile(r"[A-Za-z]+")
 # Elements that begin a new block of text.
 _BLOCK = frozenset("""address article aside blockquote body br button canvas caption center dd details dialog dir div dl dt
@@ -40,41 +49,92 @@ _MARKS = frozenset("""ad ads adv advert adverts advertisement advertising banner
     notice notices popup promo promoted related respond search share sharing sidebar social sponsor sponsored subscribe
     widget""".split())
 _HEADER = frozenset(["header", "masthead", "topbar"])
+# A name with one of these words tells what a page has, not what the element is ("has-sidebar").
+_STATES = frozenset("has no not with without open closed is".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _MAIN = frozenset(["article", "main"])
+_IN_HEAD = frozenset("base head link meta noscript script style template title".split())
 
 
 def _is_aside(tag: str, attributes: str, in_main: bool) -> bool:
-    if tag in _MAIN or tag in ("body", "html"):
+    if tag in ("main", "body", "html"):
         return False
     if tag in _ASIDE or (tag == "header" and not in_main):
         return True
     for match in _ATTRIBUTE.finditer(attributes):
-        names = {n.lower() for n in _NAME.findall(match[2] or match[3] or match[4] or "")}
-        if names & _MARKS or (not in_main and names & _HEADER):
-            return True
+        for name in (match[2] or match[3] or match[4] or "").lower().split():
+            words = set(_NAME.findall(name))
+            if not words & _STATES and (words & _MARKS or (not in_main and tag != "article" and words & _HEADER)):
+                return True
     return False
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Start, end, name, whether it closes, and attributes of each tag; markup to drop has no name.
+
+    Every search that fails is not made again, so no part of the page is read more than a few times.
+    """
+    at, last = 0, page.rfind(">")
+    quoted, absent = True, set()
+    while (at := page.find("<", at)) >= 0:
+        name, closes, attributes = "", False, ""
+        if at > last or page.startswith("<!--", at):
+            at = page.find("<!--", at)
+            if at < 0:
+                return
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+        elif page[at + 1] in "!?":
+            end = page.find(">", at) + 1
+        elif found := _OPEN.match(page, at):
+            begin = pos = found.end()
+            end = 0
+            while quoted and not end:
+                stop = _STOP.search(page, pos)
+                if not stop:
+                    quoted = False
+                elif stop[0] == ">":
+                    end = stop.end()
+                else:
+                    pos, quote = stop.end(), stop[0][-1]
+                    close = -1 if quote in absent else page.find(quote, pos)
+                    if close < 0:
+                        absent.add(quote)
+                    else:
+                        pos = close + 1
+            end = end or page.find(">", begin) + 1
+            name, closes, attributes = found[2].lower(), bool(found[1]), page[begin:end - 1]
+            if not closes and name in _RAW:
+                close = _RAW[name].search(page, end)
+                name, end = "", close.end() if close else len(page)
+        else:
+            at += 1
+            continue
+        yield at, end, name, closes, attributes
+        at = end
+
+
 def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
-    """The page's text blocks with their weights, and which stand in an article or main element."""
+    """The page's text blocks outside aside elements, with their weights, and which stand in an article or main element."""
     lines: list[str] = []
     weights: list[int] = []
     inside: list[bool] = []
     stack: list[tuple[str, bool, bool]] = []     # tag, is aside, is main
-    asides = mains = links = 0
+    held: Counter = Counter()                    # open tags
+    asides = mains = linked = 0
+    in_p = p_aside = False
+    link: tuple[int, bool] | None = None         # open elements when the link began, and whether it began in a paragraph
     block: list[str] = []
-    linked = 0
 
     def flush() -> None:
         nonlocal linked
-        if block:
+        if block and not asides and not p_aside:
             line = " ".join("".join(block).split())
             if line:
                 lines.append(line)
-                weights.append(0 if asides else max(0, len(line) - linked))
+                weights.append(max(0, len(line) - linked))
                 inside.append(mains > 0)
-            block.clear()
+        block.clear()
         linked = 0
 
     def say(raw: str) -> None:
@@ -82,34 +142,49 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
         if raw:
             text = html.unescape(raw)
             block.append(text)
-            if links and not mains:
+            if link and not mains:
                 linked += len(text.strip())
 
+    def close(tag: str) -> None:
+        nonlocal asides, mains, link
+        while held[tag]:
+            name, aside, main = stack.pop()
+            held[name] -= 1
+            asides -= aside
+            mains -= main
+            if name == tag:
+                break
+        if link and len(stack) < link[0]:
+            link = None
+
     at = 0
-    for token in _TOKEN.finditer(page):
-        say(page[at:token.start()])
-        at = token.end()
-        tag = (token[3] or "").lower()
+    for start, end, tag, closes, attributes in _tags(page):
+        say(page[at:start])
+        at = end
         if not tag:
             continue
         if tag == "a":
-            links = 0 if token[2] else 1
+            link = (len(stack), in_p) if not closes and _HREF.search(attributes) else None
             continue
         if tag in _BLOCK:
             flush()
-        if token[2]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    for _, aside, main in stack[depth:]:
-                        asides -= aside
-                        mains -= main
-                    del stack[depth:]
-                    break
-        elif tag not in _VOID and tag != "p" and not token[4].endswith("/"):
-            aside, main = _is_aside(tag, token[4], mains > 0), tag in _MAIN
+            if tag != "br":
+                in_p = p_aside = False
+                if link and link[1]:
+                    link = None
+        if closes:
+            close(tag)
+            continue
+        if held["head"] and stack[-1][0] == "head" and tag not in _IN_HEAD:
+            close("head")
+        if tag == "p":
+            in_p, p_aside = True, _is_aside(tag, attributes, mains > 0)
+        elif tag not in _VOID and not attributes.endswith("/"):
+            aside, main = _is_aside(tag, attributes, mains > 0), tag in _MAIN
             if tag in _BLOCK or aside:
                 flush()
                 stack.append((tag, aside, main))
+                held[tag] += 1
                 asides += aside
                 mains += main
     say(page[at:])
@@ -117,22 +192,28 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
     return lines, weights, inside
 
 
-def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
+def _sums(weight: np.ndarray, window: int) -> np.ndarray:
+    """Of each line and those after it, as many as the window takes."""
+    total = np.concatenate([[0], np.cumsum(weight)])
+    return total[np.minimum(np.arange(len(weight)) + window, len(weight))] - total[:-1]
+
+
+def main_text(page: str, window: int = WINDOW, share: int = SHARE) -> str:
     lines, weights, inside = lines_of(page)
     weight = np.array(weights, np.int64)
-    marked = np.array(inside, bool)
-    if (weight[marked] > 0).any():
-        weight[~marked] = 0
-        surge = 1
-    total = np.concatenate([[0], np.cumsum(weight)])
-    ends = np.minimum(np.arange(len(lines)) + window, len(lines))
-    sums = total[ends] - total[:-1]
-    keep = np.zeros(len(lines), bool)
+    sums = _sums(weight, window)
+    surge = max(1, int(sums.max(initial=0)) // share)
+    own = np.where(np.array(inside, bool), weight, 0)
+    own_sums = _sums(own, window)
+    if own_sums.max(initial=0) >= surge:
+        weight, sums, surge = own, own_sums, 1
+    kept = []
     begun = False
-    for i, s in enumerate(sums.tolist()):
+    for line, w, s in zip(lines, weight.tolist(), sums.tolist()):
         begun = s > 0 and (begun or s >= surge)
-        keep[i] = begun
-    return " ".join(line for line, k, w in zip(lines, keep, weight) if k and w > 0)
+        if begun and w:
+            kept.append(line)
+    return " ".join(kept)
 
 
 def extract(pages: DataFrame, keep: list[str] | None = None, page: str = "html") -> DataFrame:
