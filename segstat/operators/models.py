@@ -141,11 +141,25 @@ def oof_predict(df: DataFrame, folds: DataFrame, fit: Fit, cluster: str = "clust
     return reduce(DataFrame.unionByName, parts)
 
 
-def coverage_status(df: DataFrame, oof: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Incomplete out-of-fold coverage makes a metric unavailable; it is never computed on a reduced cohort."""
-    expected = df.agg(F.count(F.lit(1)).alias("expected"))
-    got = oof.where(F.col("score").isNotNull()).select(*keys).distinct().agg(F.count(F.lit(1)).alias("scored"))
-    return null_safe_join(expected, got, []).withColumn("status", F.when(F.col("expected") == F.col("scored"), "ok").otherwise("unavailable"))
+def coverage_status(df: DataFrame, oof: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Per arm: keys of the cohort, and those scored as often as the cohort has them. Anything less, or a key from elsewhere, makes the arm's metrics unavailable."""
+    cohort = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    scored = oof.groupBy(*by, *keys).agg(F.count_if(F.col("score").isNotNull()).alias("_scored"))
+    total = cohort.agg(F.count(F.lit(1)).alias("n")).scalar()
+    covered = null_safe_join(scored, cohort, keys, "left").groupBy(*by).agg(
+        F.count_if(F.col("_scored") == F.col("_rows")).alias("scored"), F.count_if(F.col("_rows").isNull()).alias("_foreign"))
+    whole = (F.col("expected") == F.col("scored")) & (F.col("_foreign") == 0)
+    return covered.withColumn("expected", total).select(*by, "expected", "scored", F.when(whole, "ok").otherwise("unavailable").alias("status"))
+
+
+def oof_metrics(df: DataFrame, oof: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Pooled metrics of each arm's out-of-fold scores, never on a reduced cohort: an arm that lacks a row of ``df`` has its
+    counts of keys, the status ``unavailable`` and no metrics."""
+    covered = coverage_status(df, oof, keys, by).withColumnRenamed("status", "_coverage")
+    found = M.evaluate(oof, by, F.col("score") > F.col("alarm_above"))
+    whole = F.col("_coverage") == "ok"
+    values = [F.when(whole, F.col(c)).alias(c) for c in found.columns if c not in (*by, "status")]
+    return null_safe_join(covered, found, by, "left").select(*by, "expected", F.col("scored"), F.when(whole, F.col("status")).otherwise("unavailable").alias("status"), *values)
 
 
 def platt(val: DataFrame, held: DataFrame, score: str = "score", target: str = "target") -> tuple[DataFrame, DataFrame, float]:
@@ -202,7 +216,7 @@ def incremental_value(df: DataFrame, base: Sequence[str], extra: Sequence[str],
     arms = {}
     for arm, columns in (("base", list(base)), ("base_plus_extra", [*base, *extra])):
         arms[arm] = materialize(oof_predict(rows, folds, lambda fit, tune, c=columns: logistic(fit, c)), "oof").withColumn("arm", F.lit(arm))
-    metrics = M.evaluate(arms["base"].unionByName(arms["base_plus_extra"]), ["arm"], F.col("score") > F.col("alarm_above"))
+    metrics = oof_metrics(rows, arms["base"].unionByName(arms["base_plus_extra"]), keys, ["arm"])
     joined = arms["base_plus_extra"].select(*keys, "cluster_id", "target", F.col("score").alias("left_score")).join(arms["base"].select(*keys, F.col("score").alias("right_score")), list(keys))
     return metrics, paired(joined, "left_score", "right_score", replicates, seed)
 

@@ -69,6 +69,24 @@ def out_of_fold(spark, d):
     return rounded(oof.select(*SEG, "target", "fold", "score", "alarm_above"), "score", "alarm_above")
 
 
+def out_of_fold_metrics(spark, d):
+    rows = materialize(B.segments(spark, d).select(*SEG, "cluster_id", "target", *FEATURES), "segments")
+    folds = materialize(S.nested_folds(rows, 3, 4, 42), "folds")
+    oof = materialize(T.oof_predict(rows, folds, lambda fit, tune: T.logistic(fit, FEATURES)), "oof")
+    return T.oof_metrics(rows, oof.withColumn("arm", F.lit("logistic")), SEG, ["arm"])
+
+
+@query("H05_out_of_fold_metrics")
+def pooled_metrics(spark, d):
+    return rounded(out_of_fold_metrics(spark, d), *M.EVALUATION_METRICS)
+
+
+@query("H05_coverage", "SELECT 'logistic' AS arm, count(*) AS expected, count(*) AS scored, 'ok' AS status, count(*) AS n, count(DISTINCT cluster_id) AS clusters, CAST(sum(target) AS BIGINT) AS positives FROM segments")
+def coverage(spark, d):
+    """Every segment is scored by exactly one fold, so the pooled metrics stand on the whole cohort."""
+    return out_of_fold_metrics(spark, d).select("arm", "expected", "scored", "status", "n", "clusters", "positives")
+
+
 HELD_SITE = 3
 
 

@@ -131,3 +131,21 @@ def test_no_site_can_be_judged(spark):
     assert plan.first()["development_clusters"] == 0
     empty, no_bins, no_plan = T.loso_evaluate(df.limit(0), ["m1"])
     assert empty.collect() == [] and no_bins.collect() == [] and no_plan.collect() == []
+
+
+def test_a_missing_fold_makes_metrics_unavailable(spark):
+    df = cohort(spark).where("cluster_id IS NOT NULL AND site < 8")
+    scores = df.select("record_id", "cluster_id", "target", F.col("m1").alias("score"), F.lit(0.0).alias("alarm_above"))
+    fold = F.crc32("cluster_id") % 5
+    cases = {"whole": scores, "dropped": scores.where(fold != 0), "blank": scores.withColumn("score", F.when(fold != 0, F.col("score"))),
+             "twice": scores.unionByName(scores.where("record_id = 7")), "foreign": scores.unionByName(scores.where("record_id = 7").withColumn("record_id", F.lit(-1)))}
+    oof = None
+    for arm, rows in cases.items():
+        rows = rows.withColumn("arm", F.lit(arm))
+        oof = rows if oof is None else oof.unionByName(rows)
+    found = {r["arm"]: r for r in T.oof_metrics(df, oof, ["record_id"], ["arm"]).collect()}
+    n = df.count()
+    assert {a: r["status"] for a, r in found.items()} == {"whole": "ok", "dropped": "unavailable", "blank": "unavailable", "twice": "unavailable", "foreign": "unavailable"}
+    assert found["whole"]["expected"] == found["whole"]["scored"] == n and found["whole"]["auroc"] is not None
+    assert found["twice"]["scored"] == n - 1 and found["foreign"]["scored"] == n
+    assert all(found[a]["auroc"] is None and found[a]["n"] is None for a in found if a != "whole")
