@@ -7,8 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import numeric_or_null, ratio
 from ..plans.ordering import exact_quantiles, null_safe_join
-from ..sources.scratch import materialize
-from . import signal as C
+from . import segment_row as R, signal as C
 
 # Feature names, the shorter prefix, and the predeclared groups.
 FEATURES_28 = [
@@ -118,8 +117,15 @@ def min_lag_corr(df: DataFrame, x: str = "x", y: str = "y", fs: float = 0.5, max
 
     Correlations are compared at 9 decimals, so rounding dust does not pick the lag.
     """
-    step = max(1, round(fs))
+    # All lags of a segment are compared inside its row: nothing is exploded or grouped again.
     arrays = C.segment_arrays(df, [x, y], keys, order).withColumn("_n", F.size(x))
+    best = arrays.select(*keys, best_lag(x, y, fs, max_lag).alias("_best"))
+    return best.select(*keys, F.col("_best.r").alias("corr_min"), (F.col("_best.lag") / F.lit(float(fs))).alias("corr_min_lag_s"))
+
+
+def best_lag(x: str, y: str, fs: float, max_lag: int = MAX_LAG_SECONDS) -> Column:
+    """(r, shifted, lag) of the smallest lagged correlation of two array columns of length ``_n``."""
+    step = max(1, round(fs))
     limit = F.least(F.lit(int(max_lag * fs)), F.col("_n") - 2)
     lags = F.when(limit > 0, F.array_union(F.array(F.lit(0)), F.transform(
         F.sequence(F.lit(0), F.floor(limit * 2 / step).cast("int")), lambda k: -limit + k * step))).otherwise(F.array(F.lit(0)))
@@ -145,63 +151,43 @@ def min_lag_corr(df: DataFrame, x: str = "x", y: str = "y", fs: float = 0.5, max
         r = bind(pair, lambda p: bind(F.struct(p["a"].alias("a"), p["b"].alias("b"), mean(p["a"]).alias("ma"), mean(p["b"]).alias("mb")), score))
         return F.struct(r.alias("r"), (lag != 0).alias("shifted"), lag.alias("lag"))
 
-    # All lags of a segment are compared inside its row: nothing is exploded or grouped again.
-    best = arrays.select(*keys, F.array_min(F.transform(lags, of_lag)).alias("_best"))
-    return best.select(*keys, F.col("_best.r").alias("corr_min"), (F.col("_best.lag") / F.lit(float(fs))).alias("corr_min_lag_s"))
-
-
-def _events_of(dev: DataFrame, fs: float):
-    """Everything that needs baseline events, on samples with dev and keep."""
-    falls = C.decelerations(dev, "x", fs)
-    peaks = C.contractions(dev, "y", fs)
-    kinds = C.classify_events(C.nearest_event(falls, peaks), fs)
-    return falls, peaks, kinds, C.accelerations(dev, "x", fs), C.baseline_variability(dev, "x")
-
-
-def _count(events: DataFrame, name: str) -> DataFrame:
-    return events.groupBy(*C.SEGMENT).agg(F.count(F.lit(1)).alias(name))
+    return F.array_min(F.transform(lags, of_lag))
 
 
 def features28(df: DataFrame, fs: float = 0.5, low: float = LOW_BAND, high: float = HIGH_BAND) -> DataFrame:
-    """The 28 features of preprocessed samples with columns x and y, one row per segment.
+    """The 28 features of preprocessed samples with columns x and y, one row per segment of two or more samples.
 
-    The samples with their deviation are written once: six aggregates read them.
+    One exchange on the segment key packs the samples; all events are found in the row.
     """
     keys = list(C.SEGMENT)
-    dev = materialize(C.deviations(df.select(*keys, C.ORDER, "x", "y"), "x", fs), "deviation")
-    falls, peaks, kinds, rises, variability = _events_of(dev, fs)
-    step = F.abs(F.col("x") - F.lag("x").over(Window.partitionBy(*keys).orderBy(C.ORDER)))
     share = lambda hit: F.avg(hit.cast("double"))
-    summary = dev.withColumn("_step", step).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("x").alias("fhr_mean"), F.min("x").alias("fhr_min"), F.max("x").alias("fhr_max"),
-        F.stddev_pop("x").alias("fhr_sd"), F.avg("_step").alias("stv"), share(F.col("x") < low).alias("brady_frac"),
-        share(F.col("x") > high).alias("tachy_frac"), F.avg("y").alias("toco_mean"), F.max("y").alias("toco_max"),
-        F.stddev_pop("y").alias("toco_sd"), corr0_of("x", "y").alias("ft_corr0"), F.first("baseline").alias("figo_baseline"))
-    summary = summary.where(F.col("n") >= 2)
-    joined = (summary
-              .join(event_summary(summary, falls).withColumnsRenamed({"n_events": "n_decel", "max_depth": "decel_max_depth", "time_fraction": "decel_time_frac"}), keys)
-              .join(event_pivot(summary, kinds).withColumnsRenamed({f"n_{k}": f"n_{k}_decel" for k in EVENT_KINDS}), keys)
-              .join(_count(rises, "n_accel"), keys, "left").join(_count(peaks, "n_contractions"), keys, "left")
-              .join(variability.withColumnRenamed("baseline_variability", "figo_baseline_var"), keys, "left")
-              .join(hist_mode(dev, "x"), keys)
-              .join(min_lag_corr(dev, "x", "y", fs).withColumnsRenamed({"corr_min": "ft_corr_min", "corr_min_lag_s": "ft_corr_min_lag_s"}), keys))
-    return joined.fillna(0, ["n_accel", "n_contractions", "figo_baseline_var"]).select(*keys, *[F.col(f).cast("double").alias(f) for f in FEATURES_28])
+    packed = R.pack(df, F.count(F.lit(1)).alias("n"), F.avg("x").alias("fhr_mean"), F.min("x").alias("fhr_min"), F.max("x").alias("fhr_max"),
+                    F.stddev_pop("x").alias("fhr_sd"), share(F.col("x") < low).alias("brady_frac"), share(F.col("x") > high).alias("tachy_frac"),
+                    F.avg("y").alias("toco_mean"), F.max("y").alias("toco_max"), F.stddev_pop("y").alias("toco_sd"),
+                    corr0_of("x", "y").alias("ft_corr0")).where(F.col("n") >= 2)
+    rows = R.with_histogram(R.with_events(packed, fs), F.col("x"), HISTOGRAM_BINS).withColumn("_n", F.size("x"))
+    rows = rows.withColumn("_lag", best_lag("x", "y", fs))
+    depths = F.transform("falls", lambda r: r["depth"])
+    held = F.aggregate("falls", F.lit(0).cast("bigint"), lambda s, r: s + (r["end"] - r["start"]))
+    derived = rows.select(
+        *keys, *[c for c in FEATURES_28 if c in rows.columns], R.mean_step("x").alias("stv"),
+        F.size("falls").alias("n_decel"), F.coalesce(F.array_max(depths), F.lit(0.0)).alias("decel_max_depth"), (held / F.col("n")).alias("decel_time_frac"),
+        F.size("rises").alias("n_accel"), F.size("contractions").alias("n_contractions"),
+        F.col("_lag.r").alias("ft_corr_min"), (F.col("_lag.lag") / F.lit(float(fs))).alias("ft_corr_min_lag_s"),
+        F.col("baseline").alias("figo_baseline"), F.col("baseline_variability").alias("figo_baseline_var"), *R.event_counts("decel", EVENT_KINDS))
+    return derived.select(*keys, *[F.col(f).cast("double").alias(f) for f in FEATURES_28])
 
 
 def features17(df: DataFrame, fs: float = 4.0) -> DataFrame:
     """The 17-feature variant: same rules at another rate, histogram over valid samples only."""
     keys = list(C.SEGMENT)
-    dev = materialize(C.deviations(df.select(*keys, C.ORDER, "x", "y"), "x", fs), "deviation")
-    base = dev.groupBy(*keys).agg(F.first("baseline").alias("baseline"))
-    falls, peaks, kinds, rises, variability = _events_of(dev, fs)
-    valid = dev.where(F.col("x") > 0)
-    stats = valid.groupBy(*keys).agg(F.min("x").alias("hist_min"), F.max("x").alias("hist_max"), F.avg("x").alias("hist_mean"), F.stddev_pop("x").alias("hist_std"))
-    pivot = event_pivot(base, kinds).withColumnsRenamed({f"n_{k}": f"n_{k}_decelerations" for k in EVENT_KINDS})
-    joined = (base.join(pivot, keys).join(_count(falls, "n_decelerations"), keys, "left").join(_count(rises, "n_accelerations"), keys, "left")
-              .join(_count(peaks, "n_uc"), keys, "left").join(variability, keys, "left").join(stats, keys, "left")
-              .join(hist_mode(valid, "x"), keys, "left"))
+    valid = F.when(F.col("x") > 0, F.col("x"))
+    packed = R.pack(df, F.min(valid).alias("hist_min"), F.max(valid).alias("hist_max"), F.avg(valid).alias("hist_mean"), F.stddev_pop(valid).alias("hist_std"))
+    rows = R.with_histogram(R.with_events(packed, fs), F.filter("x", lambda v: v > 0), HISTOGRAM_BINS)
+    derived = rows.select(*keys, *[c for c in FEATURES_17 if c in rows.columns], F.size("contractions").alias("n_uc"), F.size("rises").alias("n_accelerations"),
+                          F.size("falls").alias("n_decelerations"), *R.event_counts("decelerations", EVENT_KINDS))
     zero = [f for f in FEATURES_17 if f != "baseline"]
-    return joined.fillna(0, zero).select(*keys, *[F.col(f).cast("double").alias(f) for f in FEATURES_17])
+    return derived.fillna(0, zero).select(*keys, *[F.col(f).cast("double").alias(f) for f in FEATURES_17])
 
 
 def rejected_segments(df: DataFrame) -> DataFrame:

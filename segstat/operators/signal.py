@@ -136,7 +136,9 @@ def interp_primary(df: DataFrame, primary: str = "x") -> DataFrame:
 def segment_arrays(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = SEGMENT, order: str = ORDER) -> DataFrame:
     """One row per segment with its samples in order; arrays are as short as a segment."""
     packed = F.array_sort(F.collect_list(F.struct(order, *[c for c in columns if c != order])))
-    return df.groupBy(*keys).agg(packed.alias("_s")).select(*keys, *[F.col("_s." + c).alias(c) for c in columns])
+    # A transform, unlike "_s.c", is not repeated inside every expression that reads the array.
+    field = lambda c: F.transform("_s", lambda s: s[c]).alias(c)
+    return df.groupBy(*keys).agg(packed.alias("_s")).select(*keys, *[field(c) for c in columns])
 
 
 def _sum_count(values: Column, keep) -> Column:
@@ -232,21 +234,29 @@ def decelerations(df: DataFrame, column: str = "x", fs: float = 0.5, keys: Seque
 
 
 def nearest_event(events: DataFrame, others: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
-    """Each event with the contraction whose onset is nearest to its start; earlier onset on ties.
+    """Each event with the contraction whose onset is nearest to its start; earlier onset, then earlier end on ties.
 
     Both sides hold a handful of events per segment; the join never leaves the segment.
     """
     joined = events.join(others.select(*keys, "onset", F.col("end").alias("other_end")), list(keys), "left")
-    order = Window.partitionBy(*keys, "start").orderBy(F.abs(F.col("start") - F.col("onset")).asc_nulls_last(), F.col("onset").asc_nulls_last())
+    order = Window.partitionBy(*keys, "start").orderBy(F.abs(F.col("start") - F.col("onset")).asc_nulls_last(), F.col("onset").asc_nulls_last(), F.col("other_end").asc_nulls_last())
     return joined.withColumn("_k", F.row_number().over(order)).where(F.col("_k") == 1).drop("_k")
 
 
+def event_kind(start: Column, end: Column, onset: Column, other_end: Column, fs: float) -> Column:
+    seconds = (end - start) / fs
+    late = F.coalesce((start > onset + LATE_DELAY_SECONDS * fs) & (start < other_end), F.lit(False))
+    return F.when(late, "late").when(seconds < EARLY_MAX_SECONDS, "early").when(seconds <= PROLONGED_MAX_SECONDS, "prolonged").otherwise("severe")
+
+
+def is_variable(start: Column, nadir: Column, fs: float) -> Column:
+    return (nadir - start) < VARIABLE_NADIR_SECONDS * fs
+
+
 def classify_events(nearest: DataFrame, fs: float = 0.5) -> DataFrame:
     """late / early / prolonged / severe, and independently variable."""
-    seconds = (F.col("end") - F.col("start")) / fs
-    late = F.coalesce((F.col("start") > F.col("onset") + LATE_DELAY_SECONDS * fs) & (F.col("start") < F.col("other_end")), F.lit(False))
-    kind = F.when(late, "late").when(seconds < EARLY_MAX_SECONDS, "early").when(seconds <= PROLONGED_MAX_SECONDS, "prolonged").otherwise("severe")
-    return nearest.withColumn("kind", kind).withColumn("variable", (F.col("nadir") - F.col("start")) < VARIABLE_NADIR_SECONDS * fs)
+    kind = event_kind(F.col("start"), F.col("end"), F.col("onset"), F.col("other_end"), fs)
+    return nearest.withColumn("kind", kind).withColumn("variable", is_variable(F.col("start"), F.col("nadir"), fs))
 
 
 def longest_contiguous(df: DataFrame, name: str = "name", flag: str = "flag", record: str = "record_id", order: str = "seg_idx",
@@ -320,14 +330,17 @@ def contractions(df: DataFrame, column: str = "y", fs: float = 0.5, keys: Sequen
     least half a standard deviation, 45-120 s wide at 90 % of the prominence.
     Each is worked out on the segment's own short array, inside the JVM.
     """
+    return with_contractions(segment_arrays(df, [column], keys, order), column, fs).select(*keys, F.inline("contractions"))
+
+
+def with_contractions(arrays: DataFrame, column: str = "y", fs: float = 0.5, name: str = "contractions") -> DataFrame:
+    """Adds the peaks of an array column as an array of (onset, peak, end), empty where there are none."""
     distance = max(1, math.ceil(int(PEAK_DISTANCE_SECONDS * fs)))
-    arrays = segment_arrays(df, [column], keys, order).withColumnRenamed(column, "_v")
-    stats = F.aggregate("_v", F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"), F.lit(0).alias("n")),
+    stats = F.aggregate(column, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"), F.lit(0).alias("n")),
                         lambda a, v: F.struct((a["s"] + v).alias("s"), (a["q"] + v * v).alias("q"), (a["n"] + 1).alias("n")))
-    v = F.col("_v")
-    n = F.size(v)
+    n = F.size(column)
     # 0-based positions; plateaus count once, at their middle, when both sides are lower.
-    at = lambda i: F.get(F.col("_v"), i)
+    at = lambda i: F.get(F.col(column), i)
     positions = F.when(n >= 3, F.sequence(F.lit(1), n - 2)).otherwise(F.array().cast("array<int>"))
     rises = F.filter(positions, lambda i: at(i - 1) < at(i))
     ends = F.transform(rises, lambda i: F.struct(
@@ -346,30 +359,29 @@ def contractions(df: DataFrame, column: str = "y", fs: float = 0.5, keys: Sequen
         return F.struct(p.alias("p"), left_stop.alias("ls"), right_stop.alias("rs"),
                         (at(p) - F.greatest(lows(left_stop, p), lows(p, right_stop))).alias("prom"))
 
-    shaped = arrays.withColumn("_st", stats).withColumn("_n", n).withColumn("_kept", F.array_sort(spaced)).withColumn(
-        "_shapes", F.transform("_kept", shape))
-    sd = F.sqrt(F.greatest(F.col("_st.q") / F.col("_st.n") - F.pow(F.col("_st.s") / F.col("_st.n"), 2), F.lit(0.0)))
-    one = shaped.withColumn("_sd", sd).where(F.col("_sd") > 0).select(*keys, "_v", "_n", "_sd", F.explode("_shapes").alias("_p"))
-    prominent = one.where(F.col("_p.prom") >= F.col("_sd") * PEAK_PROMINENCE_SD)
-    p = F.col("_p.p")
-    level = F.get("_v", p) - F.col("_p.prom") * PEAK_WIDTH_LEVEL
-    # Bases: the lowest sample on each side, nearest to the peak; the walk outward stops there.
-    def base(a, b, nearest):
-        window = F.sequence(a, b)
-        low = F.array_min(F.transform(window, lambda j: F.get("_v", j)))
-        hits = F.filter(window, lambda j: F.get("_v", j) == low)
-        return nearest(hits)
-    with_bases = prominent.withColumn("_level", level).withColumn("_lb", base(F.col("_p.ls"), p, F.array_max)).withColumn(
-        "_rb", base(p, F.col("_p.rs"), F.array_min))
-    left = F.coalesce(F.array_max(F.filter(F.sequence(F.col("_lb"), p), lambda j: F.get("_v", j) <= F.col("_level"))), F.col("_lb"))
-    right = F.coalesce(F.array_min(F.filter(F.sequence(p, F.col("_rb")), lambda j: F.get("_v", j) <= F.col("_level"))), F.col("_rb"))
-    crossed = with_bases.withColumn("_l", left).withColumn("_r", right)
-    value = lambda i: F.get("_v", i)
-    onset = F.col("_l") + F.when(value(F.col("_l")) < F.col("_level"), F.try_divide(
-        F.col("_level") - value(F.col("_l")), value(F.col("_l") + 1) - value(F.col("_l")))).otherwise(0.0)
-    end = F.col("_r") - F.when(value(F.col("_r")) < F.col("_level"), F.try_divide(
-        F.col("_level") - value(F.col("_r")), value(F.col("_r") - 1) - value(F.col("_r")))).otherwise(0.0)
+    def bases(s):
+        """The lowest sample on each side, nearest to the peak; the walk outward stops there."""
+        def base(a, b, nearest):
+            low = F.array_min(F.transform(F.sequence(a, b), at))
+            return nearest(F.filter(F.sequence(a, b), lambda j: at(j) == low))
+        return F.struct(s["p"].alias("p"), (at(s["p"]) - s["prom"] * PEAK_WIDTH_LEVEL).alias("level"),
+                        base(s["ls"], s["p"], F.array_max).alias("lb"), base(s["p"], s["rs"], F.array_min).alias("rb"))
+
+    def crossings(s):
+        under = lambda a, b: F.filter(F.sequence(a, b), lambda j: at(j) <= s["level"])
+        return F.struct(s["p"].alias("p"), s["level"].alias("level"),
+                        F.coalesce(F.array_max(under(s["lb"], s["p"])), s["lb"]).alias("l"),
+                        F.coalesce(F.array_min(under(s["p"], s["rb"])), s["rb"]).alias("r"))
+
+    def limits(s):
+        part = lambda i, inner: F.when(at(i) < s["level"], F.try_divide(s["level"] - at(i), at(inner) - at(i))).otherwise(0.0)
+        return F.struct(s["p"].alias("p"), (s["l"] + part(s["l"], s["l"] + 1)).alias("on"), (s["r"] - part(s["r"], s["r"] - 1)).alias("off"))
+
     low, high = CONTRACTION_SECONDS
-    return crossed.withColumn("_on", onset).withColumn("_off", end).where(
-        ((F.col("_off") - F.col("_on")) / fs).between(low, high)).select(
-        *keys, F.bround("_on", 0).cast("bigint").alias("onset"), p.cast("bigint").alias("peak"), F.bround("_off", 0).cast("bigint").alias("end"))
+    sd = F.sqrt(F.greatest(F.col("_st.q") / F.col("_st.n") - F.pow(F.col("_st.s") / F.col("_st.n"), 2), F.lit(0.0)))
+    shaped = arrays.withColumn("_st", stats).withColumn("_sd", sd).withColumn("_kept", F.array_sort(spaced)).withColumn("_p", F.transform("_kept", shape))
+    prominent = F.filter("_p", lambda s: (F.col("_sd") > 0) & (s["prom"] >= F.col("_sd") * PEAK_PROMINENCE_SD))
+    wide = shaped.withColumn("_p", F.transform(prominent, bases)).withColumn("_p", F.transform("_p", crossings)).withColumn("_p", F.transform("_p", limits))
+    found = F.transform(F.filter("_p", lambda s: ((s["off"] - s["on"]) / fs).between(low, high)), lambda s: F.struct(
+        F.bround(s["on"], 0).cast("bigint").alias("onset"), s["p"].cast("bigint").alias("peak"), F.bround(s["off"], 0).cast("bigint").alias("end")))
+    return wide.withColumn(name, found).drop("_st", "_sd", "_kept", "_p")

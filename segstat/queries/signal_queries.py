@@ -88,6 +88,15 @@ def smooth_weighted(spark, d):
 
 CLEAN = ", ".join([BASE, impute_sql("s", "x", 1, "fx"), impute_sql("fx", "y", 1, "fy"), smooth_sql("fy", ("x", "y"), 3, "sm"),
                    impute_sql("sm", "x", None, "gx"), impute_sql("gx", "y", None, "clean")])
+# Both channels at 9 decimals, so bin edges and plateaus are the same in every engine.
+EXACT = """clean AS (SELECT * REPLACE (round(x, 9) AS x, round(y, 9) AS y) FROM raw)"""
+
+
+def exact_clean_sql(base: str) -> str:
+    return ", ".join([base, impute_sql("s", "x", 1, "fx"), impute_sql("fx", "y", 1, "fy"), smooth_sql("fy", ("x", "y"), 3, "sm"),
+                      impute_sql("sm", "x", None, "gx"), impute_sql("gx", "y", None, "raw"), EXACT])
+
+
 CLEAN_0 = ", ".join([impute_sql("fy", "x", None, "hx"), impute_sql("hx", "y", None, "clean0")])
 
 
@@ -323,14 +332,19 @@ def event_pivot(spark, d):
     return X.event_pivot(sizes(clean(spark, d)), C.classify_events(nearest(spark, d), FS))
 
 
-HIST = """r AS (SELECT record_id, seg_idx, x, CASE WHEN min(x) OVER w = max(x) OVER w THEN min(x) OVER w - 0.5 ELSE min(x) OVER w END AS lo,
-  CASE WHEN min(x) OVER w = max(x) OVER w THEN max(x) OVER w + 0.5 ELSE max(x) OVER w END AS hi FROM samples WINDOW w AS (PARTITION BY record_id, seg_idx)),
+def hist_sql(source: str) -> str:
+    return f"""r AS (SELECT record_id, seg_idx, x, CASE WHEN min(x) OVER w = max(x) OVER w THEN min(x) OVER w - 0.5 ELSE min(x) OVER w END AS lo,
+  CASE WHEN min(x) OVER w = max(x) OVER w THEN max(x) OVER w + 0.5 ELSE max(x) OVER w END AS hi FROM {source} WINDOW w AS (PARTITION BY record_id, seg_idx)),
 g AS (SELECT *, (hi - lo) / 24 AS wd, floor((x - lo) / ((hi - lo) / 24)) AS k FROM r),
 b AS (SELECT record_id, seg_idx, lo, wd, least(greatest(CASE WHEN x < lo + k * wd THEN k - 1 WHEN x >= lo + (k + 1) * wd THEN k + 1 ELSE k END, 0), 23) AS bin FROM g),
 c AS (SELECT record_id, seg_idx, lo, wd, bin, count(*) AS n FROM b GROUP BY ALL),
 m AS (SELECT record_id, seg_idx, lo, wd, (list(bin ORDER BY n DESC, bin))[1] AS k FROM c GROUP BY ALL)"""
 
 
+HIST = hist_sql("samples")
+HIST_MODE = """hm AS (SELECT record_id, seg_idx, max(x) - min(x) AS hist_width, median(x) AS hist_median, max(m.lo + (m.k + 0.5) * m.wd) AS hist_mode FROM r JOIN m USING (record_id, seg_idx) GROUP BY ALL)"""
+
+
 @query("D06_histogram_mode", f"""WITH {HIST} SELECT record_id, seg_idx, round(max(x) - min(x), 6) AS hist_width, round(median(x), 6) AS hist_median, round(max(m.lo + (m.k + 0.5) * m.wd), 6) AS hist_mode
 FROM r JOIN m USING (record_id, seg_idx) GROUP BY ALL""")
 def hist_mode(spark, d):
@@ -342,43 +356,61 @@ def corr0(spark, d):
     return rounded(X.corr0(signal(spark, d)), "corr0")
 
 
-@query("D08_min_lag_correlation", """WITH n AS (SELECT record_id, seg_idx, count(*) AS n FROM samples GROUP BY ALL),
-l AS (SELECT record_id, seg_idx, unnest(range(-least(6, n - 2), least(6, n - 2) + 1)) AS lag FROM n WHERE n > 2 UNION ALL SELECT record_id, seg_idx, 0 FROM n WHERE n <= 2),
-p AS (SELECT l.record_id, l.seg_idx, lag, CASE WHEN min(a.x) < max(a.x) AND min(b.y) < max(b.y) THEN corr(a.x, b.y) ELSE 0 END AS r
-  FROM l JOIN samples a ON a.record_id = l.record_id AND a.seg_idx = l.seg_idx JOIN samples b ON b.record_id = l.record_id AND b.seg_idx = l.seg_idx AND a.sample_idx = b.sample_idx + lag GROUP BY ALL),
-q AS (SELECT record_id, seg_idx, lag, round(coalesce(r, 0), 9) AS r FROM p)
-SELECT record_id, seg_idx, round(min(r), 6) AS corr_min, round((list(lag ORDER BY r, lag <> 0, lag))[1] / 0.1::DOUBLE, 6) AS corr_min_lag_s FROM q GROUP BY ALL""")
+def lag_sql(source: str) -> str:
+    return f"""ln AS (SELECT record_id, seg_idx, count(*) AS n FROM {source} GROUP BY ALL),
+ll AS (SELECT record_id, seg_idx, unnest(range(-least(6, n - 2), least(6, n - 2) + 1)) AS lag FROM ln WHERE n > 2 UNION ALL SELECT record_id, seg_idx, 0 FROM ln WHERE n <= 2),
+lp AS (SELECT l.record_id, l.seg_idx, lag, CASE WHEN min(a.x) < max(a.x) AND min(b.y) < max(b.y) THEN corr(a.x, b.y) ELSE 0 END AS r
+  FROM ll l JOIN {source} a ON a.record_id = l.record_id AND a.seg_idx = l.seg_idx JOIN {source} b ON b.record_id = l.record_id AND b.seg_idx = l.seg_idx AND a.sample_idx = b.sample_idx + lag GROUP BY ALL),
+lq AS (SELECT record_id, seg_idx, lag, round(coalesce(r, 0), 9) AS r FROM lp),
+lagged AS (SELECT record_id, seg_idx, min(r) AS corr_min, (list(lag ORDER BY r, lag <> 0, lag))[1] / 0.1::DOUBLE AS corr_min_lag_s FROM lq GROUP BY ALL)"""
+
+
+@query("D08_min_lag_correlation", f"WITH {lag_sql('samples')} SELECT record_id, seg_idx, round(corr_min, 6) AS corr_min, round(corr_min_lag_s, 6) AS corr_min_lag_s FROM lagged")
 def min_lag_corr(spark, d):
     return rounded(X.min_lag_corr(signal(spark, d), "x", "y", FS), "corr_min", "corr_min_lag_s")
 
 
 CLASSIFIED = """near AS (SELECT * EXCLUDE k FROM (SELECT d.record_id, d.seg_idx, d.start, d."end", nadir, baseline - low AS depth, onset, o."end" AS other_end,
-  row_number() OVER (PARTITION BY d.record_id, d.seg_idx, d.start ORDER BY abs(d.start - onset) NULLS LAST, onset NULLS LAST) AS k
+  row_number() OVER (PARTITION BY d.record_id, d.seg_idx, d.start ORDER BY abs(d.start - onset) NULLS LAST, onset NULLS LAST, o.peak NULLS LAST) AS k
   FROM down d LEFT JOIN contr o ON d.record_id = o.record_id AND d.seg_idx = o.seg_idx) WHERE k = 1)"""
 # Features that do not hinge on a bin edge or a lag chosen between near-equal values.
 CHECKED_28 = [f for f in X.FEATURES_28 if f not in ("hist_mode", "ft_corr_min", "ft_corr_min_lag_s")]
 
 
-@query("D09_features28", f"""WITH RECURSIVE {CLEAN}, {DEV}, {VARIABILITY}, {DOWN}, {events_sql('dev >= 15 AND x > 0', 'up')}, {CONTRACTIONS}, {CLASSIFIED}, {KINDS},
-st AS (SELECT * REPLACE (round(y, 9) AS y), abs(x - lag(x) OVER ({P})) AS step FROM dev),
+EVENTS = f"{DEV}, {VARIABILITY}, {DOWN}, {events_sql('dev >= 15 AND x > 0', 'up')}, {CONTRACTIONS}, {CLASSIFIED}, {KINDS}"
+COUNTED = """fall AS (SELECT record_id, seg_idx, count(*) AS n_decel, max(baseline - low) AS decel_max_depth, sum("end" - start) AS t FROM down GROUP BY ALL),
+rise AS (SELECT record_id, seg_idx, count(*) AS n_accel FROM up WHERE length < 60 AND peak - start < 3 GROUP BY ALL),
+con AS (SELECT record_id, seg_idx, count(*) AS n_contractions FROM contr GROUP BY ALL),
+kd AS (SELECT record_id, seg_idx, """ + ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}_decel" for k in X.EVENT_KINDS if k != "variable") + """, count(*) FILTER (WHERE variable) AS n_variable_decel FROM kinds GROUP BY ALL)"""
+WIDE = f"""st AS (SELECT * REPLACE (round(y, 9) AS y), abs(x - lag(x) OVER ({P})) AS step FROM dev),
 agg AS (SELECT record_id, seg_idx, count(*) AS n, avg(x) AS fhr_mean, min(x) AS fhr_min, max(x) AS fhr_max, stddev_pop(x) AS fhr_sd, avg(step) AS stv, avg(CASE WHEN x < 20 THEN 1.0 ELSE 0.0 END) AS brady_frac,
   avg(CASE WHEN x > 100 THEN 1.0 ELSE 0.0 END) AS tachy_frac, avg(y) AS toco_mean, max(y) AS toco_max, stddev_pop(y) AS toco_sd, CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN corr(x, y) ELSE 0 END AS ft_corr0,
   first(baseline) AS figo_baseline, max(x) - min(x) AS hist_width, median(x) AS hist_median FROM st GROUP BY ALL HAVING count(*) >= 2),
-fall AS (SELECT record_id, seg_idx, count(*) AS n_decel, max(baseline - low) AS decel_max_depth, sum("end" - start) AS t FROM down GROUP BY ALL),
-rise AS (SELECT record_id, seg_idx, count(*) AS n_accel FROM up WHERE length < 60 AND peak - start < 3 GROUP BY ALL),
-con AS (SELECT record_id, seg_idx, count(*) AS n_contractions FROM contr GROUP BY ALL),
-kd AS (SELECT record_id, seg_idx, """ + ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}_decel" for k in X.EVENT_KINDS if k != "variable") + """, count(*) FILTER (WHERE variable) AS n_variable_decel FROM kinds GROUP BY ALL),
+{COUNTED},
 wide AS (SELECT agg.*, n_decel, decel_max_depth, t / n::DOUBLE AS decel_time_frac, n_accel, n_contractions, v AS figo_baseline_var, n_early_decel, n_late_decel, n_variable_decel, n_severe_decel, n_prolonged_decel
-  FROM agg LEFT JOIN fall USING (record_id, seg_idx) LEFT JOIN rise USING (record_id, seg_idx) LEFT JOIN con USING (record_id, seg_idx) LEFT JOIN kd USING (record_id, seg_idx) LEFT JOIN var USING (record_id, seg_idx))
-SELECT record_id, seg_idx, """ + ", ".join(f"round(CAST(coalesce({f}, 0) AS DOUBLE), 8) AS {f}" for f in CHECKED_28 if f != "figo_baseline") + ", round(figo_baseline, 8) AS figo_baseline FROM wide")
+  FROM agg LEFT JOIN fall USING (record_id, seg_idx) LEFT JOIN rise USING (record_id, seg_idx) LEFT JOIN con USING (record_id, seg_idx) LEFT JOIN kd USING (record_id, seg_idx) LEFT JOIN var USING (record_id, seg_idx))"""
+
+
+def shown_features(names: list, kept: str, digits: int) -> str:
+    """Every feature rounded, 0 where nothing was found; the one kept stays NULL without valid samples."""
+    return ", ".join(f"round(CAST({f if f == kept else f'coalesce({f}, 0)'} AS DOUBLE), {digits}) AS {f}" for f in names)
+
+
+@query("D09_features28", f"WITH RECURSIVE {CLEAN}, {EVENTS}, {WIDE} SELECT record_id, seg_idx, {shown_features(CHECKED_28, 'figo_baseline', 8)} FROM wide")
 def features28(spark, d):
     out = X.features28(clean(spark, d).withColumn("y", F.round("y", 9)), FS, 20, 100)
     return rounded(out.select(*SEG, *CHECKED_28), *CHECKED_28, digits=8)
 
 
-@query("D09_feature_vector")
+def exact(df):
+    return df.withColumns({"x": F.round("x", 9), "y": F.round("y", 9)})
+
+
+@query("D09_feature_vector", f"""WITH RECURSIVE {exact_clean_sql(BASE)}, {EVENTS}, {WIDE}, {hist_sql('clean')}, {HIST_MODE}, {lag_sql('clean')},
+every AS (SELECT w.*, hm.hist_mode, corr_min AS ft_corr_min, corr_min_lag_s AS ft_corr_min_lag_s FROM wide w JOIN hm USING (record_id, seg_idx) JOIN lagged USING (record_id, seg_idx))
+SELECT record_id, seg_idx, {shown_features(X.FEATURES_28, 'figo_baseline', 8)} FROM every""")
 def feature_vector(spark, d):
-    return rounded(X.features28(clean(spark, d), FS, 20, 100), *X.FEATURES_28)
+    return rounded(X.features28(exact(clean(spark, d)), FS, 20, 100), *X.FEATURES_28, digits=8)
 
 
 @query("D09_rejected_segments", "SELECT record_id, seg_idx, count(*) AS n, 'fewer_than_two_samples' AS reason FROM samples GROUP BY ALL HAVING count(*) < 2")
@@ -386,11 +418,19 @@ def rejected_segments(spark, d):
     return X.rejected_segments(signal(spark, d))
 
 
-@query("D10_features17")
+HOURS = "s AS (SELECT record_id, seg_idx // 3 AS seg_idx, (seg_idx % 3) * 10 + sample_idx AS sample_idx, x, y FROM samples)"
+
+
+@query("D10_features17", f"""WITH RECURSIVE {exact_clean_sql(HOURS)}, {EVENTS}, {COUNTED}, valid AS (SELECT * FROM clean WHERE x > 0), {hist_sql('valid')}, {HIST_MODE},
+hs AS (SELECT record_id, seg_idx, min(x) AS hist_min, max(x) AS hist_max, avg(x) AS hist_mean, stddev_pop(x) AS hist_std FROM valid GROUP BY ALL),
+every AS (SELECT record_id, seg_idx, baseline, v AS baseline_variability, hs.* EXCLUDE (record_id, seg_idx), hm.* EXCLUDE (record_id, seg_idx), n_contractions AS n_uc, n_accel AS n_accelerations, n_decel AS n_decelerations,
+  """ + ", ".join(f"n_{k}_decel AS n_{k}_decelerations" for k in X.EVENT_KINDS) + f""" FROM base LEFT JOIN var USING (record_id, seg_idx) LEFT JOIN hs USING (record_id, seg_idx) LEFT JOIN hm USING (record_id, seg_idx)
+  LEFT JOIN con USING (record_id, seg_idx) LEFT JOIN rise USING (record_id, seg_idx) LEFT JOIN fall USING (record_id, seg_idx) LEFT JOIN kd USING (record_id, seg_idx))
+SELECT record_id, seg_idx, {shown_features(X.FEATURES_17, 'baseline', 8)} FROM every""")
 def features17(spark, d):
-    """Whole hours of a record stand in for the longer crops of this variant."""
+    """Three segments in a row stand in for the longer crops of this variant."""
     longer = signal(spark, d).select("record_id", F.expr("seg_idx div 3").alias("seg_idx"), F.expr("(seg_idx % 3) * 10 + sample_idx").alias("sample_idx"), "x", "y")
-    return rounded(X.features17(C.preprocess(longer, ("x", "y"), FS), FS), *X.FEATURES_17)
+    return rounded(X.features17(exact(C.preprocess(longer, ("x", "y"), FS)), FS), *X.FEATURES_17, digits=8)
 
 
 LONG = "long AS (" + " UNION ALL ".join(f"SELECT cluster_id, target, '{f}' AS feature, {f} AS value FROM segments" for f in B.SEGMENT_FEATURES) + ")"
