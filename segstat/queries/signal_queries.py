@@ -408,9 +408,10 @@ def exact(df):
 
 @query("D09_feature_vector", f"""WITH RECURSIVE {exact_clean_sql(BASE)}, {EVENTS}, {WIDE}, {hist_sql('clean')}, {HIST_MODE}, {lag_sql('clean')},
 every AS (SELECT w.*, hm.hist_mode, corr_min AS ft_corr_min, corr_min_lag_s AS ft_corr_min_lag_s FROM wide w JOIN hm USING (record_id, seg_idx) JOIN lagged USING (record_id, seg_idx))
-SELECT record_id, seg_idx, {shown_features(X.FEATURES_28, 'figo_baseline', 8)} FROM every""")
+SELECT record_id, seg_idx, {shown_features([f for f in X.FEATURES_28 if f != 'ft_corr_min'], 'figo_baseline', 8)}, ft_corr_min FROM every""")
 def feature_vector(spark, d):
-    return rounded(X.features28(exact(clean(spark, d)), FS, 20, 100), *X.FEATURES_28, digits=8)
+    # The lagged correlation has nine decimals by definition.
+    return rounded(X.features28(exact(clean(spark, d)), FS, 20, 100), *[f for f in X.FEATURES_28 if f != "ft_corr_min"], digits=8)
 
 
 @query("D09_rejected_segments", "SELECT record_id, seg_idx, count(*) AS n, 'fewer_than_two_samples' AS reason FROM samples GROUP BY ALL HAVING count(*) < 2")
