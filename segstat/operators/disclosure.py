@@ -62,6 +62,40 @@ def screen_complementary(df: DataFrame, group: Sequence[str], numerics: Sequence
     return apply_screen(df, numerics, F.min(enough(counts, minimum)).over(Window.partitionBy(*group)))
 
 
+def screen_linked(tables: dict[str, tuple[DataFrame, str]], margin: DataFrame, numerics: Sequence[str], allowed: Column,
+                  count: str = "clusters", minimum: int = MIN_CLUSTERS) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Screens several break-downs of one total so that no blanked cell follows by subtraction.
+
+    tables: name to (cells, key column); the cells of each add up to the one row
+    of ``margin`` in every numeric. ``allowed`` is the primary rule of a row. In
+    a table that hides one cell, or only cells that together may stem from fewer
+    than ``minimum`` contributors, the smallest shown cell (then by key) is
+    hidden too. Where none can be, the total is hidden; and where the total is
+    hidden, a table that shows every cell hides its smallest, as it would add up
+    to the total. The tables are short lists of cells, so each is one window.
+    """
+    def judged(cells: DataFrame, key: str) -> DataFrame:
+        every = Window.partitionBy(F.lit(0))
+        marked = cells.withColumn("_ok", F.coalesce(allowed, F.lit(False))).withColumn("_free", F.col("_ok") & F.coalesce(F.col(count) >= minimum, F.lit(False)))
+        seen = marked.withColumns({
+            "_hidden": F.count_if(~F.col("_ok")).over(every), "_widest": F.max(F.when(~F.col("_ok"), F.col(count))).over(every),
+            "_choices": F.count_if("_free").over(every), "_turn": F.row_number().over(every.orderBy(F.col("_free").desc(), count, key))})
+        open_ = (F.col("_hidden") > 0) & ((F.col("_hidden") == 1) | F.coalesce(F.col("_widest") < minimum, F.lit(True)))
+        return seen.withColumn("_open", open_)
+
+    cells = {name: judged(df, key) for name, (df, key) in tables.items()}
+    stuck = F.lit(False)
+    for df in cells.values():
+        stuck = stuck | F.coalesce(df.agg(F.bool_or(F.col("_open") & (F.col("_choices") == 0)).alias("v")).scalar(), F.lit(False))
+    total = apply_screen(margin, numerics, F.coalesce(allowed, F.lit(False)) & ~stuck)
+    gone = F.coalesce(total.agg(F.bool_or(F.col("review_status") == SUPPRESSED).alias("v")).scalar(), F.lit(False))
+    out = {}
+    for name, df in cells.items():
+        extra = F.col("_free") & (F.col("_turn") == 1) & (F.col("_open") | ((F.col("_hidden") == 0) & gone))
+        out[name] = apply_screen(df, numerics, F.col("_ok") & ~extra).drop("_ok", "_free", "_hidden", "_widest", "_choices", "_turn", "_open")
+    return out, total
+
+
 def screen_alarm_metrics(df: DataFrame, numerics: Sequence[str],
                          alarm_metrics: Sequence[str] = ("normal_record_alarm_rate", "false_alarms_per_normal_hour"),
                          minimum: int = MIN_CLUSTERS) -> DataFrame:

@@ -8,7 +8,7 @@ written in between. Arrays are as long as a segment, which is fixed by contract.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -25,47 +25,35 @@ def pack(df: DataFrame, *aggregates: Column, keys: Sequence[str] = C.SEGMENT, or
     return grouped.withColumn("_i", field("i")).withColumn("x", field("x")).withColumn("y", field("y")).drop("_s")
 
 
-def runs_in_row(samples: Column | str, hit: Callable[[Column], Column]) -> Column:
-    """Maximal runs of consecutive positions whose sample (i, x, ...) is a hit, with the extremes inside.
+def runs_in_row(samples: str, hit: str) -> Column:
+    """Maximal runs of consecutive positions whose sample v (i, x, dev, keep) is a hit, with the extremes inside.
 
     The lowest and highest sample of a run are its first on ties. A sample that
     is no hit leaves the open run alone: the next hit's position ends it.
     """
-    closed = lambda s: F.when(s["open"].isNull(), s["done"]).otherwise(F.array_append(s["done"], s["open"]))
-    one = F.lit(1).cast("bigint")
-
-    def step(s, v):
-        o = s["open"]
-        fresh = F.struct(v["i"].alias("start"), (v["i"] + 1).alias("end"), one.alias("length"), v["x"].alias("low"), v["x"].alias("high"),
-                         v["i"].alias("nadir"), v["i"].alias("peak"))
-        longer = F.struct(o["start"].alias("start"), (o["end"] + 1).alias("end"), (o["length"] + 1).alias("length"),
-                          F.least(o["low"], v["x"]).alias("low"), F.greatest(o["high"], v["x"]).alias("high"),
-                          F.when(v["x"] < o["low"], v["i"]).otherwise(o["nadir"]).alias("nadir"),
-                          F.when(v["x"] > o["high"], v["i"]).otherwise(o["peak"]).alias("peak"))
-        return (F.when(~F.coalesce(hit(v), F.lit(False)), s)
-                .when(o["end"] == v["i"], F.struct(s["done"].alias("done"), longer.alias("open")))
-                .otherwise(F.struct(closed(s).alias("done"), fresh.alias("open"))))
-
-    start = F.struct(F.array().cast(f"array<{RUN}>").alias("done"), F.lit(None).cast(RUN).alias("open"))
-    return F.aggregate(samples, start, step, closed)
-
-
-def variability_in_row(samples: Column | str) -> Column:
+    closed = "CASE WHEN s.open IS NULL THEN s.done ELSE array_append(s.done, s.open) END"
+    fresh = "named_struct('start', v.i, 'end', v.i + 1, 'length', 1L, 'low', v.x, 'high', v.x, 'nadir', v.i, 'peak', v.i)"
+    longer = """named_struct('start', s.open.start, 'end', s.open.`end` + 1, 'length', s.open.length + 1, 'low', least(s.open.low, v.x), 'high', greatest(s.open.high, v.x),
+        'nadir', CASE WHEN v.x < s.open.low THEN v.i ELSE s.open.nadir END, 'peak', CASE WHEN v.x > s.open.high THEN v.i ELSE s.open.peak END)"""
+    return F.expr(f"""aggregate({samples}, named_struct('done', CAST(array() AS array<{RUN}>), 'open', CAST(NULL AS {RUN})),
+        (s, v) -> CASE WHEN NOT coalesce({hit}, false) THEN s
+            WHEN s.open.`end` = v.i THEN named_struct('done', s.done, 'open', {longer})
+            ELSE named_struct('done', {closed}, 'open', {fresh}) END,
+        s -> {closed})""")
+
+
+def variability_in_row(samples: str) -> Column:
     """Mean absolute difference of successive turning points inside runs of kept samples, 0 without any."""
-    nothing = F.lit(None).cast("double")
-    state = lambda end, x, sign, turn, total, n: F.struct(
-        end.alias("end"), x.alias("x"), sign.alias("sign"), turn.alias("turn"), total.alias("total"), n.alias("n"))
-
-    def step(s, v):
-        sign = F.when(v["x"] != s["x"], F.signum(v["x"] - s["x"]))
-        turned = F.coalesce(sign != s["sign"], F.lit(False))
-        gap = F.when(turned, F.abs(s["x"] - s["turn"]))
-        on = state(v["i"] + 1, v["x"], F.coalesce(sign, s["sign"]), F.when(turned, s["x"]).otherwise(s["turn"]),
-                   s["total"] + F.coalesce(gap, F.lit(0.0)), s["n"] + gap.isNotNull().cast("int"))
-        return F.when(~v["keep"], s).when(s["end"] == v["i"], on).otherwise(state(v["i"] + 1, v["x"], nothing, nothing, s["total"], s["n"]))
-
-    start = state(F.lit(None).cast("bigint"), nothing, nothing, nothing, F.lit(0.0), F.lit(0))
-    return F.aggregate(samples, start, step, lambda s: F.coalesce(F.try_divide(s["total"], s["n"]), F.lit(0.0)))
+    sign = "CASE WHEN v.x <> s.x THEN signum(v.x - s.x) END"
+    turned = f"coalesce({sign} <> s.sign, false)"
+    gap = f"CASE WHEN {turned} THEN abs(s.x - s.turn) END"
+    nothing = "CAST(NULL AS DOUBLE)"
+    return F.expr(f"""aggregate({samples}, named_struct('end', CAST(NULL AS BIGINT), 'x', {nothing}, 'sign', {nothing}, 'turn', {nothing}, 'total', 0D, 'n', 0),
+        (s, v) -> CASE WHEN NOT v.keep THEN s
+            WHEN s.`end` = v.i THEN named_struct('end', v.i + 1, 'x', v.x, 'sign', coalesce({sign}, s.sign), 'turn', CASE WHEN {turned} THEN s.x ELSE s.turn END,
+                'total', s.total + coalesce({gap}, 0D), 'n', s.n + CAST(({gap}) IS NOT NULL AS INT))
+            ELSE named_struct('end', v.i + 1, 'x', v.x, 'sign', {nothing}, 'turn', {nothing}, 'total', s.total, 'n', s.n) END,
+        s -> coalesce(try_divide(s.total, s.n), 0D))""")
 
 
 def with_events(packed: DataFrame, fs: float) -> DataFrame:
@@ -76,8 +64,8 @@ def with_events(packed: DataFrame, fs: float) -> DataFrame:
                                    F.coalesce((F.abs(v - mask) < C.EVENT_DEPTH) & (v != 0), F.lit(False)).alias("keep"))
     ready = C.with_contractions(ready.withColumn("_samples", F.zip_with("_i", "x", sample)), "y", fs)
     shortest = math.ceil(C.EVENT_MIN_SECONDS * fs)
-    down = runs_in_row("_samples", lambda v: (v["dev"] <= -C.EVENT_DEPTH) & (v["x"] > 0))
-    up = runs_in_row("_samples", lambda v: (v["dev"] >= C.EVENT_DEPTH) & (v["x"] > 0))
+    down = runs_in_row("_samples", f"v.dev <= {-C.EVENT_DEPTH}D AND v.x > 0")
+    up = runs_in_row("_samples", f"v.dev >= {C.EVENT_DEPTH}D AND v.x > 0")
     rise = lambda r: ((r["length"] >= shortest) & (r["length"] < C.EVENT_MAX_SECONDS * fs)
                       & (r["peak"] - r["start"] < C.RISE_TO_PEAK_SECONDS * fs))
 
@@ -110,20 +98,14 @@ def with_histogram(arrays: DataFrame, values: Column, bins: int) -> DataFrame:
     flat = low == high
     held = held.withColumn("_range", F.struct(F.when(flat, low - 0.5).otherwise(low).alias("lo"), F.when(flat, high + 0.5).otherwise(high).alias("hi")))
     held = held.withColumn("_bins", F.struct(F.col("_range.lo").alias("lo"), ((F.col("_range.hi") - F.col("_range.lo")) / bins).alias("width")))
+    edge = "(_bins.lo + ({}) * _bins.width)"
+    guess = "floor((v - _bins.lo) / _bins.width)"
+    bin_of = f"""least(greatest(CASE WHEN v < {edge.format(guess)} THEN {guess} - 1 WHEN v >= {edge.format(guess + " + 1")} THEN {guess} + 1 ELSE {guess} END, 0L), {bins - 1}L)"""
+    best = F.expr(f"""aggregate(transform(_v, v -> {bin_of}), named_struct('bin', CAST(NULL AS BIGINT), 'n', 0, 'best', CAST(NULL AS BIGINT), 'most', 0),
+        (s, k) -> CASE WHEN coalesce(s.bin = k, false) THEN named_struct('bin', k, 'n', s.n + 1, 'best', CASE WHEN s.n + 1 > s.most THEN k ELSE s.best END, 'most', greatest(s.n + 1, s.most))
+            ELSE named_struct('bin', k, 'n', 1, 'best', CASE WHEN 1 > s.most THEN k ELSE s.best END, 'most', greatest(1, s.most)) END,
+        s -> s.best)""")
     lo, width = F.col("_bins.lo"), F.col("_bins.width")
-
-    def bin_of(v):
-        guess = F.floor((v - lo) / width)
-        edge = lambda k: lo + k * width
-        near = F.when(v < edge(guess), guess - 1).when(v >= edge(guess + 1), guess + 1).otherwise(guess)
-        return F.least(F.greatest(near, F.lit(0).cast("bigint")), F.lit(bins - 1).cast("bigint"))
-
-    def step(s, k):
-        run = F.when(s["bin"] == k, s["n"] + 1).otherwise(F.lit(1))
-        return F.struct(k.alias("bin"), run.alias("n"), F.when(run > s["most"], k).otherwise(s["best"]).alias("best"), F.greatest(run, s["most"]).alias("most"))
-
-    start = F.struct(F.lit(None).cast("bigint").alias("bin"), F.lit(0).alias("n"), F.lit(None).cast("bigint").alias("best"), F.lit(0).alias("most"))
-    best = F.aggregate(F.transform("_v", bin_of), start, step, lambda s: s["best"])
     middle = (F.get("_v", F.floor((n - 1) / 2).cast("int")) + F.get("_v", F.floor(n / 2).cast("int"))) / 2
     return (held.withColumn("hist_width", high - low).withColumn("hist_median", middle)
             .withColumn("hist_mode", lo + (best + 0.5) * width).drop("_v", "_range", "_bins"))

@@ -565,6 +565,60 @@ def screened_composition(spark, d):
     return D.pseudonymise(D.apply_screen(table, ["records", "clusters", "segments", "positive_records"], ok).drop("_pc", "_qc"), "site")
 
 
+# Break-downs of one cohort by site and by the reason a record is left out.
+LINKED_MINIMUM = 50
+LINKED = ["records", "clusters", "segments", "positive_records"]
+REASON_SQL = "CASE WHEN n_segments IS NULL THEN 'no_segments' WHEN n_segments < 2 THEN 'single_segment' WHEN balance < 0 THEN 'negative_balance' ELSE 'kept' END"
+
+
+def linked_sql(name: str, key: str) -> str:
+    enough_sql = " AND ".join(["clusters >= {m}", "(pc = 0 OR pc >= {m})", "(qc = 0 OR qc >= {m})"]).format(m=LINKED_MINIMUM)
+    return f"""{name}_c AS (SELECT {key} AS cell, count(*) AS records, count(DISTINCT cluster_id) AS clusters, CAST(coalesce(sum(n_segments), 0) AS BIGINT) AS segments, CAST(coalesce(sum(any_abnormal), 0) AS BIGINT) AS positive_records,
+ count(DISTINCT CASE WHEN any_abnormal = 1 THEN cluster_id END) AS pc, count(DISTINCT CASE WHEN any_abnormal = 0 THEN cluster_id END) AS qc FROM lr GROUP BY 1),
+{name}_k AS (SELECT *, {enough_sql} AS ok, ({enough_sql}) AND clusters >= {LINKED_MINIMUM} AS free FROM {name}_c),
+{name}_w AS (SELECT *, count(*) FILTER (WHERE NOT ok) OVER () AS hidden, max(CASE WHEN NOT ok THEN clusters END) OVER () AS widest, count(*) FILTER (WHERE free) OVER () AS choices, row_number() OVER (ORDER BY free DESC, clusters, cell) AS turn FROM {name}_k),
+{name}_o AS (SELECT *, hidden > 0 AND (hidden = 1 OR coalesce(widest < {LINKED_MINIMUM}, true)) AS opened FROM {name}_w)"""
+
+
+LINKED_SQL = f"""lr AS (SELECT *, {REASON_SQL} AS reason FROM records), {linked_sql('s', 'site')}, {linked_sql('q', 'reason')}, {linked_sql('t', "'prepared_cohort'")},
+stuck AS (SELECT coalesce((SELECT bool_or(opened AND choices = 0) FROM s_o), false) OR coalesce((SELECT bool_or(opened AND choices = 0) FROM q_o), false) AS v),
+total AS (SELECT *, ok AND NOT (SELECT v FROM stuck) AS fine FROM t_k),
+shown_s AS (SELECT *, ok AND NOT (free AND turn = 1 AND (opened OR (hidden = 0 AND (SELECT NOT fine FROM total)))) AS fine FROM s_o),
+shown_q AS (SELECT *, ok AND NOT (free AND turn = 1 AND (opened OR (hidden = 0 AND (SELECT NOT fine FROM total)))) AS fine FROM q_o)"""
+
+
+def linked_release(spark, d):
+    """Site composition, exclusion reasons and their common total, screened together."""
+    rows = B.records(spark, d).withColumn("reason", F.expr(REASON_SQL)).withColumn("item", F.lit("prepared_cohort"))
+
+    def cells(key):
+        per_cluster = rows.groupBy(key, "cluster_id").agg(
+            F.count(F.lit(1)).alias("r"), F.sum("n_segments").alias("s"), F.sum("any_abnormal").alias("p"),
+            F.count_if(F.col("any_abnormal") == 1).alias("pos"), F.count_if(F.col("any_abnormal") == 0).alias("neg"))
+        return per_cluster.groupBy(key).agg(
+            F.sum("r").alias("records"), F.count("cluster_id").alias("clusters"), F.coalesce(F.sum("s"), F.lit(0)).alias("segments"),
+            F.coalesce(F.sum("p"), F.lit(0)).alias("positive_records"), F.count_if(F.col("pos") > 0).alias("_pc"), F.count_if(F.col("neg") > 0).alias("_qc"))
+
+    allowed = D.enough(["clusters"], LINKED_MINIMUM) & D.empty_or_enough("_pc", LINKED_MINIMUM) & D.empty_or_enough("_qc", LINKED_MINIMUM)
+    tables, total = D.screen_linked({"site": (cells("site"), "site"), "reason": (cells("reason"), "reason")}, cells("item"), LINKED, allowed, "clusters", LINKED_MINIMUM)
+    return {name: df.drop("_pc", "_qc") for name, df in {**tables, "item": total}.items()}
+
+
+@query("J11_linked_composition", f"WITH {LINKED_SQL} SELECT 'S' || lpad(CAST(row_number() OVER (ORDER BY cell) AS VARCHAR), 2, '0') AS alias, {shown(LINKED, 'fine')}, {STATUS.format(ok='fine')} FROM shown_s")
+def linked_composition(spark, d):
+    return D.pseudonymise(linked_release(spark, d)["site"], "site")
+
+
+@query("J11_exclusion_reasons", f"WITH {LINKED_SQL} SELECT cell AS reason, {shown(LINKED, 'fine')}, {STATUS.format(ok='fine')} FROM shown_q")
+def exclusion_reasons(spark, d):
+    return linked_release(spark, d)["reason"]
+
+
+@query("J11_prepared_cohort", f"WITH {LINKED_SQL} SELECT cell AS item, {shown(LINKED, 'fine')}, {STATUS.format(ok='fine')} FROM total")
+def prepared_cohort(spark, d):
+    return linked_release(spark, d)["item"]
+
+
 @query("J12_screened_missingness", """WITH v AS (SELECT cluster_id, 'quality' AS field, quality IS NOT NULL AS seen, site FROM doc_outcomes UNION ALL SELECT cluster_id, 'long_text', n_chars > 100, site FROM doc_outcomes),
 c AS (SELECT site, field, count(*) FILTER (WHERE seen) AS observed_records, count(DISTINCT CASE WHEN seen THEN cluster_id END) AS observed_clusters, count(*) FILTER (WHERE NOT seen) AS missing_records, count(DISTINCT CASE WHEN NOT seen THEN cluster_id END) AS missing_clusters FROM v GROUP BY ALL),
 k AS (SELECT *, (observed_clusters = 0 OR observed_clusters >= 10) AND (missing_clusters = 0 OR missing_clusters >= 10) AS ok FROM c)

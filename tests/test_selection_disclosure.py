@@ -172,3 +172,45 @@ def test_complete_output_continues_in_its_folder(spark, tmp_path):
     assert count() == {"a": 10, "b": 10}
     rows.write.mode("append").parquet(folder)
     assert count() == {"a": 20, "b": 20}
+
+
+def test_linked_tables_leave_no_cell_to_subtract(spark):
+    """Random cohorts of two break-downs: no blanked number is fixed by what is shown and by the sums."""
+    rng = np.random.default_rng(4)
+    outcomes = set()
+    for trial in range(8):
+        a = rng.integers(0, 30, rng.integers(1, 5)) if trial else np.array([12, 14])
+        total = int(a.sum())
+        cut = np.sort(rng.integers(0, total + 1, rng.integers(0, 3)))
+        b = np.diff(np.concatenate([[0], cut, [total]]))
+        frame = lambda counts, key: spark.createDataFrame([(f"{key}{i}", int(n), int(n) * 3) for i, n in enumerate(counts)], f"{key} string, clusters long, records long")
+        margin = spark.createDataFrame([("all", total, total * 3)], "item string, clusters long, records long")
+        tables, top = D.screen_linked({"a": (frame(a, "a"), "a"), "b": (frame(b, "b"), "b")}, margin, ["clusters", "records"],
+                                      D.empty_or_enough("clusters", 10), "clusters", 10)
+        shown = [[r["records"] for r in tables[k].orderBy(k).collect()] for k in "ab"] + [[top.first()["records"]]]
+        assert [len(v) for v in shown] == [len(a), len(b), 1]
+        for values, counts in zip(shown, (a, b)):
+            assert all(v is None or v == 3 * n for v, n in zip(values, counts))
+            assert all(v is None for v, n in zip(values, counts) if 0 < n < 10)
+        # Unknowns that the two sums determine lie in no direction of the null space.
+        cells = [v for part in shown for v in part]
+        unknown = [i for i, v in enumerate(cells) if v is None]
+        system = np.zeros((2, len(cells)))
+        system[0, :len(a)], system[1, len(a):-1], system[:, -1] = 1, 1, -1
+        left = system[:, unknown]
+        free = np.linalg.svd(left)[2][np.linalg.matrix_rank(left):] if unknown else np.zeros((0, 0))
+        assert all(np.abs(free[:, j]).max(initial=0) > 1e-9 for j in range(len(unknown))), (a, b, shown)
+        outcomes.add((bool(unknown), shown[2][0] is None))
+    assert len(outcomes) >= 2
+
+
+def test_linked_tables_hide_the_smallest_cell_or_the_total(spark):
+    cells = lambda key, *counts: spark.createDataFrame([(f"{key}{i}", n) for i, n in enumerate(counts)], f"{key} string, clusters long")
+    screen = lambda a, b, t: D.screen_linked({"a": (cells("a", *a), "a"), "b": (cells("b", *b), "b")}, cells("item", t), ["clusters"], D.empty_or_enough("clusters", 10), "clusters", 10)
+    read = lambda df: [r["clusters"] for r in df.orderBy(df.columns[0]).collect()]
+    tables, total = screen((4, 20, 16, 30), (35, 35), 70)
+    assert read(tables["a"]) == [None, 20, None, 30] and read(tables["b"]) == [35, 35] and read(total) == [70]
+    tables, total = screen((4, 3), (7, 0), 7)
+    assert read(tables["a"]) == [None, None] and read(tables["b"]) == [None, 0] and read(total) == [None]
+    tables, total = screen((40, 40), (80,), 80)
+    assert read(tables["a"]) == [40, 40] and read(total) == [80]
