@@ -31,27 +31,28 @@ class Logistic:
 
 
 def fit(rows: DataFrame, columns: Sequence[Sequence[int]], c: float = 1.0, standardise: bool = True, iterations: int = 100,
-        x: str = "x", use: str = "use", target: str = "target") -> list[Logistic | None]:
+        x: str = "x", use: str = "use", target: str = "target", weight: str | None = None) -> list[Logistic | None]:
     """Model m sees ``columns[m]`` of the array ``x`` in the rows whose ``use`` holds m.
 
     Missing values take the exact median of the model's own rows, columns are standardised (a constant one
     counts as zero), weights pay ``0.5 / c`` times their square. Rows without a target teach nothing. ``rows`` is read once a step: give a written table.
-    A model whose rows have a single class, or that has no rows, is None.
+    A model whose rows have a single class, or that has no rows, is None. The array ``weight`` says how many equal rows a row
+    stands for in each model of its ``use``.
     """
     columns = [list(m) for m in columns]
     rows = rows.where(F.col(target).isNotNull())
-    fill = _fills(rows, columns, x, use)
-    first = _totals(rows, x, use, target, columns, lambda m, v, y: np.concatenate([[len(y), y.sum()], _filled(v, fill[m]).sum(0)]))
+    fill = _fills(rows, columns, x, use, weight)
+    first = _totals(rows, x, use, target, weight, columns, lambda m, v, y, w: np.concatenate([[w.sum(), w @ y], w @ _filled(v, fill[m])]))
     live = [m for m, t in first.items() if 0 < t[1] < t[0]]
     mean = {m: first[m][2:] / first[m][0] if standardise else np.zeros(len(columns[m])) for m in live}
     spread = {m: np.ones(len(columns[m])) for m in live}
     if standardise:
-        squares = _totals(rows, x, use, target, [columns[m] if m in mean else None for m in range(len(columns))],
-                          lambda m, v, y: ((_filled(v, fill[m]) - mean[m]) ** 2).sum(0))
+        squares = _totals(rows, x, use, target, weight, [columns[m] if m in mean else None for m in range(len(columns))],
+                          lambda m, v, y, w: w @ (_filled(v, fill[m]) - mean[m]) ** 2)
         for m in live:
             s = np.sqrt(squares[m] / max(first[m][0] - 1, 1))
             spread[m] = np.where(s > 1e-12 * np.maximum(np.abs(mean[m]), 1e-300), s, np.inf)
-    beta = _newton(rows, x, use, target, columns, live, fill, mean, spread, 1.0 / c, iterations)
+    beta = _newton(rows, x, use, target, weight, columns, live, fill, mean, spread, 1.0 / c, iterations)
     fitted: list[Logistic | None] = [None] * len(columns)
     for m in live:
         weights = beta[m][1:] / spread[m]
@@ -59,7 +60,7 @@ def fit(rows: DataFrame, columns: Sequence[Sequence[int]], c: float = 1.0, stand
     return fitted
 
 
-def _newton(rows, x, use, target, columns, live, fill, mean, spread, penalty, iterations) -> dict[int, np.ndarray]:
+def _newton(rows, x, use, target, weight, columns, live, fill, mean, spread, penalty, iterations) -> dict[int, np.ndarray]:
     """Newton steps of all models together; a step that raises a model's loss is halved."""
     beta = {m: np.zeros(len(columns[m]) + 1) for m in live}
     step = {m: np.zeros(len(columns[m]) + 1) for m in live}
@@ -70,14 +71,14 @@ def _newton(rows, x, use, target, columns, live, fill, mean, spread, penalty, it
             break
         at = {m: beta[m] + step[m] for m in open_models}
 
-        def part(m: int, v: np.ndarray, y: np.ndarray, at=at) -> np.ndarray:
+        def part(m: int, v: np.ndarray, y: np.ndarray, w: np.ndarray, at=at) -> np.ndarray:
             z = np.hstack([np.ones((len(y), 1)), (_filled(v, fill[m]) - mean[m]) / spread[m]])
             score = z @ at[m]
             p = 1 / (1 + np.exp(-np.clip(score, -700, 700)))
-            curve = (z * (p * (1 - p))[:, None]).T @ z
-            return np.concatenate([[np.sum(np.logaddexp(0, score) - y * score)], z.T @ (p - y), curve.ravel()])
+            curve = (z * (w * p * (1 - p))[:, None]).T @ z
+            return np.concatenate([[w @ (np.logaddexp(0, score) - y * score)], z.T @ (w * (p - y)), curve.ravel()])
 
-        sums = _totals(rows, x, use, target, [columns[m] if m in open_models else None for m in range(len(columns))], part)
+        sums = _totals(rows, x, use, target, weight, [columns[m] if m in open_models else None for m in range(len(columns))], part)
         for m in list(open_models):
             k = len(at[m])
             shrink = np.full(k, penalty)
@@ -99,7 +100,7 @@ def _filled(v: np.ndarray, fill: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(v), fill, v)
 
 
-def _fills(rows: DataFrame, columns: list[list[int]], x: str, use: str) -> dict[int, np.ndarray]:
+def _fills(rows: DataFrame, columns: list[list[int]], x: str, use: str, weight: str | None) -> dict[int, np.ndarray]:
     """Medians of each model's rows, looked up only for columns where a value is missing."""
     fill = {m: np.zeros(len(c)) for m, c in enumerate(columns)}
     width = 1 + max((max(c, default=0) for c in columns), default=0)
@@ -108,15 +109,17 @@ def _fills(rows: DataFrame, columns: list[list[int]], x: str, use: str) -> dict[
     holes = [i for i in range(width) if gaps[i]]
     if holes:
         values = F.array(*[F.struct(F.lit(i).alias("at"), F.col(x)[i].alias("value")) for i in holes])
-        long = rows.select(F.explode(use).alias("model"), values.alias("v")).select("model", F.inline("v")).where("value IS NOT NULL AND NOT isnan(value)")
-        for r in exact_quantiles(long, ["model", "at"], "value", [0.5], ["median"]).collect():
+        share = F.transform(use, lambda m: F.lit(1).cast("bigint")) if weight is None else F.col(weight)
+        members = F.arrays_zip(F.col(use).alias("model"), share.alias("rows"))
+        long = rows.select(F.inline(members).alias("model", "rows"), values.alias("v")).select("model", "rows", F.inline("v")).where("value IS NOT NULL AND NOT isnan(value)")
+        for r in exact_quantiles(long, ["model", "at"], "value", [0.5], ["median"], "rows").collect():
             if r["at"] in columns[r["model"]]:
                 fill[r["model"]][columns[r["model"]].index(r["at"])] = r["median"]
     return fill
 
 
-def _totals(rows: DataFrame, x: str, use: str, target: str, columns: Sequence[Sequence[int] | None],
-            part: Callable[[int, np.ndarray, np.ndarray], np.ndarray]) -> dict[int, np.ndarray]:
+def _totals(rows: DataFrame, x: str, use: str, target: str, weight: str | None, columns: Sequence[Sequence[int] | None],
+            part: Callable[[int, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> dict[int, np.ndarray]:
     """The sum of ``part`` over all rows of each model that has columns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -128,16 +131,19 @@ def _totals(rows: DataFrame, x: str, use: str, target: str, columns: Sequence[Se
             models = member.flatten().to_numpy(zero_copy_only=False)
             at = np.repeat(np.arange(batch.num_rows), member.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
             y = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
+            share = np.ones(len(at)) if weight is None else batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(float)
             order = np.argsort(models, kind="stable")
             names, starts = np.unique(models[order], return_index=True)
-            for m, chosen in zip(names.tolist(), np.split(at[order], starts[1:])):
+            for m, members in zip(names.tolist(), np.split(order, starts[1:])):
                 if columns[m] is not None:
-                    found = part(m, wide[np.ix_(chosen, columns[m])], y[chosen])
+                    chosen = at[members]
+                    found = part(m, wide[np.ix_(chosen, columns[m])], y[chosen], share[members])
                     held[m] = held[m] + found if m in held else found
         for m, total in held.items():
             yield pa.RecordBatch.from_pydict({"model": pa.array(np.full(len(total), m), pa.int32()), "at": pa.array(np.arange(len(total)), pa.int32()), "value": pa.array(total)})
 
-    summed = rows.select(x, use, F.col(target).cast("double")).mapInArrow(run, "model int, at int, value double").groupBy("model", "at").agg(F.sum("value").alias("value"))
+    counted = [] if weight is None else [weight]
+    summed = rows.select(x, use, F.col(target).cast("double"), *counted).mapInArrow(run, "model int, at int, value double").groupBy("model", "at").agg(F.sum("value").alias("value"))
     out: dict[int, list[tuple[int, float]]] = {}
     for r in summed.collect():
         out.setdefault(r["model"], []).append((r["at"], r["value"]))

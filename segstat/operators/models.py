@@ -259,8 +259,9 @@ def loso_roles(rows: DataFrame, sites: Sequence, seed: int = 42, folds: int = 5,
 def loso_scores(df: DataFrame, columns: Sequence[str], seed: int = 42, keys: Sequence[str] = ("record_id",)) -> tuple[DataFrame, DataFrame]:
     """Leave every site out: raw and recalibrated scores of its rows with each arm's alarm limit, and the sites' counts and statuses.
 
-    All sites are fitted in the same passes; rows are never copied for each site they are fitted for, only for
-    those they validate. Both Platt's map and the limits come from the validation rows of the same held site.
+    All sites are fitted in the same passes, over counts of equal rows (site, role, target, columns): a row is read
+    once, and what the passes read is as large as the columns have distinct values. Both Platt's map and the limits come
+    from the validation rows of the same held site.
     """
     rows = materialize(df, "loso")
     sites = [r["site"] for r in rows.select("site").where("site IS NOT NULL").distinct().orderBy("site").collect()]
@@ -268,23 +269,28 @@ def loso_scores(df: DataFrame, columns: Sequence[str], seed: int = 42, keys: Seq
     plan = materialize(plan, "loso-plan")
     ready = {r["site"] for r in plan.where("status = 'ok'").select("site").collect()}
     able = F.lit([m for m, s in enumerate(sites) if s in ready]).cast("array<int>")
-    held = F.array_position(_sites(rows, sites), F.col("site")).cast("int") - 1
-    none = F.array().cast("array<int>")
-    keep = [*keys, "cluster_id", "site", "target"]
-    placed = materialize(null_safe_join(rows, roles, ["cluster_id"], "left").select(
-        *keep, F.array(*[F.col(c).cast("double") for c in columns]).alias("x"), *[F.array_intersect(F.coalesce(c, none), able).alias(c) for c in ("use", "tune")],
-        F.array_intersect(F.array(held), able).alias("test")), "loso-rows")
-    models = joint_logistic.fit(placed, [list(range(len(columns)))] * len(sites))
-    uses = F.array(*[F.struct(F.lit(role).alias("role"), F.col(role).alias("models")) for role in ("tune", "test")])
-    scored = materialize(placed.select(*keep, "x", F.inline(uses)).select("*", F.explode("models").alias("model")).select(
-        *keep, "role", "model", joint_logistic.score(models, F.col("model")).alias("raw")), "loso-scores")
-    tune = materialize(scored.where("role = 'tune'").select("model", "target", "raw", F.array(logit(F.col("raw"))).alias("x"), F.array("model").alias("use")), "loso-tune")
-    maps = joint_logistic.fit(tune, [[0]] * len(sites), standardise=False)
+    # Two places for each held site: even where a cluster is fitted for it, odd where it validates.
+    place = lambda role, odd: F.transform(F.array_intersect(F.col(role), able), lambda m: m * 2 + odd)
+    placed = roles.select("cluster_id", F.concat(place("use", 0), place("tune", 1)).alias("places"))
+    values = [F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)]
+    names = [f"_x{i}" for i in range(len(columns))]
+    x = F.array(*[F.col(n) for n in names]).alias("x")
+    counted = null_safe_join(rows.select("cluster_id", "target", *values), placed, ["cluster_id"]).select(
+        "target", *names, F.explode("places").alias("place")).groupBy("place", "target", *names).agg(F.count(F.lit(1)).alias("n"))
+    cells = materialize(counted.select("target", x, F.expr("place div 2").cast("int").alias("model"), (F.col("place") % 2 == 1).alias("tunes"), "n"), "loso-cells")
+    member = [F.array("model").alias("use"), F.array("n").alias("weight")]
+    models = joint_logistic.fit(cells.where("NOT tunes").select("x", "target", *member), [list(range(len(columns)))] * len(sites), weight="weight")
+    tune = materialize(cells.where("tunes").withColumn("raw", joint_logistic.score(models, F.col("model"))).select(
+        "model", "target", "raw", "n", F.array(logit(F.col("raw"))).alias("x"), *member), "loso-tune")
+    maps = joint_logistic.fit(tune, [[0]] * len(sites), standardise=False, weight="weight")
     rising = F.lit([bool(m and m.weights[0] > 0) for m in maps]).cast("array<boolean>")
     platt_score = joint_logistic.score(maps, F.col("model"), F.array(logit(F.col("raw"))))
     arms = F.array(F.struct(F.lit("raw").alias("arm"), F.col("raw").alias("score")), F.struct(F.lit("platt").alias("arm"), platt_score.alias("score")))
-    limits = M.threshold90(tune.select("model", "target", F.inline(arms)), ["model", "arm"])
-    long = scored.where("role = 'test'").select(*keep, "model", F.get(rising, F.col("model")).alias("monotone_increasing"), F.inline(arms))
+    limits = M.threshold90(tune.select("model", "target", "n", F.inline(arms)), ["model", "arm"], weight=F.col("n"))
+    keep = [*keys, "cluster_id", "site", "target"]
+    held = rows.withColumn("model", F.array_position(_sites(rows, sites), F.col("site")).cast("int") - 1).where(F.array_contains(able, F.col("model")))
+    scored = held.select(*keep, "model", *values).select(*keep, "model", joint_logistic.score(models, F.col("model"), x).alias("raw"))
+    long = scored.select(*keep, "model", F.get(rising, F.col("model")).alias("monotone_increasing"), F.inline(arms))
     return long.join(limits, ["model", "arm"]).drop("model"), plan
 
 
