@@ -1,11 +1,12 @@
 """Large tables are dealt over as many tasks as their rows need, and the results stay the same."""
 import os
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
 from check_queries import compare, connect
-from segstat.operators import bootstrap as BS
+from segstat.operators import bootstrap as BS, replicates as R
 from segstat.plans import ordering
 from segstat.sources import bindings as B
 
@@ -26,7 +27,18 @@ def test_tasks_follow_the_rows(spark, small_tasks):
     assert ordering.spread_large(numbers, 2000, "number") is numbers
 
 
-@pytest.mark.parametrize("name", ["E02_cardinality_violations", "G10_evaluate_by_site", "G11_cluster_weights", "G22_evaluate_subgroups"])
+@pytest.mark.parametrize("name", ["E02_cardinality_violations", "G10_evaluate_by_site", "G11_cluster_weights", "G12_bootstrap_intervals", "G13_paired_difference", "G22_evaluate_subgroups"])
 def test_dealt_queries_equal_sql(spark, small_tasks, name):
     problems = [p for p in compare(entry.queries()[name](spark, SF), connect(SF), entry.oracle_sql()[name]) if p != "no rows"]
     assert not problems, problems
+
+
+def test_weights_of_a_cluster_add_up_over_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        rows = [(c, b, b + 1) for c in (None, 1, 2, 7) for b in (0, 2, 2, 4)] + [(9, 1, 300)]
+        frame = spark.createDataFrame(rows, "cluster_id bigint, b int, weight bigint")
+        got = {r["cluster_id"]: np.frombuffer(r["_w"], "<u4").tolist() for r in R.packed_weights(frame, 5).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {**{c: [1, 0, 6, 0, 5] for c in (None, 1, 2, 7)}, 9: [0, 300, 0, 0, 0]}
