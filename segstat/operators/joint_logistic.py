@@ -109,9 +109,14 @@ def _fills(rows: DataFrame, columns: list[list[int]], x: str, use: str, weight:
     holes = [i for i in range(width) if gaps[i]]
     if holes:
         values = F.array(*[F.struct(F.lit(i).alias("at"), F.col(x)[i].alias("value")) for i in holes])
-        share = F.transform(use, lambda m: F.lit(1).cast("bigint")) if weight is None else F.col(weight)
-        members = F.arrays_zip(F.col(use).alias("model"), share.alias("rows"))
-        long = rows.select(F.inline(members).alias("model", "rows"), values.alias("v")).select("model", "rows", F.inline("v")).where("value IS NOT NULL AND NOT isnan(value)")
+        present = "value IS NOT NULL AND NOT isnan(value)"
+        if weight is None:
+            # Equal values of rows with the same models are counted before they go to each model.
+            equal = rows.select(F.col(use).alias("use"), F.inline(values)).where(present).groupBy("use", "at", "value").agg(F.count(F.lit(1)).alias("rows"))
+            long = equal.select(F.explode("use").alias("model"), "rows", "at", "value")
+        else:
+            members = F.arrays_zip(F.col(use).alias("model"), F.col(weight).alias("rows"))
+            long = rows.select(F.inline(members).alias("model", "rows"), values.alias("v")).select("model", "rows", F.inline("v")).where(present)
         for r in exact_quantiles(long, ["model", "at"], "value", [0.5], ["median"], "rows").collect():
             if r["at"] in columns[r["model"]]:
                 fill[r["model"]][columns[r["model"]].index(r["at"])] = r["median"]

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType
 
 from ..functions.scalars import logit
-from ..plans.ordering import exact_quantiles, null_safe_join
+from ..plans.ordering import exact_quantiles, null_safe_join, spread
 from ..sources.scratch import materialize
 from . import joint_logistic, metrics as M, splits as S
 from .align import exclude_clusters
@@ -26,6 +26,8 @@ from .bootstrap import REPLICATES, paired
 SPLINE_KNOTS = 5
 TREE_RATE = 0.05
 TREE_DEPTHS = {"deep": 6, "shallow": 4}
+# Rows of a joint fit that one task reads.
+FIT_ROWS_PER_TASK = 250_000
 
 Fit = Callable[[DataFrame, DataFrame], "PipelineModel"]
 
@@ -209,16 +211,48 @@ def transfer(roles: DataFrame, score: str = "score", target: str = "target") ->
     return moved.select(*keep, F.inline(arms)).join(limits, "arm"), slope
 
 
-def incremental_value(df: DataFrame, base: Sequence[str], extra: Sequence[str], k: int, seed: int = 42, replicates: int = REPLICATES, keys: Sequence[str] = ("record_id",)) -> tuple[DataFrame, DataFrame]:
-    """Out-of-fold metrics of a base arm and base plus extra columns, and their paired difference."""
-    folds = materialize(S.nested_folds(df, k, 3, seed), "folds")
-    rows = materialize(df, "rows")
-    arms = {}
-    for arm, columns in (("base", list(base)), ("base_plus_extra", [*base, *extra])):
-        arms[arm] = materialize(oof_predict(rows, folds, lambda fit, tune, c=columns: logistic(fit, c)), "oof").withColumn("arm", F.lit(arm))
-    metrics = oof_metrics(rows, arms["base"].unionByName(arms["base_plus_extra"]), keys, ["arm"])
-    joined = arms["base_plus_extra"].select(*keys, "cluster_id", "target", F.col("score").alias("left_score")).join(arms["base"].select(*keys, F.col("score").alias("right_score")), list(keys))
-    return metrics, paired(joined, "left_score", "right_score", replicates, seed)
+ARMS = ("base", "base_plus_extra")
+
+
+def incremental_scores(df: DataFrame, base: Sequence[str], extra: Sequence[str], k: int, seed: int = 42, keys: Sequence[str] = ("record_id",)) -> tuple[DataFrame, DataFrame]:
+    """Out-of-fold scores of a base arm and base plus extra columns, side by side: of all rows by the fold that holds them, and of
+    the rows that tune each fold.
+
+    All folds and both arms are fitted in the same passes over one written table; a row says which models learn from it.
+    A model whose rows have a single class gives that class.
+    """
+    roles = materialize(S.nested_folds(df, k, 3, seed), "folds")
+    fold = F.col("outer_fold")
+    of = lambda role: F.sort_array(F.collect_list(F.when(F.col("role") == role, fold)))
+    placed = roles.groupBy("cluster_id").agg(F.max(F.when(F.col("role") == "hold", fold)).alias("fold"), of("fit").alias("_fit"), of("tune").alias("_tune")).select(
+        "cluster_id", "fold", "_tune", F.flatten(F.transform("_fit", lambda f: F.array(f * 2, f * 2 + 1))).alias("use"))
+    columns = [*base, *extra]
+    x = F.array(*[F.col(c).cast("double") for c in columns]).alias("x")
+    # Dealt by count: each pass of the fit costs more than the size of the table tells.
+    dealt = spread(df, df.count(), FIT_ROWS_PER_TASK, "cluster_id")
+    rows = materialize(dealt.join(placed, "cluster_id").select(*keys, "cluster_id", "target", x, "use", "fold", "_tune"), "rows")
+    models = joint_logistic.fit(rows, [list(range(len(base))), list(range(len(columns)))] * k)
+    single = {}
+    if None in models:
+        single = {r["model"]: r["share"] for r in rows.select(F.explode("use").alias("model"), "target").groupBy("model").agg(F.avg("target").alias("share")).collect()}
+    shares = F.array(*[F.lit(single.get(m)) for m in range(2 * k)]).cast("array<double>")
+    scores = [F.coalesce(joint_logistic.score(models, F.col("fold") * 2 + i), F.get(shares, F.col("fold") * 2 + i)).alias(arm) for i, arm in enumerate(ARMS)]
+    held = rows.select(*keys, "cluster_id", "target", "fold", *scores)
+    return held, rows.select("target", "x", F.explode("_tune").alias("fold")).select("target", "fold", *scores)
+
+
+def incremental_metrics(df: DataFrame, held: DataFrame, tuned: DataFrame, keys: Sequence[str] = ("record_id",)) -> DataFrame:
+    """Out-of-fold metrics of both arms of ``incremental_scores``, each fold with its own alarm limit."""
+    arms = F.array(*[F.struct(F.lit(arm).alias("arm"), F.col(arm).alias("score")) for arm in ARMS])
+    limits = M.threshold90(tuned.select("target", "fold", F.inline(arms)), ["fold", "arm"])
+    oof = held.select(*keys, "cluster_id", "target", "fold", F.inline(arms)).join(limits, ["fold", "arm"])
+    return oof_metrics(df, materialize(oof, "oof"), keys, ["arm"])
+
+
+def incremental_value(df: DataFrame, base: Sequence[str], extra: Sequence[str], k: int, seed: int = 42, replicates: int = REPLICATES, keys: Sequence[str] = ("record_id",)) -> DataFrame:
+    """Paired difference of base plus extra columns against the base arm, on the same out-of-fold rows."""
+    held, _ = incremental_scores(df, base, extra, k, seed, keys)
+    return paired(held, ARMS[1], ARMS[0], replicates, seed)
 
 
 def _sites(rows: DataFrame, sites: Sequence, site: str = "site") -> Column:

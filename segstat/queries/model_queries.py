@@ -131,9 +131,9 @@ def linear_contributions(spark, d):
 def incremental_value(spark, d):
     rows = B.records(spark, d).where(F.col("balance") >= 0).select(
         "record_id", "cluster_id", (F.col("balance") < 2000).cast("int").alias("target"), (F.col("price") / 100000).alias("price"), F.col("n_segments").cast("double").alias("n_segments"), "abnormal_fraction")
-    lines = B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("record_id"), F.col("l_linenumber").alias("seg_idx"), (F.col("l_returnflag") == "R").cast("int").alias("flag"))
+    lines = B.line_items(spark, d, "l_orderkey", "l_linenumber", "l_returnflag").select(F.col("l_orderkey").alias("record_id"), F.col("l_linenumber").alias("seg_idx"), (F.col("l_returnflag") == "R").cast("int").alias("flag"))
     named = lines.withColumn("name", F.concat(F.lit("r"), F.col("record_id").cast("string"), F.lit("_p"), F.col("seg_idx").cast("string")))
-    runs = C.longest_contiguous(named).select("record_id", F.col("longest_run").cast("double").alias("longest_abnormal_run"))
+    runs = C.longest_contiguous(named, memo=(d, "lineitem", "l_orderkey")).select("record_id", F.col("longest_run").cast("double").alias("longest_abnormal_run"))
     return gated_increment(rows.join(runs, "record_id", "left"), ["price", "n_segments"], ["abnormal_fraction", "longest_abnormal_run"], 3)
 
 
@@ -144,8 +144,7 @@ def gated_increment(rows, base, extra, k):
     if gate.where(F.col("status") == "ok").isEmpty():
         empty = {"metric": "string", "difference": "double", "lo": "double", "hi": "double", "n_valid": "bigint"}
         return gate.select(*[F.lit(None).cast(kind).alias(c) for c, kind in empty.items()], "*")
-    _, difference = T.incremental_value(rows, base, extra, k)
-    return rounded(difference.crossJoin(gate), "difference", "lo", "hi")
+    return rounded(T.incremental_value(rows, base, extra, k).crossJoin(gate), "difference", "lo", "hi")
 
 
 def site_rows(spark, d):

@@ -149,3 +149,43 @@ def test_a_missing_fold_makes_metrics_unavailable(spark):
     assert found["whole"]["expected"] == found["whole"]["scored"] == n and found["whole"]["auroc"] is not None
     assert found["twice"]["scored"] == n - 1 and found["foreign"]["scored"] == n
     assert all(found[a]["auroc"] is None and found[a]["n"] is None for a in found if a != "whole")
+
+
+def test_all_folds_and_arms_of_an_increment_in_one_fit(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = []
+    for i in range(600):
+        a, b = rng.gauss(3, 1), rng.gauss(0, 1)
+        rows.append((i, f"c{i % 90}", int(a - 3 + b + rng.gauss(0, 2) > 0), a, b if rng.random() < 0.9 else None))
+    df = spark.createDataFrame(rows, "record_id long, cluster_id string, target int, a double, b double")
+    fits = []
+    real = J.fit
+    monkeypatch.setattr(J, "fit", lambda rows, columns: fits.append(columns) or real(rows, columns))
+    held, tuned = T.incremental_scores(df, ["a"], ["b"], 3)
+    assert fits == [[[0], [0, 1]] * 3]
+    role = {(r["outer_fold"], r["cluster_id"]): r["role"] for r in S.nested_folds(df, 3, 3, 42).collect()}
+    got = {r["record_id"]: r for r in held.collect()}
+    assert sorted(got) == list(range(600))
+    assert tuned.count() == sum(role[f, r[1]] == "tune" for f in range(3) for r in rows)
+    matrix = lambda part, k: np.array([[np.nan if v is None else v for v in r[3:4 + k]] for r in part])
+    for fold in range(3):
+        train = [r for r in rows if role[fold, r[1]] == "fit"]
+        for k, arm in enumerate(T.ARMS):
+            w, start = plain(matrix(train, k), np.array([r[2] for r in train]))
+            fill = np.nanmedian(matrix(train, k), axis=0)
+            for r in rows:
+                if role[fold, r[1]] == "hold":
+                    v = matrix([r], k)[0]
+                    assert got[r[0]]["fold"] == fold
+                    assert got[r[0]][arm] == pytest.approx(1 / (1 + np.exp(-(np.where(np.isnan(v), fill, v) @ w + start))), abs=1e-6)
+    metrics = {r["arm"]: r for r in T.incremental_metrics(df, held, tuned).collect()}
+    assert set(metrics) == set(T.ARMS) and all(r["status"] == "ok" and r["n"] == 600 and 0 < r["sensitivity"] < 1 for r in metrics.values())
+
+
+def test_a_fold_with_one_class_scores_that_class(spark, monkeypatch):
+    df = spark.createDataFrame([(i, i % 30, int(i % 2), float(i)) for i in range(90)], "record_id long, cluster_id long, target int, a double")
+    real = J.fit
+    monkeypatch.setattr(J, "fit", lambda rows, columns: [None, *real(rows, columns)[1:]])
+    monkeypatch.setattr(T, "materialize", lambda rows, label: rows.withColumn("target", F.lit(1)) if label == "rows" else rows)
+    held, _ = T.incremental_scores(df, ["a"], [], 3)
+    assert {r["base"] for r in held.collect()} == {1.0}
