@@ -1,6 +1,11 @@
 """Results that must not hang on the order in which rows arrive or on the last bit of a sum."""
+import datetime
 import math
 
+import duckdb
+
+import __spark_entry__ as entry
+from check_queries import compare
 from segstat.operators import features as X, segment_row as R
 from segstat.queries.signal_queries import eight_decimals
 
@@ -13,6 +18,31 @@ def test_whole_means_and_medians_are_not_cut_below(spark):
     assert out[0]["mean_x"] == 62 and out[1]["median_x"] == 9 and out[1]["mean_y"] == 9
 
 
+def test_record_means_are_added_in_sample_order_as_the_sql_adds_them(spark, tmp_path):
+    """Readings whose mean is 62, added one by one, end below it: SQL cuts that to 61, and so must the query. Record 1 has a
+    reading, record 2 a median within nine decimals of a whole number, record 3 has a null."""
+    day = datetime.datetime(2024, 1, 1)
+    readings = {0: WHOLE, 1: [5.9999999999], 2: [0.0, 11.9999999999], 3: [1.5, None, 2.5], 4: [0.01, 17.99], 5: WHOLE[::-1]}
+    rows = [(u, v, day + datetime.timedelta(seconds=i)) for u, vs in readings.items() for i, v in enumerate(vs)]
+    events = [(n, ts, u, "view", v, '{"k": %d}' % n) for n, (u, v, ts) in enumerate(rows)]
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    spark.createDataFrame(events, schema).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    out = entry.queries()["D13_record_stats"](spark, str(tmp_path))
+    assert not (problems := compare(out, con, entry.oracle_sql()["D13_record_stats"])), problems
+    got = {r["record_id"]: r for r in out.collect()}
+    assert got[0]["mean_x"] == 61 and got[1]["mean_x"] == 5 and got[2]["median_x"] == 5 and got[4]["median_x"] == 9
+
+
+def test_ordered_record_means_do_not_hang_on_arrival(spark):
+    rows = [(0, i, x) for i, x in enumerate(WHOLE)]
+    for part in (rows, rows[::-1], rows[4:] + rows[:4]):
+        df = spark.createDataFrame(part, "record_id bigint, i bigint, x double").coalesce(1)
+        assert X.record_stats(df, ["x"], order=["i"]).first()["mean_x"] == 61
+
+
 def test_correlation_of_a_channel_constant_but_for_the_last_bit(spark):
     x, y = [1.65, 1.6499999999999997, 1.65], [34.0, 40.0, 47.0]
     rows = [(0, 0, i, a, b) for i, (a, b) in enumerate(zip(x, y))]

@@ -36,6 +36,16 @@ def test_running_totals_equal_cumulative_sums(spark, small_limit):
                 assert {r["total_v"] for r in mine} == {sum(r["v"] for r in mine)}
 
 
+def test_ordered_means_of_hot_and_null_groups(spark, small_limit):
+    random.seed(8)
+    data = [(None if n % 5 == 0 else n % 5 if n % 50 < 10 else 9, n, None if n % 11 == 0 else random.random(), None) for n in range(200)] + [(77, 0, .1, 3.), (77, 2, .3, None), (77, 1, .2, 4.)]
+    df = spark.createDataFrame(data, "k long, i long, a double, b double")
+    got = {r["k"]: (r["mean_a"], r["mean_b"]) for r in O.ordered_means(df, ["k"], ["i"], ["a", "b"]).collect()}
+    assert set(got) == {d[0] for d in data} and got[77] == ((.1 + .2 + .3) / 3, 3.5)
+    for key, (a, b) in got.items():
+        assert abs(a - np.mean([d[2] for d in data if d[0] == key and d[2] is not None])) < 1e-12 and (key == 77 or b is None)
+
+
 def test_digest_index_equals_sorted_position(spark, small_limit):
     df = spark.range(200).select(F.col("id"), (F.col("id") % 2).alias("s")).withColumn("h", keyed_md5(7, F.col("id")))
     rows = O.digest_index(df, ["s"], "h").collect()
